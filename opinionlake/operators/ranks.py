@@ -53,3 +53,22 @@ def block_sum(df: DataFrame, keys, order: str, value: Column, name: str, block:
     out = _with_offsets(df, keys, order, value, block)
     out = out.withColumn(name, F.sum("_value").over(inside) + F.col("_offset"))
     return out.drop("_block", "_value", "_offset")
+
+
+def block_lag(df: DataFrame, keys, order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``value`` of the row before each row of its key, by a unique integer order column."""
+    keys = list(keys)
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    inside = blocked.withColumn(name, F.lag(value).over(Window.partitionBy(*keys, "_block").orderBy(order)))
+    first = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(order)) == 1
+    inside = inside.withColumn("_first", first)
+    tails = blocked.groupBy(*keys, "_block").agg(F.max_by(value, order).alias("_tail"))
+    carried = tails.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_block").alias("_kb"),
+        F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry"),
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_block") == F.col("_kb")]
+    joined = inside.join(carried, on, "left")
+    joined = joined.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(name)))
+    return joined.drop("_block", "_first", "_kb", "_carry", *[f"_k{i}" for i in range(len(keys))])

@@ -63,7 +63,7 @@ def trend(
     low = F.lit(date_from).cast("date") if bounds is None else F.col("date_from")
     high = F.lit(date_to).cast("date") if bounds is None else F.col("date_to")
     if bounds is not None:
-        items = items.join(F.broadcast(bounds), [k for k in keys if k in bounds.columns])
+        items = items.join(bounds, [k for k in keys if k in bounds.columns])
     day = dates.local_day(F.col("published_at"))
     precise = F.coalesce(F.col("date_precision").isin(*C.ACCEPTED_PRECISION[interval]), F.lit(False))
     usable = day.isNotNull() & precise

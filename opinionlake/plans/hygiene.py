@@ -294,10 +294,10 @@ _REL = f"""rel AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 7 <> 0 THE
   FROM events)"""
 
 
-@query("dt.relative", f"WITH {_REL} SELECT event_id, {_TS.format('est')} AS "at", precision FROM rel")
+@query("dt.relative", f"WITH {_REL} SELECT event_id, {_TS.format('est')} AS instant, precision FROM rel")
 def relative(spark, d):
     rows = relative_dates(spark, d).withColumn("r", dates.relative(F.col("relative_date"), F.col("now")))
-    return rows.select("event_id", _shown("r.at").alias("at"), F.col("r.precision").alias("precision"))
+    return rows.select("event_id", _shown("r.at").alias("instant"), F.col("r.precision").alias("precision"))
 
 
 @query("dt.estimate", f"""WITH {_REL} SELECT event_id, {_TS.format("CASE WHEN user_id % 2 = 0 THEN ts ELSE est END")} AS published_at,

@@ -110,8 +110,8 @@ def headline(spark, d):
     return reportagg.headline(reportagg.blocks(rows), reportagg.aspect_sentiment(rows))
 
 
-@query("agg.denominator_share", with_items("""SELECT report_id, sentiment, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY report_id) AS share
- FROM items WHERE sentiment IS NOT NULL GROUP BY ALL"""))
+@query("agg.denominator_share", with_items("""SELECT report_id, sentiment, n::DOUBLE / sum(n) OVER (PARTITION BY report_id) AS share FROM (
+ SELECT report_id, sentiment, count(*) AS n FROM items WHERE sentiment IS NOT NULL GROUP BY report_id, sentiment)"""))
 def denominator_share(spark, d):
     dist = items(spark, d).filter("sentiment is not null").groupBy("report_id", "sentiment").count()
     total = dist.groupBy("report_id").agg(F.sum("count").alias("n"))
