@@ -239,7 +239,7 @@ def budget_metrics(plan: DataFrame, budget: Budget, board_rules: bool = False) -
     done = plan.groupBy(*JOB).agg(
         F.count_if("accepts_post").alias("posts"),
         F.sum("accepted_comments").alias("comments"),
-        F.sum("duplicates").alias("duplicate_items"),
+        F.sum(F.when(F.col("decision") == "open", F.col("duplicates")).otherwise(0)).alias("duplicate_items"),
         F.sum(F.when(F.col("decision") == "unknown_date", F.col("items")).otherwise(F.col("undated_comments"))).alias("unknown_date_items"),
         F.count_if(F.col("decision") == "filtered").alias("filtered_threads"),
         F.bool_or(F.col("decision") == "post_limit").alias("_post"),

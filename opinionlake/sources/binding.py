@@ -84,6 +84,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array().cast("array<string>")
     return joined.select(
         *base.columns,
+        "label_sentiment",
         sentiment.alias("sentiment"),
         ((n % 100) / F.lit(100.0)).alias("confidence"),
         F.array(first, second).alias("aspects"),
