@@ -4,35 +4,35 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
 from opinionlake.functions.text import normalize, occurrences
 
-_CLASSES = ("positive", "neutral", "negative")
+CLASSES = ("positive", "neutral", "negative")
 
 
 def _total(text: Column, words) -> Column:
     return functools.reduce(lambda a, b: a + b, [occurrences(text, F.lit(w)) for w in words])
 
 
-def lexicon(text: Column) -> Column:
-    """struct(sentiment, confidence, positive, neutral, negative) from word counts."""
-    lowered = F.lower(text)
-    good, bad = _total(lowered, C.POSITIVE_WORDS), _total(lowered, C.NEGATIVE_WORDS)
-    label = (
-        F.when((good == 0) & (bad == 0), "neutral").when(good >= bad, "positive").otherwise("negative")
-    )
-    confidence = F.when(label == "neutral", F.lit(0.5)).otherwise(
-        F.least(F.lit(0.55) + F.lit(0.08) * F.abs(good - bad), F.lit(0.85))
-    )
-    rest = (F.lit(1.0) - confidence) / 2
-    return F.struct(
-        label.alias("sentiment"),
-        confidence.alias("confidence"),
-        *[F.when(label == c, confidence).otherwise(rest).alias(c) for c in _CLASSES],
+def add_lexicon(df: DataFrame, body: Column) -> DataFrame:
+    """Add sentiment, confidence and the three scores from word counts.
+
+    Stages are separate projections on purpose: each value is computed once per row.
+    """
+    lowered = F.lower(body)
+    df = df.withColumns({"_good": _total(lowered, C.POSITIVE_WORDS), "_bad": _total(lowered, C.NEGATIVE_WORDS)})
+    good, bad = F.col("_good"), F.col("_bad")
+    label = F.when((good == 0) & (bad == 0), "neutral").when(good >= bad, "positive").otherwise("negative")
+    strength = F.least(F.lit(0.55) + F.lit(0.08) * F.abs(good - bad), F.lit(0.85))
+    df = df.withColumns(
+        {"sentiment": label, "confidence": F.when((good == 0) & (bad == 0), F.lit(0.5)).otherwise(strength)}
     )
+    rest = (F.lit(1.0) - F.col("confidence")) / 2
+    scores = {c: F.when(F.col("sentiment") == c, F.col("confidence")).otherwise(rest) for c in CLASSES}
+    return df.withColumns(scores).drop("_good", "_bad")
 
 
 def star_sentiment(rating: Column) -> Column:
@@ -66,34 +66,37 @@ def argmax(scores: dict[str, Column]) -> Column:
     return F.array_max(F.array(*ranked))["k"]
 
 
-def calibrate(scored: Column, text: Column, rating: Column, model_id: Column) -> Column:
-    """Blend scores with phrase groups and a star prior.
+def calibrate(df: DataFrame, body: str = "text", rating: str = "rating") -> DataFrame:
+    """Blend sentiment, confidence and scores with phrase groups and a star prior.
 
-    ``scored`` carries sentiment, confidence, positive, neutral, negative. Blank texts and
-    rating-only rows pass through unchanged.
+    Reads and replaces sentiment, confidence, positive, neutral, negative and local_model_id. Blank
+    texts and rating-only rows pass through unchanged.
     """
-    clean = normalize(text)
-    raw = {c: F.greatest(F.coalesce(scored[c], F.lit(0.0)), F.lit(0.0)) for c in _CLASSES}
-    silent = (raw["positive"] == 0) & (raw["neutral"] == 0) & (raw["negative"] == 0)
-    raw = {
-        c: F.when(silent & (scored["sentiment"] == c), F.greatest(scored["confidence"], F.lit(0.5))).otherwise(v)
-        for c, v in raw.items()
-    }
-    good, bad = phrase_hits(clean, C.POSITIVE_PHRASES), phrase_hits(clean, C.NEGATIVE_PHRASES)
-    bonus = {"positive": good * C.PHRASE_WEIGHT, "negative": bad * C.PHRASE_WEIGHT, "neutral": F.lit(0.0)}
+    df = df.withColumn("_clean", normalize(F.col(body)))
+    df = df.withColumns(
+        {"_praise": phrase_hits(F.col("_clean"), C.POSITIVE_PHRASES), "_blame": phrase_hits(F.col("_clean"), C.NEGATIVE_PHRASES)}
+    )
+    df = df.withColumns({f"_{c}": F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in CLASSES})
+    silent = (F.col("_positive") == 0) & (F.col("_neutral") == 0) & (F.col("_negative") == 0)
+    floor = F.greatest(F.col("confidence"), F.lit(0.5))
+    bonus = {"positive": F.col("_praise") * C.PHRASE_WEIGHT, "negative": F.col("_blame") * C.PHRASE_WEIGHT, "neutral": F.lit(0.0)}
     for star, (label, weight) in C.STAR_PRIOR.items():
-        bonus[label] = bonus[label] + F.when(rating == star, F.lit(weight)).otherwise(F.lit(0.0))
-    mixed = {c: raw[c] + bonus[c] for c in _CLASSES}
-    total = F.greatest(mixed["positive"] + mixed["neutral"] + mixed["negative"], F.lit(1.0))
-    final = {c: mixed[c] / total for c in _CLASSES}
-    untouched = (clean == "") | (scored["sentiment"] == "rating_only")
-    touched = (good > 0) | (bad > 0) | rating.isNotNull()
-    tagged = F.when(
-        touched & ~model_id.endswith(C.CONTEXT_SUFFIX), F.concat(model_id, F.lit(C.CONTEXT_SUFFIX))
-    ).otherwise(model_id)
-    return F.struct(
-        F.when(untouched, scored["sentiment"]).otherwise(argmax(final)).alias("sentiment"),
-        F.when(untouched, scored["confidence"]).otherwise(F.greatest(*final.values())).alias("confidence"),
-        *[F.when(untouched, scored[c]).otherwise(v).alias(c) for c, v in final.items()],
-        F.when(untouched, model_id).otherwise(tagged).alias("model_id"),
+        bonus[label] = bonus[label] + F.when(F.col(rating) == star, F.lit(weight)).otherwise(F.lit(0.0))
+    df = df.withColumns(
+        {f"_{c}": F.when(silent & (F.col("sentiment") == c), floor).otherwise(F.col(f"_{c}")) + bonus[c] for c in CLASSES}
+    )
+    df = df.withColumn("_total", F.greatest(F.col("_positive") + F.col("_neutral") + F.col("_negative"), F.lit(1.0)))
+    df = df.withColumns({f"_{c}": F.col(f"_{c}") / F.col("_total") for c in CLASSES})
+    final = {c: F.col(f"_{c}") for c in CLASSES}
+    kept = (F.col("_clean") == "") | (F.col("sentiment") == "rating_only")
+    touched = ~kept & ((F.col("_praise") > 0) | (F.col("_blame") > 0) | F.col(rating).isNotNull())
+    model = F.col("local_model_id")
+    df = df.withColumns(
+        {
+            "local_model_id": F.when(touched & ~model.endswith(C.CONTEXT_SUFFIX), F.concat(model, F.lit(C.CONTEXT_SUFFIX))).otherwise(model),
+            "sentiment": F.when(kept, F.col("sentiment")).otherwise(argmax(final)),
+            "confidence": F.when(kept, F.col("confidence")).otherwise(F.greatest(*final.values())),
+            **{c: F.when(kept, F.col(c)).otherwise(final[c]) for c in CLASSES},
+        }
     )
+    return df.drop("_clean", "_praise", "_blame", "_total", *[f"_{c}" for c in CLASSES])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,46 +69,42 @@ def topk(vectors: DataFrame, query, limit: int = C.RETRIEVAL_LIMIT, keys=(), col
 def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.RETRIEVAL_LIMIT) -> DataFrame:
     """Top-k vectors of every query.
 
-    Queries are taken in chunks of fixed size, each broadcast to one pass over the vectors; a task
-    multiplies its Arrow batches by the chunk and passes on at most ``limit`` rows per query and
-    batch, so no pair list is ever built. ``queries`` holds (query_id, embedding).
+    Queries are taken in chunks of ``QUERY_CHUNK``, each broadcast to one pass over the vectors. A
+    task multiplies its Arrow batches by the chunk and passes on at most ``limit`` rows per query
+    and batch, so no pair list is ever built. ``queries`` holds (query_id, embedding).
     """
     spark = vectors.sparkSession
-    numbered = ranks.block_rank(queries, [], "query_id", "_n") if False else queries
-    total = numbered.count()
+    ordered = queries.select("query_id", "embedding").orderBy("query_id")
     parts = []
-    for start in range(0, max(total, 1), QUERY_CHUNK):
-        chunk = numbered.orderBy("query_id").offset(start).limit(QUERY_CHUNK).collect()
-        ids = np.array([r["query_id"] for r in chunk], dtype="int64")
-        matrix = np.array([r["embedding"] for r in chunk], dtype="float64")
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def score(batches, shared=shared):
-            ids, matrix = shared.value
-            for batch in batches:
-                same = batch[batch["embedding"].map(len) == (matrix.shape[1] if len(matrix) else -1)]
-                if same.empty:
-                    continue
-                body = np.stack(same["embedding"].to_numpy()).astype("float64")
-                keys = same["vec_id"].to_numpy()
-                scores = matrix @ body.T
-                # vec_id ascending, then a stable sort on the score, gives the published tie order.
-                order = np.argsort(keys, kind="stable")
-                ranked = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :limit]
-                width = ranked.shape[1]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(ids, width),
-                        "vec_id": keys[order][ranked].ravel(),
-                        "score": np.take_along_axis(scores[:, order], ranked, axis=1).ravel(),
-                    }
-                )
-
-        if len(chunk):
-            parts.append(vectors.select("vec_id", "embedding").mapInPandas(score, "query_id bigint, vec_id bigint, score double"))
+    for start in range(0, queries.count(), QUERY_CHUNK):
+        chunk = ordered.offset(start).limit(QUERY_CHUNK).toPandas()
+        shared = spark.sparkContext.broadcast(
+            (chunk["query_id"].to_numpy("int64"), np.stack(chunk["embedding"].to_numpy()).astype("float64"))
+        )
+        parts.append(_score_chunk(vectors, shared, limit))
     if not parts:
         return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, position int")
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    scored = functools.reduce(DataFrame.unionByName, parts)
     return ranks.top_rows(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], limit, rank="position")
+
+
+def _score_chunk(vectors: DataFrame, shared, limit: int) -> DataFrame:
+    def score(batches):
+        ids, matrix = shared.value
+        for batch in batches:
+            same = batch[batch["embedding"].map(len) == matrix.shape[1]].sort_values("vec_id")
+            if same.empty:
+                continue
+            keys = same["vec_id"].to_numpy()
+            scores = matrix @ np.stack(same["embedding"].to_numpy()).astype("float64").T
+            # Columns ascend by vec_id, so a stable sort breaks score ties by the smaller id.
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+            yield pd.DataFrame(
+                {
+                    "query_id": np.repeat(ids, best.shape[1]),
+                    "vec_id": keys[best].ravel(),
+                    "score": np.take_along_axis(scores, best, axis=1).ravel(),
+                }
+            )
+
+    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id bigint, vec_id bigint, score double")
