@@ -176,3 +176,19 @@ def item_order(sort="original"):
     day = dates.local_day(F.col("published_at"))
     first = F.desc_nulls_last(day) if sort == "date_desc" else F.asc_nulls_last(day)
     return [first, F.col("source"), F.col("id")]
+
+
+def before_after(items: DataFrame, plans: DataFrame, days: int = 28) -> DataFrame:
+    """Weekly series of the four weeks before and after each plan's intervention date.
+
+    ``plans``: (plan_id, before, after, intervention), the two report ids being of one subject.
+    """
+    start = F.col("intervention")
+    phases = F.array(
+        F.struct(F.lit("before").alias("phase"), F.col("before").alias("report_id"), F.date_sub(start, days).alias("date_from"), F.date_sub(start, 1).alias("date_to")),
+        F.struct(F.lit("after").alias("phase"), F.col("after").alias("report_id"), start.alias("date_from"), F.date_add(start, days - 1).alias("date_to")),
+    )
+    spans = plans.select("plan_id", F.explode(phases).alias("s")).select("plan_id", "s.*")
+    keyed = spans.select("plan_id", "phase", "report_id").join(items, "report_id")
+    bounds = spans.select("plan_id", "phase", "date_from", "date_to")
+    return trend(keyed, "week", keys=("plan_id", "phase"), bounds=bounds)
