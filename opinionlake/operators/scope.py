@@ -194,3 +194,23 @@ def scope_key(report: Column, digest_col: Column, scope_json: str, version: int
     return F.substring(
         F.sha2(F.concat_ws("|", report, F.lit(str(version)), digest_col, F.lit(scope_json)), 256), 1, 24
     )
+
+
+def unavailable(items: DataFrame, columns, keys=("report_id",)) -> DataFrame:
+    """Metadata columns no row of the report provides."""
+    missing = F.array_compact(F.array(*[F.when(F.count(c) == 0, c) for c in columns]))
+    return items.groupBy(*keys).agg(missing.alias("unavailable_fields"))
+
+
+def scope_rows(items: DataFrame, scope: Scope, metadata, content, basis: str = "snapshot", version: int = 4) -> DataFrame:
+    """The reconciliation record of each report: filters, counts, basis, missing fields, scope key."""
+    rows = counts(items, scope).join(unavailable(items, metadata), "report_id").join(digest(items, content), "report_id")
+    text_filters = scope.as_json()
+    return rows.withColumns(
+        {
+            "filters": F.lit(text_filters),
+            "data_basis": F.lit(basis),
+            "snapshot_version": F.lit(version).cast("bigint"),
+            "scope_key": scope_key(F.col("report_id"), F.col("content_digest"), text_filters, version),
+        }
+    ).drop("content_digest")
