@@ -101,6 +101,12 @@ def canonical_article(url: Column) -> Column:
     return F.struct(F.when(reason.isNull(), _article(p["path"])).alias("url"), reason.alias("reason"))
 
 
+# The whole article URL in one pattern: forum in group 1, number in group 2.
+_ARTICLE_URL = (
+    r"^(?i:https://" + C.FORUM_HOST.replace(".", r"\.") + r")(?::(?:443)?)?/f/([A-Za-z0-9_-]+)/p/([0-9]+)/?(?:\?[^#]*)?(?:#.*)?$"
+)
+
+
 def discovered_article(href: Column, base: str = f"https://{C.FORUM_HOST}") -> Column:
     """A link found on a page, resolved against the site and canonicalised; null if foreign."""
     full = (
@@ -108,8 +114,13 @@ def discovered_article(href: Column, base: str = f"https://{C.FORUM_HOST}") -> C
         .when(href.startswith("/"), F.concat(F.lit(base), href))
         .otherwise(href)
     )
-    p = url_parts(F.coalesce(full, F.lit("")))
-    return F.when(_on_forum(p), _article(p["path"]))
+    shown = F.concat(
+        F.lit(f"https://{C.FORUM_HOST}/f/"),
+        F.lower(F.regexp_extract(full, _ARTICLE_URL, 1)),
+        F.lit("/p/"),
+        F.regexp_replace(F.regexp_extract(full, _ARTICLE_URL, 2), r"^0+(?=\d)", ""),
+    )
+    return F.when(full.rlike(_ARTICLE_URL), shown)
 
 
 def canonical_place(url: Column) -> Column:
