@@ -33,26 +33,31 @@ def anchors(items: DataFrame, problems: DataFrame, limit: int = C.EVIDENCE_LIMIT
     return ranks.top_rows(all_anchors(items, problems), ["report_id"], [F.col("_at")], limit, rank="position").drop("_at")
 
 
-def relevant(items: DataFrame, problems: DataFrame) -> DataFrame:
-    """Unreferenced items with text sharing an aspect or a topic with any anchor.
+def _tagged(items: DataFrame, problems: DataFrame) -> DataFrame:
+    """Items with text, their reference position ``_at`` (null when not referenced) and ``_near``.
 
-    Aspects come from a closed list, so a report's anchor aspects are one short array; topics are
-    matched by a semi join.
+    A diagnosis names at most ten problems with at most ten references each, so a report's anchor
+    aspects and topics are short arrays that ride along on a join by report.
     """
     found = all_anchors(items, problems)
-    near = found.select("report_id", F.explode("aspects").alias("a")).groupBy("report_id").agg(F.collect_set("a").alias("_near"))
-    keys = found.select("report_id", F.explode("topic_keys").alias("_topic")).distinct()
-    others = with_text(items).join(reference_positions(problems).select("report_id", "id"), ["report_id", "id"], "left_anti")
-    by_topic = (
-        others.select("report_id", "id", F.explode("topic_keys").alias("_topic"))
-        .join(keys, ["report_id", "_topic"], "left_semi")
-        .select("report_id", "id")
-        .distinct()
-        .withColumn("_topical", F.lit(True))
+    kinds = F.explode(
+        F.concat(
+            F.transform("aspects", lambda a: F.struct(F.lit("a").alias("kind"), a.alias("v"))),
+            F.transform("topic_keys", lambda t: F.struct(F.lit("t").alias("kind"), t.alias("v"))),
+        )
+    )
+    near = found.select("report_id", kinds.alias("m")).groupBy("report_id").agg(
+        F.collect_set(F.when(F.col("m.kind") == "a", F.col("m.v"))).alias("_aspects"),
+        F.collect_set(F.when(F.col("m.kind") == "t", F.col("m.v"))).alias("_topics"),
     )
-    joined = others.join(near, "report_id", "left").join(by_topic, ["report_id", "id"], "left")
-    hit = F.coalesce(F.arrays_overlap("aspects", "_near"), F.lit(False)) | F.col("_topical").isNotNull()
-    return joined.filter(hit).drop("_near", "_topical")
+    joined = with_text(items).join(reference_positions(problems), ["report_id", "id"], "left").join(near, "report_id", "left")
+    hit = F.coalesce(F.arrays_overlap("aspects", "_aspects"), F.lit(False)) | F.coalesce(F.arrays_overlap("topic_keys", "_topics"), F.lit(False))
+    return joined.withColumn("_near", hit).drop("_aspects", "_topics")
+
+
+def relevant(items: DataFrame, problems: DataFrame) -> DataFrame:
+    """Unreferenced items with text sharing an aspect or a topic with any anchor."""
+    return _tagged(items, problems).filter(F.col("_at").isNull() & F.col("_near")).drop("_at", "_near")
 
 
 def stratum_week() -> Column:
@@ -84,33 +89,34 @@ def sample(items: DataFrame, problems: DataFrame, limit: int = C.EVIDENCE_LIMIT)
 
 
 def coverage(items: DataFrame, problems: DataFrame, limit: int = C.EVIDENCE_LIMIT) -> DataFrame:
-    """included / excluded / snapshot / with-text / relevant counts and the omitted references."""
-    totals = items.groupBy("report_id").agg(
-        F.count("*").alias("snapshot_count"), F.count_if(~text.is_blank(F.col("text"))).alias("text_count")
+    """included / excluded / snapshot / with-text / relevant counts and the omitted references.
+
+    The sample always fills up to ``limit`` while anchors or relevant rows are left, so its size
+    follows from the two counts and the sample itself need not be drawn.
+    """
+    totals = items.groupBy("report_id").agg(F.count("*").alias("snapshot_count"))
+    tagged = _tagged(items, problems).groupBy("report_id").agg(
+        F.count("*").alias("text_count"), F.count_if(F.col("_at").isNotNull() | F.col("_near")).alias("relevant_count")
     )
-    chosen = sample(items, problems, limit).select("report_id", "id")
-    included = chosen.groupBy("report_id").agg(F.count("*").alias("included"))
-    anchored = all_anchors(items, problems).groupBy("report_id").agg(F.count("*").alias("_a"))
-    others = relevant(items, problems).groupBy("report_id").agg(F.count("*").alias("_r"))
     # References are at most ten problems times ten ids per report.
+    kept = anchors(items, problems, limit).select("report_id", "id")
     omitted = (
         reference_positions(problems)
-        .join(chosen, ["report_id", "id"], "left_anti")
+        .join(kept, ["report_id", "id"], "left_anti")
         .groupBy("report_id")
         .agg(F.array_sort(F.collect_list(F.struct("_at", "id"))).alias("_o"))
     )
-    out = totals
-    for part in (included, anchored, others, omitted):
-        out = out.join(part, "report_id", "left")
+    out = totals.join(tagged, "report_id", "left").join(omitted, "report_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    included = F.least(F.lit(limit), zero("relevant_count"))
     return out.select(
         "report_id",
-        zero("included").alias("included"),
-        (F.col("text_count") - zero("included")).alias("excluded"),
+        included.cast("bigint").alias("included"),
+        (zero("text_count") - included).alias("excluded"),
         "snapshot_count",
-        "text_count",
-        (zero("_a") + zero("_r")).alias("relevant_count"),
-        F.array_join(F.transform(F.coalesce("_o", F.expr("cast(array() as array<struct<_at:struct<problem_no:bigint,_pos:int>,id:string>>)")), lambda s: s["id"]), ",").alias("omitted"),
+        zero("text_count").alias("text_count"),
+        zero("relevant_count").alias("relevant_count"),
+        F.coalesce(F.array_join(F.transform("_o", lambda s: s["id"]), ","), F.lit("")).alias("omitted"),
     )
 
 

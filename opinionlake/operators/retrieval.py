@@ -34,8 +34,8 @@ def previous_report(reports: DataFrame) -> DataFrame:
     """Latest strictly earlier report of the same subject (ties: the larger id)."""
     moments = reports.groupBy("subject_id", "created_at").agg(F.max("report_id").alias("_report"))
     moments = moments.withColumn("_at", F.unix_micros("created_at"))
-    day = 86_400_000_000
-    lagged = ranks.block_lag(moments, ["subject_id"], "_at", "_report", "previous", block=day * 3650)
+    day = 86_400_000_000  # one block per subject and day
+    lagged = ranks.block_lag(moments, ["subject_id"], "_at", "_report", "previous", block=day)
     return reports.join(lagged.select("subject_id", "created_at", "previous"), ["subject_id", "created_at"])
 
 

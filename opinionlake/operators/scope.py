@@ -115,26 +115,36 @@ def _conditions(scope: Scope) -> list[Column]:
     return tests
 
 
+def _folded(items: DataFrame, scope: Scope) -> DataFrame:
+    needs_text = any(getattr(scope, g) for g in _TERM_GROUPS) or scope.keyword
+    return items.withColumn("_folded", item_text()) if needs_text else items
+
+
+def _date_flags(scope: Scope) -> dict[str, Column]:
+    """Range, unknown-date and precision tests over ``_day``; precision is judged after the range."""
+    inside = F.lit(True)
+    if scope.date_from:
+        inside = inside & (F.col("_day").isNull() | (F.col("_day") >= F.lit(scope.date_from)))
+    if scope.date_to:
+        inside = inside & (F.col("_day").isNull() | (F.col("_day") <= F.lit(scope.date_to)))
+    strict = scope.precision_policy == "interval"
+    undated = F.col("_day").isNull() if (scope.date_from or scope.date_to or strict) else F.lit(False)
+    accepted = F.coalesce(F.col("date_precision").isin(*C.ACCEPTED_PRECISION[scope.interval]), F.lit(False))
+    return {"inside": inside, "undated": undated, "imprecise": ~undated & ~accepted if strict else F.lit(False)}
+
+
 def flag(items: DataFrame, scope: Scope) -> DataFrame:
     """Rows passing every non-date test, with ``_day``, ``_unknown_date``, ``_imprecise``, ``_kept``.
 
-    Known dates outside the range drop without being counted; precision is judged after the range.
+    Known dates outside the range drop without being counted.
     """
-    needs_text = any(getattr(scope, g) for g in _TERM_GROUPS) or scope.keyword
-    df = items.withColumn("_folded", item_text()) if needs_text else items
+    df = _folded(items, scope)
     for test in _conditions(scope):
         df = df.filter(F.coalesce(test, F.lit(False)))
     df = df.drop("_folded").withColumn("_day", dates.local_day(F.col("published_at")))
-    if scope.date_from:
-        df = df.filter(F.col("_day").isNull() | (F.col("_day") >= F.lit(scope.date_from)))
-    if scope.date_to:
-        df = df.filter(F.col("_day").isNull() | (F.col("_day") <= F.lit(scope.date_to)))
-    strict = scope.precision_policy == "interval"
-    undated = F.col("_day").isNull() if (scope.date_from or scope.date_to or strict) else F.lit(False)
-    accepted = F.coalesce(F.col("date_precision").isin(*C.ACCEPTED_PRECISION[scope.interval]), F.lit(False))
-    imprecise = ~undated & ~accepted if strict else F.lit(False)
-    return df.withColumns(
-        {"_unknown_date": undated, "_imprecise": imprecise, "_kept": ~undated & ~imprecise}
+    flags = _date_flags(scope)
+    return df.filter(flags["inside"]).withColumns(
+        {"_unknown_date": flags["undated"], "_imprecise": flags["imprecise"], "_kept": ~flags["undated"] & ~flags["imprecise"]}
     )
 
 
@@ -160,22 +170,23 @@ def dedup(versions: DataFrame, keys=("report_id", "id"), order: str = "ordinal")
 
 
 def counts(versions: DataFrame, scope: Scope, keys=("report_id",)) -> DataFrame:
-    """Raw, deduplicated, included and excluded counts per report in one pass over the versions."""
-    unique = dedup(versions.withColumn("_copies", F.lit(1)), (*keys, "id"))
-    copies = versions.groupBy(*keys).agg(F.count("*").alias("raw_count"))
-    flagged = flag(unique, scope)
-    found = flagged.groupBy(*keys).agg(
-        F.count_if("_kept").alias("included_count"),
-        F.count_if("_unknown_date").alias("unknown_date_count"),
-        F.count_if("_imprecise").alias("imprecise_date_count"),
-    )
-    distinct = versions.groupBy(*keys).agg(F.count_distinct("id").alias("deduplicated_count"))
-    zero = ("included_count", "unknown_date_count", "imprecise_date_count")
-    return (
-        copies.join(distinct, list(keys))
-        .join(found, list(keys), "left")
-        .na.fill(0, list(zero))
-        .withColumn("excluded_count", F.col("unknown_date_count") + F.col("imprecise_date_count"))
+    """Raw, deduplicated, included and excluded counts per report in one pass over the versions.
+
+    Whether a version is in scope depends on that version alone, so it shrinks to one small outcome
+    number before anything moves; the last version's outcome per id is a partial aggregate.
+    """
+    df = _folded(versions, scope).withColumn("_day", dates.local_day(F.col("published_at")))
+    flags = _date_flags(scope)
+    passes = functools.reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), _conditions(scope), flags["inside"])
+    outcome = F.when(~passes, 0).when(flags["undated"], 1).when(flags["imprecise"], 2).otherwise(3)
+    per_id = df.groupBy(*keys, "id").agg(F.max_by(outcome, "ordinal").alias("_outcome"), F.count("*").alias("_copies"))
+    return per_id.groupBy(*keys).agg(
+        F.sum("_copies").alias("raw_count"),
+        F.count("*").alias("deduplicated_count"),
+        F.count_if(F.col("_outcome") == 3).alias("included_count"),
+        F.count_if(F.col("_outcome") == 1).alias("unknown_date_count"),
+        F.count_if(F.col("_outcome") == 2).alias("imprecise_date_count"),
+        F.count_if(F.col("_outcome").isin(1, 2)).alias("excluded_count"),
     )
 
 

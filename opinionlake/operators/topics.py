@@ -60,17 +60,15 @@ def leaders(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _one_round(rows: DataFrame, block: int, seed: int) -> DataFrame:
-    """(report_id, id, total) -> (report_id, id, leader, total)."""
+    """(report_id, id, total) -> (report_id, id, leader), kept in the shared folder."""
     sizes = rows.groupBy("report_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
     spread = rows.join(sizes, "report_id").withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return leaders(pdf).assign(report_id=key[0])[["report_id", "id", "leader"]]
 
-    found = spread.select("report_id", "_block", "id", "total").groupBy("report_id", "_block").applyInPandas(
-        run, "report_id string, id string, leader string"
-    )
-    return rows.join(found, ["report_id", "id"])
+    grouped = spread.select("report_id", "_block", "id", "total").groupBy("report_id", "_block")
+    return cut_lineage(grouped.applyInPandas(run, "report_id string, id string, leader string"))
 
 
 def _cluster_sums(assigned: DataFrame) -> DataFrame:
@@ -88,19 +86,19 @@ def cluster(complaints: DataFrame, vectors: DataFrame, block: int = BLOCK) -> Da
     """
     usable = vectors.filter(values.finite(F.col("embedding"))).select("id", values.unit(F.col("embedding")).alias("total"))
     rows = complaints.select("report_id", "id").join(usable, "id")
-    assigned = cut_lineage(_one_round(rows, block, 0))
-    result = assigned.select("report_id", "id", "leader")
-    seed, live = 0, assigned
+    result = found = _one_round(rows, block, 0)
+    seed = 0
     while True:
-        counts = live.groupBy("report_id").agg(F.count("*").alias("rows"), F.count_distinct("leader").alias("leaders"))
+        counts = found.groupBy("report_id").agg(F.count("*").alias("rows"), F.count_distinct("leader").alias("leaders"))
         # A report still in several blocks whose last round merged something needs another round.
         again = counts.filter((F.col("rows") > block) & (F.col("leaders") < F.col("rows"))).select("report_id")
         if again.isEmpty():
             return result
         seed += 1
-        sums = _cluster_sums(live.join(again, "report_id", "left_semi")).withColumnRenamed("leader", "id")
-        live = cut_lineage(_one_round(sums, block, seed))
-        renamed = live.select("report_id", F.col("id").alias("leader"), F.col("leader").alias("_next"))
+        rows = _cluster_sums(rows.join(found, ["report_id", "id"]).join(again, "report_id", "left_semi")).withColumnRenamed("leader", "id")
+        rows = cut_lineage(rows)
+        found = _one_round(rows, block, seed)
+        renamed = found.select("report_id", F.col("id").alias("leader"), F.col("leader").alias("_next"))
         result = cut_lineage(
             result.join(renamed, ["report_id", "leader"], "left").select(
                 "report_id", "id", F.coalesce("_next", "leader").alias("leader")

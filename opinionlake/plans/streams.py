@@ -81,11 +81,8 @@ def thread_cap(spark, d):
 def change_feed(spark, d):
     path = scratch(spark, "feed")
     rows = [p.select("user_id", "event_type", "event_id") for p in slices(spark, d)]
-    replay(
-        spark, "feed", rows,
-        lambda s: pipeline.change_feed(s, "user_id", "event_type", "event_id").writeStream.outputMode("append").foreachBatch(pipeline.batch_writer(path)),
-    )
-    return pipeline.read_batches(spark, path, rows[0].schema).drop("batch")
+    replay(spark, "feed", rows, lambda s: pipeline.change_feed(s, path, "user_id", "event_type", "event_id"))
+    return pipeline.read_batches(spark, f"{path}/changes", rows[0].schema).drop("batch")
 
 
 @query("str.batch_metrics", """SELECT floor(event_id * 3 / (SELECT max(event_id) + 1 FROM events))::BIGINT AS batch, count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""")

@@ -128,24 +128,34 @@ def changes(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return before.filter(~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
 
 
-def change_feed(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Stream form: emit a key's value only when it differs from the last emitted one.
+def change_feed(stream: DataFrame, path: str, key: str, value: str, order: str) -> DataStreamWriter:
+    """Stream form: emit a key's value only when it differs from the last one seen.
 
-    A micro-batch is read in ``order``; state is the last value per key.
+    A micro-batch is compared with itself in ``order`` by the batch form, which splits a busy key over
+    tasks; only its first row per key is compared with the last values kept by the batch before.
+    Both outputs of a batch are overwritten when it is replayed.
     """
     rows = stream.select(key, value, order)
+    kept = T.StructType([f for f in rows.schema.fields if f.name != order])
 
-    def emit(group, slices: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        parts = sorted((p for p in slices if len(p)), key=lambda p: p[order].min())
-        batch = pd.concat(parts).sort_values(order, kind="stable")
-        before = batch[value].shift(1)
-        before.iloc[0] = last
-        state.update((batch[value].iloc[-1],))
-        yield batch[batch[value] != before][[key, value, order]]
-
-    kind = dict(rows.dtypes)[value]
-    return rows.groupBy(key).applyInPandasWithState(emit, rows.schema, f"last {kind}", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        past = read_batches(spark, f"{path}/last", kept).filter(F.col("batch") == batch_id - 1)
+        past = past.select(F.col(key).alias("_key"), F.col(value).alias("_past"))
+        batch.persist()
+        first = batch.groupBy(key).agg(F.min(order).alias("_first"))
+        lagged = ranks.block_lag(batch, [key], order, value, "_before").join(first, key).join(past, F.col(key) == F.col("_key"), "left")
+        before = F.when(F.col(order) == F.col("_first"), F.col("_past")).otherwise(F.col("_before"))
+        changed = lagged.filter(~before.eqNullSafe(F.col(value))).select(key, value, order)
+        changed.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        newest = batch.groupBy(key).agg(F.max_by(value, order).alias(value))
+        merged = newest.join(past, F.col(key) == F.col("_key"), "full")
+        merged.select(F.coalesce(key, "_key").alias(key), F.when(F.col(key).isNotNull(), F.col(value)).otherwise(F.col("_past")).alias(value)).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/last/batch={batch_id}")
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(write)
 
 
 # ---- metrics and log ----------------------------------------------------------------------
