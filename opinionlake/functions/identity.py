@@ -64,10 +64,12 @@ def url_parts(url: Column) -> dict[str, Column]:
     }
 
 
+_SAFE_URL = r"^(?i:https?)://(?:[^/?#@:\[\]]+|\[[^/?#@\]]+\])(?::\d*)?(?:[/?#].*)?$"
+
+
 def safe_url(url: Column) -> Column:
     """The URL when it is http(s) with a host and no user-info, else null."""
-    p = url_parts(F.coalesce(url, F.lit("")))
-    return F.when(p["scheme"].isin("http", "https") & (p["host"] != "") & ~p["has_user"], url)
+    return F.when(url.rlike("(?s)" + _SAFE_URL), url)
 
 
 def _article(path: Column) -> Column:

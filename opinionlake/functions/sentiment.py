@@ -22,8 +22,9 @@ def add_lexicon(df: DataFrame, body: Column) -> DataFrame:
 
     Stages are separate projections on purpose: each value is computed once per row.
     """
-    lowered = F.lower(body)
-    df = df.withColumns({"_good": _total(lowered, C.POSITIVE_WORDS), "_bad": _total(lowered, C.NEGATIVE_WORDS)})
+    df = df.withColumn("_low", F.lower(body))
+    lowered = F.col("_low")
+    df = df.withColumns({"_good": _total(lowered, C.POSITIVE_WORDS), "_bad": _total(lowered, C.NEGATIVE_WORDS)}).drop("_low")
     good, bad = F.col("_good"), F.col("_bad")
     label = F.when((good == 0) & (bad == 0), "neutral").when(good >= bad, "positive").otherwise("negative")
     strength = F.least(F.lit(0.55) + F.lit(0.08) * F.abs(good - bad), F.lit(0.85))
@@ -55,8 +56,17 @@ def vote_rule(source: Column, content_type: Column, text: Column, signal: Column
     return F.when(short & (signal == "push"), "positive").when(short & (signal == "boo"), "negative")
 
 
-def phrase_hits(text: Column, patterns) -> Column:
-    hits = [F.coalesce(text.rlike("(?iu)" + p), F.lit(False)).cast("int") for p in patterns]
+def phrase_hits(text: Column, patterns, chinese: Column) -> Column:
+    """How many phrase groups match. ``chinese`` says whether the text holds a Chinese character:
+
+    all groups but the Latin ones need one, and letter case only matters to the Latin ones.
+    """
+    hits = []
+    for pattern in patterns:
+        if pattern.isascii():
+            hits.append(text.rlike("(?iu)" + pattern).cast("int"))
+        else:
+            hits.append(F.when(chinese, text.rlike(pattern).cast("int")).otherwise(0))
     return functools.reduce(lambda a, b: a + b, hits)
 
 
@@ -73,8 +83,10 @@ def calibrate(df: DataFrame, body: str = "text", rating: str = "rating") -> Data
     texts and rating-only rows pass through unchanged.
     """
     df = df.withColumn("_clean", normalize(F.col(body)))
+    df = df.withColumn("_chinese", F.col("_clean").rlike("[一-鿿]"))
+    clean, chinese = F.col("_clean"), F.col("_chinese")
     df = df.withColumns(
-        {"_praise": phrase_hits(F.col("_clean"), C.POSITIVE_PHRASES), "_blame": phrase_hits(F.col("_clean"), C.NEGATIVE_PHRASES)}
+        {"_praise": phrase_hits(clean, C.POSITIVE_PHRASES, chinese), "_blame": phrase_hits(clean, C.NEGATIVE_PHRASES, chinese)}
     )
     df = df.withColumns({f"_{c}": F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in CLASSES})
     silent = (F.col("_positive") == 0) & (F.col("_neutral") == 0) & (F.col("_negative") == 0)
@@ -99,4 +111,4 @@ def calibrate(df: DataFrame, body: str = "text", rating: str = "rating") -> Data
             **{c: F.when(kept, F.col(c)).otherwise(final[c]) for c in CLASSES},
         }
     )
-    return df.drop("_clean", "_praise", "_blame", "_total", *[f"_{c}" for c in CLASSES])
+    return df.drop("_clean", "_chinese", "_praise", "_blame", "_total", *[f"_{c}" for c in CLASSES])

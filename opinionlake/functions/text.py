@@ -6,7 +6,7 @@ import functools
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,25 +83,45 @@ def casefold_latin(col: Column) -> Column:
     return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
 
 
+# What a text must hold for a mask to be able to hit; a cheap test that spares most texts the pattern.
+_HINT = {
+    "email": lambda t: F.contains(t, F.lit("@")),
+    "handle": lambda t: F.contains(t, F.lit("@")),
+    "phone": lambda t: t.rlike(r"\p{Nd}{3}"),
+    "long_id": lambda t: t.rlike(r"\p{Nd}{8}"),
+}
+
+
 def mask(col: Column, kind: str) -> Column:
     label, pattern = C.MASKS[kind]
     return F.regexp_replace(col, pattern, label)
 
 
+def add_masked(df: DataFrame, column: str, counts: str | None = None, long: bool = True) -> DataFrame:
+    """Replace ``column`` by its masked form, one projection per mask so each runs once per row.
+
+    ``counts`` names a struct column of how often each mask fired. ``long`` texts get the cheap tests.
+    """
+    df = df.withColumn("_t", normalize(F.col(column)))
+    for kind, (_, pattern) in C.MASKS.items():
+        if counts:
+            hint = _HINT.get(kind, lambda t: F.lit(True))(F.col("_t"))
+            fired = F.when(hint, F.regexp_count("_t", F.lit(pattern))).otherwise(0).cast("bigint")
+            df = df.withColumn(f"_n_{kind}", fired)
+        masked = mask(F.col("_t"), kind)
+        if long and kind in _HINT:
+            masked = F.when(_HINT[kind](F.col("_t")), masked).otherwise(F.col("_t"))
+        df = df.withColumn("_t", masked)
+    if counts:
+        df = df.withColumn(counts, F.struct(*[F.col(f"_n_{k}").alias(k) for k in C.MASKS]))
+    return df.withColumn(column, F.col("_t")).drop("_t", *[f"_n_{k}" for k in C.MASKS])
+
+
 def redact(col: Column) -> Column:
     """Normalise, then the five masks in their fixed order."""
     return functools.reduce(mask, C.MASKS, normalize(col))
 
 
-def mask_counts(col: Column) -> Column:
-    """Struct of how often each mask fires, each counted on the output of the masks before it."""
-    text, counts = normalize(col), []
-    for kind, (_, pattern) in C.MASKS.items():
-        counts.append(F.regexp_count(text, F.lit(pattern)).cast("bigint").alias(kind))
-        text = mask(text, kind)
-    return F.struct(*counts)
-
-
 def strip_blank(col: Column) -> Column:
     """Python-like strip()."""
     return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

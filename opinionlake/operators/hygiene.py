@@ -30,14 +30,12 @@ def clean(raw: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     masked = raw.withColumns(
         {
             "folded": text.fold(F.concat_ws(" ", F.coalesce("title", blank), F.coalesce("text", blank))),
-            "mask_counts": text.mask_counts(F.col("text")),
             "author_hash": identity.author_hash(keys, F.col("source"), F.col("author")),
             "content_hash": identity.content_hash(F.col("source"), F.col("id"), F.col("text")),
-            "text": text.redact(F.col("text")),
-            "title": text.redact(F.col("title")),
             "source_url": identity.safe_url(F.col("source_url")),
         }
     ).drop("author")
+    masked = text.add_masked(text.add_masked(masked, "text", counts="mask_counts"), "title", long=False)
     return estimate_date(masked, now)
 
 
@@ -87,14 +85,16 @@ def model_boundary(df: DataFrame) -> DataFrame:
 def anonymized(items: DataFrame) -> DataFrame:
     """Payload rows: key, rating, time, masked text; forum rows add source, type and masked title."""
     forum = F.coalesce("source", F.lit("google_maps")) != "google_maps"
-    return items.filter(F.coalesce("text", F.lit("")) != "").select(
+    rows = items.filter(F.coalesce("text", F.lit("")) != "").select(
         "report_id",
         F.col("id").alias("review_key"),
         "rating",
         "published_at",
-        text.redact(F.col("text")).alias("text"),
+        "text",
         F.when(forum, F.col("source")).alias("source"),
         F.when(forum, F.coalesce("content_type", F.lit("review"))).alias("content_type"),
-        F.when(forum, text.redact(F.col("title"))).alias("thread_title"),
+        F.when(forum, F.coalesce("title", F.lit(""))).alias("thread_title"),
         "ordinal",
     )
+    masked = text.add_masked(text.add_masked(rows, "text"), "thread_title", long=False)
+    return masked.withColumn("thread_title", F.when(F.col("source").isNotNull(), F.col("thread_title")))

@@ -64,7 +64,7 @@ def _one_round(rows: DataFrame, block: int, seed: int) -> DataFrame:
     sizes = rows.groupBy("report_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
     spread = rows.join(sizes, "report_id").withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return leaders(pdf).assign(report_id=key[0])[["report_id", "id", "leader"]]
 
     grouped = spread.select("report_id", "_block", "id", "total").groupBy("report_id", "_block")

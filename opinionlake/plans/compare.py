@@ -35,7 +35,7 @@ _KEYS = ["report_id", "member"]
 
 
 def tagged(spark, d):
-    return compare.with_groups(compare.mother_set(items(spark, d), SCOPE), GROUPS)
+    return compare.with_groups(compare.mother_set(items(spark, d, heavy=True), SCOPE), GROUPS)
 
 
 def topic_members(spark, d):

@@ -298,7 +298,7 @@ def latest_result(spark, d):
 
 
 def payload(spark, d):
-    rows = hygiene.anonymized(items(spark, d)).withColumn("published", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = hygiene.anonymized(items(spark, d, heavy=True)).withColumn("published", F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"))
     return rows.withColumn("size", packing.json_size("review_key", "rating", "published", "text"))
 
 

@@ -13,7 +13,7 @@ from opinionlake.operators import hygiene, ranks
 
 from opinionlake.plans import query
 from opinionlake.plans.scoped import dates_as_text
-from opinionlake.sources.binding import items, table, with_items
+from opinionlake.sources.binding import items, table, text_table, with_items
 
 AUTHOR_KEY = hashlib.sha256(b"test author key").digest()  # tests only; a cluster passes its own secret
 _SPACE = (r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -47,7 +47,7 @@ def redact_sql(col):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang")
+    return text_table(spark, d).select("doc_id", "text", "lang")
 
 
 @query("txt.normalize", f"SELECT doc_id, {norm_sql('text')} AS text FROM documents")
@@ -74,9 +74,8 @@ _LABEL_COUNTS = ", ".join(
 
 @query("txt.redact_pii", f"SELECT doc_id, masked, {_LABEL_COUNTS} FROM (SELECT doc_id, {redact_sql('text')} AS masked FROM documents)")
 def redact_pii(spark, d):
-    return docs(spark, d).select(
-        "doc_id", text.redact(F.col("text")).alias("masked"), text.mask_counts(F.col("text")).alias("c")
-    ).select("doc_id", "masked", "c.*")
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("masked"))
+    return text.add_masked(rows, "masked", counts="c").select("doc_id", "masked", "c.*")
 
 
 @query("prj.model_boundary", with_items(
@@ -99,7 +98,7 @@ def model_boundary(spark, d):
  CASE WHEN source <> 'google_maps' THEN content_type END AS content_type,
  CASE WHEN source <> 'google_maps' THEN {redact_sql('title')} END AS thread_title FROM items WHERE text <> ''"""))
 def anonymized(spark, d):
-    out = hygiene.anonymized(items(spark, d)).drop("ordinal")
+    out = hygiene.anonymized(items(spark, d, heavy=True)).drop("ordinal")
     return out.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -126,7 +125,7 @@ def author_hash(spark, d):
 @query("id.content_hash", with_items(
     f"SELECT id, sha256(source || chr(0) || coalesce(board, '') || chr(0) || {norm_sql('text')}) AS content_hash FROM items"))
 def content_hash(spark, d):
-    return items(spark, d).select("id", identity.content_hash(F.col("source"), F.col("board"), F.col("text")).alias("content_hash"))
+    return items(spark, d, heavy=True).select("id", identity.content_hash(F.col("source"), F.col("board"), F.col("text")).alias("content_hash"))
 
 
 _PLACE = "https://www.google.com/maps/place/p"
@@ -136,7 +135,7 @@ _PLACE = "https://www.google.com/maps/place/p"
  coalesce(CAST(rating AS VARCHAR), '') || '|' || {norm_sql('text')}) AS review_hash
  FROM (SELECT * REPLACE (coalesce(board, '') AS board) FROM items WHERE source = 'google_maps')"""))
 def review_hash(spark, d):
-    rows = items(spark, d).filter("source = 'google_maps'")
+    rows = items(spark, d, heavy=True).filter("source = 'google_maps'")
     url = F.concat(F.lit(_PLACE), "report_id", F.lit("/data=x?hl=en"))
     parts = [identity.canonical_place(url), text.normalize(F.col("board")), F.col("rating"), text.normalize(F.col("text"))]
     present = F.coalesce(F.col("board"), F.col("rating").cast("string"), F.col("text"), F.col("id")).isNotNull()

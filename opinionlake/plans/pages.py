@@ -12,7 +12,7 @@ from opinionlake.plans import query
 from opinionlake.plans.hygiene import AUTHOR_KEY, _INNER, _OUTER, norm_sql
 from opinionlake.plans.landing import shown
 from opinionlake.sources import pages
-from opinionlake.sources.binding import table
+from opinionlake.sources.binding import table, text_table
 
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -100,7 +100,7 @@ _RAW = "(CASE WHEN doc_id % 3 = 0 THEN '> quoted' || chr(10) || text || chr(10)
 @query("page.body_clean", f"SELECT doc_id, {_lines('raw')} AS body FROM (SELECT doc_id, {_RAW} AS raw FROM documents)")
 def body_clean(spark, d):
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("> quoted\n"), "text", F.lit("\n--\nsignature"))).otherwise(F.concat("text", F.lit("\n※ 編輯: me")))
-    return table(spark, d, "documents").select("doc_id", pages.clean_body(raw).alias("body"))
+    return text_table(spark, d).select("doc_id", pages.clean_body(raw).alias("body"))
 
 
 @query("page.thread_time", f"""SELECT event_id, {_TS.format("CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 8 HOUR WHEN 1 THEN make_timestamp((1700000000 + event_id) * 1000000) END")} AS posted FROM events""")

@@ -122,7 +122,7 @@ def denominator_share(spark, d):
 # ---- text mining --------------------------------------------------------------------------
 @query("tok.tokens", with_items(f"SELECT id, array_to_string({TOKENS_SQL}, ' ') AS tokens FROM items"))
 def tokens(spark, d):
-    return keywords.with_tokens(items(spark, d)).select("id", F.array_join("tokens", " ").alias("tokens"))
+    return keywords.with_tokens(items(spark, d, heavy=True)).select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def brand_frame(spark, d):
@@ -153,7 +153,7 @@ def dictionary(spark, d):
   WHERE report_id IN (FROM b))
  SELECT id, CAST(n AS BIGINT) AS n, '{C.TOKENIZER_VERSION}' AS tokenizer_version FROM x"""))
 def tokenize(spark, d):
-    out = keywords.with_brand_tokens(items(spark, d), brand_frame(spark, d))
+    out = keywords.with_brand_tokens(items(spark, d, heavy=True), brand_frame(spark, d))
     return out.select("id", F.size("tokens").cast("bigint").alias("n"), F.lit(C.TOKENIZER_VERSION).alias("tokenizer_version"))
 
 
@@ -163,13 +163,13 @@ _TFDF = f""", tok AS (SELECT report_id, id, unnest({TOKENS_SQL}) AS term FROM it
 
 @query("kw.tf_df", with_items(_TFDF + " SELECT * FROM tf"))
 def tf_df(spark, d):
-    return keywords.tf_df(keywords.with_tokens(items(spark, d)))
+    return keywords.tf_df(keywords.with_tokens(items(spark, d, heavy=True)))
 
 
 @query("kw.rank", with_items(_TFDF + """ SELECT * FROM tf WHERE term NOT IN ('th', 'der')
  QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY document_frequency DESC, term) <= 30"""))
 def rank(spark, d):
-    rows = items(spark, d)
+    rows = items(spark, d, heavy=True)
     hidden = rows.select("report_id").distinct().select("report_id", F.explode(F.array(F.lit("th"), F.lit("der"))).alias("term"))
     return keywords.rank(keywords.tf_df(keywords.with_tokens(rows)), "document_frequency", 30, hidden)
 

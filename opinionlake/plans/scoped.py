@@ -28,7 +28,8 @@ _CHANNEL = f"coalesce(nullif(channel_label, ''), nullif(board, ''), '{C.NO_CHANN
 
 
 def _ids(scope):
-    return lambda spark, d: S.select(items(spark, d), scope).select("report_id", "id")
+    heavy = bool(scope.any_terms or scope.all_terms or scope.exclude_terms or scope.keyword)
+    return lambda spark, d: S.select(items(spark, d, heavy), scope).select("report_id", "id")
 
 
 def _filter(name, scope, where):

@@ -11,7 +11,7 @@ from opinionlake.operators import labelling, retrieval, topics
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import norm_sql
-from opinionlake.sources.binding import items, table, with_items
+from opinionlake.sources.binding import items, table, text_table, with_items
 
 _CLASSES = labelling.CLASSES
 
@@ -29,7 +29,7 @@ _LEX = f""", lx AS (SELECT *, lower(text) AS lo FROM items), lg AS (SELECT *, {_
 @query("sen.lexicon", with_items(_LEX + f""" SELECT id, l AS sentiment, round(conf, 9) AS confidence,
  {", ".join(f"round(s_{c}, 9) AS {c}" for c in _CLASSES)} FROM lexs"""))
 def lexicon(spark, d):
-    out = rules.add_lexicon(items(spark, d).select("id", "text"), F.col("text"))
+    out = rules.add_lexicon(items(spark, d, heavy=True).select("id", "text"), F.col("text"))
     return out.select("id", "sentiment", *[F.round(c, 9).alias(c) for c in ("confidence", *_CLASSES)])
 
 
@@ -37,7 +37,7 @@ def mixed_items(spark, d):
     """Items where every eleventh text is blank and short board comments vote."""
     n = F.col("ordinal")
     body = F.when(n % 11 == 0, F.lit("  ")).when(n % 10 == 1, F.lit("推")).otherwise(F.col("text"))
-    return items(spark, d).withColumn("text", body)
+    return items(spark, d, heavy=True).withColumn("text", body)
 
 
 _MIXED = """, mixed AS (SELECT * REPLACE (CASE WHEN ordinal % 11 = 0 THEN '  ' WHEN ordinal % 10 = 1 THEN '推' ELSE text END AS text) FROM items)"""
@@ -135,7 +135,7 @@ def udf_sentiment(spark, d):
  SELECT doc_id, count(*) AS chunks, round(sum({_P} * wt) / sum(wt), 6) AS positive, round(sum({_U} * wt) / sum(wt), 6) AS neutral, round(sum({_N} * wt) / sum(wt), 6) AS negative FROM c GROUP BY 1""")
 def chunked(spark, d):
     words = F.split(text.normalize(F.col("text")), " ")
-    out = labelling.chunked_scores(table(spark, d, "documents"), "doc_id", words, length_scorer)
+    out = labelling.chunked_scores(text_table(spark, d), "doc_id", words, length_scorer)
     return out.select("doc_id", "chunks", *[F.round(c, 6).alias(c) for c in _CLASSES])
 
 
@@ -203,7 +203,7 @@ _SLOT = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64"
  SELECT doc_id, {_SLOT} AS slot, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
  SELECT doc_id, 64::BIGINT AS dim, round(sum(slot * n) / sqrt(sum(n * n)), 6) AS moment, round(max(n) / sqrt(sum(n * n)), 6) AS peak FROM c GROUP BY 1""")
 def embed(spark, d):
-    v = table(spark, d, "documents").select("doc_id", labelling.encode_passages("text").alias("v"))
+    v = text_table(spark, d).select("doc_id", labelling.encode_passages("text").alias("v"))
     weighted = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
     return v.select("doc_id", F.size("v").cast("bigint").alias("dim"), F.round(weighted, 6).alias("moment"), F.round(F.array_max("v"), 6).alias("peak"))
 
@@ -213,11 +213,12 @@ MODEL = "hashing-64"
 
 
 def item_vectors(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), labelling.encode_passages("text").alias("embedding"))
+    """Vectors of the complaint texts - the only rows that are clustered."""
+    return complaints(spark, d).select("id", labelling.encode_passages("text").alias("embedding"))
 
 
 def complaints(spark, d):
-    return items(spark, d).filter(S.complaint())
+    return items(spark, d, heavy=True).filter(S.complaint())
 
 
 def assigned(spark, d):

@@ -16,14 +16,14 @@ from opinionlake.plans.landing import shown
 from opinionlake.plans.scoped import trend_sql, dates_as_text
 from opinionlake.session import scratch
 from opinionlake.sources import exports, imports, snapshot
-from opinionlake.sources.binding import bare_items, items, table, with_items
+from opinionlake.sources.binding import bare_items, items, table, text_table, with_items
 
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 # ---- snapshots ----------------------------------------------------------------------------
 def snapshot_rows(spark, d):
-    rows = items(spark, d)
+    rows = items(spark, d, heavy=True)
     stored = rows.select(
         "id", "source", "content_type", "title", "text", "board", "thread_source_id", "source_url", "rating", "published_at", "date_precision",
         "signal", F.create_map(F.lit("reply_count"), F.col("reply_count").cast("double"), F.lit("secret"), F.lit(1.0)).alias("metrics"),
@@ -151,7 +151,7 @@ def import_rows(spark, d):
     forum = F.when((n == 12), "elsewhere").otherwise(F.col("source"))
     post = doc % 5 == 0
     file = F.concat(F.lit("f"), F.expr("doc_id div 40").cast("string"))
-    return table(spark, d, "documents").select(
+    return text_table(spark, d).select(
         file.alias("file"), (doc + 2).alias("row_no"),
         F.when(n == 1, "thread").when(post, "Post ").otherwise("comment").alias("item_type"),
         F.when(n == 2, F.lit("9")).when(post, F.lit("")).when(n == 3, thread).otherwise(F.concat(F.lit("c"), F.expr("doc_id div 2").cast("string"))).alias("source_item_id"),
@@ -207,7 +207,7 @@ _ITEM_SQL = f"""SELECT id, content_type, thread_source_id, parent_source_id, sha
 def import_items(spark, d):
     doc = F.col("doc_id")
     thread = F.expr("doc_id div 15 + 1000000").cast("string")
-    raw = table(spark, d, "documents").select(
+    raw = text_table(spark, d).select(
         F.lit("f").alias("file"), (doc + 2).alias("row_no"), F.when(doc % 5 == 0, "post").otherwise("comment").alias("item_type"),
         F.when((doc % 5 == 0) | (doc % 2 == 0), "").otherwise(F.concat(F.lit("c"), doc.cast("string"))).alias("source_item_id"), thread.alias("thread_id"),
         F.lit(None).cast("string").alias("parent_id"), F.lit("t").alias("title"), "text", F.lit("2024-03-01T08:00:00").alias("published_at"), F.lit("").alias("forum"),

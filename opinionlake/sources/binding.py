@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
+from opinionlake.session import spread
 
 ASPECTS = list(C.ASPECT_LABELS)
 
@@ -30,9 +31,14 @@ def labels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bare_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item relation before labels are joined."""
-    d = table(spark, sf_dir, "documents")
+def text_table(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A text table for CPU-heavy text work, spread over all cores when it arrives in few splits."""
+    return spread(table(spark, sf_dir, name), key)
+
+
+def bare_items(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """The item relation before labels are joined. ``heavy`` announces work on the texts."""
+    d = text_table(spark, sf_dir) if heavy else table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     source = F.when(n % 3 == 0, "google_maps").when(n % 3 == 1, "ptt").otherwise("dcard")
     maps = n % 3 == 0
@@ -72,9 +78,9 @@ def bare_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """Snapshot items: one row per (report_id, id), labels attached."""
-    base = bare_items(spark, sf_dir)
+    base = bare_items(spark, sf_dir, heavy)
     labels = labels_for(spark, sf_dir)
     n = F.col("ordinal")
     joined = base.join(labels, n == labels["label_doc"], "left").drop("label_doc")

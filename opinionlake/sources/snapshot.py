@@ -21,11 +21,16 @@ def snapshot(items: DataFrame, membership: DataFrame, labels: DataFrame, reports
     """
     empty = F.array().cast("array<string>")
     rows = membership.join(items, "id").join(labels, ["report_id", "id"], "left").join(reports, "report_id", "left")
-    blankless = {c: F.when(F.coalesce(F.col(c), F.lit("")) != "", text.redact(F.col(c))) for c in MASKED if c in rows.columns}
-    blankless["text"] = text.redact(F.col("text"))
+    for column in MASKED:
+        if column in rows.columns:
+            missing = F.coalesce(F.col(column), F.lit("")) == ""
+            rows = text.add_masked(rows.withColumn("_none", missing), column, long=column == "text")
+            # A missing title or reply stays missing; a missing text is an empty text.
+            if column != "text":
+                rows = rows.withColumn(column, F.when(~F.col("_none"), F.col(column)))
+            rows = rows.drop("_none")
     shaped = rows.withColumns(
         {
-            **blankless,
             "channel_label": F.when(F.col("source") == "google_maps", F.col("subject_name")).otherwise(F.col("board")),
             "source_url": identity.safe_url(F.col("source_url")),
             "metrics": values.metrics(F.col("metrics")),
