@@ -48,7 +48,6 @@ def author_hash(keys: DataFrame, source: Column, author: Column) -> Column:
 # ---- URLs ---------------------------------------------------------------------------------
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _HOST = r"^(?:([^@]*)@)?([^:@]*)(?::(\d*))?$"
-_ARTICLE_PATH = r"^/f/([A-Za-z0-9_-]+)/p/([0-9]+)/?$"
 
 
 def url_parts(url: Column) -> dict[str, Column]:
@@ -72,41 +71,26 @@ def safe_url(url: Column) -> Column:
     return F.when(url.rlike("(?s)" + _SAFE_URL), url)
 
 
-def _article(path: Column) -> Column:
-    forum = F.lower(F.regexp_extract(path, _ARTICLE_PATH, 1))
-    number = F.regexp_replace(F.regexp_extract(path, _ARTICLE_PATH, 2), r"^0+(?=\d)", "")
-    return F.concat(F.lit(f"https://{C.FORUM_HOST}/f/"), forum, F.lit("/p/"), number)
+# The whole article URL in one pattern: forum, number and query in groups 1 to 3.
+_ARTICLE_URL = (
+    r"^(?i:https://" + C.FORUM_HOST.replace(".", r"\.") + r")(?::(?:443)?)?/f/([A-Za-z0-9_-]+)/p/([0-9]+)/?(?:\?([^#]*))?(?:#.*)?$"
+)
 
 
-def _on_forum(p: dict[str, Column]) -> Column:
-    return (
-        (p["scheme"] == "https")
-        & (p["host"] == C.FORUM_HOST)
-        & p["port"].isin("", "443")
-        & ~p["has_user"]
-        & p["path"].rlike(_ARTICLE_PATH)
-    )
+def _article(url: Column) -> Column:
+    forum = F.lower(F.regexp_extract(url, _ARTICLE_URL, 1))
+    number = F.regexp_replace(F.regexp_extract(url, _ARTICLE_URL, 2), r"^0+(?=\d)", "")
+    return F.concat(F.lit(f"https://{C.FORUM_HOST}/f/"), forum, F.lit("/p/"), number)
 
 
 def canonical_article(url: Column) -> Column:
     """struct(url, reason): the public article URL, or why it is refused."""
     trimmed = strip_blank(F.coalesce(url, F.lit("")))
-    p = url_parts(trimmed)
-    keys = F.transform(
-        F.filter(F.split(p["query"], "&"), lambda pair: pair != ""),
-        lambda pair: F.lower(F.split_part(pair, F.lit("="), F.lit(1))),
-    )
-    tracking_only = F.forall(keys, lambda k: k.startswith("utm_") | k.isin(*C.TRACKING_FIELDS))
-    short_forum = F.length(F.regexp_extract(p["path"], _ARTICLE_PATH, 1)) <= 64
-    valid = _on_forum(p) & short_forum
-    reason = F.when(~valid, F.lit("not_a_public_article")).when(~tracking_only, F.lit("unknown_query_field"))
-    return F.struct(F.when(reason.isNull(), _article(p["path"])).alias("url"), reason.alias("reason"))
-
-
-# The whole article URL in one pattern: forum in group 1, number in group 2.
-_ARTICLE_URL = (
-    r"^(?i:https://" + C.FORUM_HOST.replace(".", r"\.") + r")(?::(?:443)?)?/f/([A-Za-z0-9_-]+)/p/([0-9]+)/?(?:\?[^#]*)?(?:#.*)?$"
-)
+    pairs = F.split(F.regexp_extract(trimmed, _ARTICLE_URL, 3), "&")
+    tracking = F.forall(pairs, lambda pair: (pair == "") | pair.rlike(rf"(?i)^(utm_|({'|'.join(C.TRACKING_FIELDS)})(=|$))"))
+    valid = trimmed.rlike(_ARTICLE_URL) & (F.length(F.regexp_extract(trimmed, _ARTICLE_URL, 1)) <= 64)
+    reason = F.when(~valid, F.lit("not_a_public_article")).when(~tracking, F.lit("unknown_query_field"))
+    return F.struct(F.when(valid & tracking, _article(trimmed)).alias("url"), reason.alias("reason"))
 
 
 def discovered_article(href: Column, base: str = f"https://{C.FORUM_HOST}") -> Column:
@@ -116,13 +100,7 @@ def discovered_article(href: Column, base: str = f"https://{C.FORUM_HOST}") -> C
         .when(href.startswith("/"), F.concat(F.lit(base), href))
         .otherwise(href)
     )
-    shown = F.concat(
-        F.lit(f"https://{C.FORUM_HOST}/f/"),
-        F.lower(F.regexp_extract(full, _ARTICLE_URL, 1)),
-        F.lit("/p/"),
-        F.regexp_replace(F.regexp_extract(full, _ARTICLE_URL, 2), r"^0+(?=\d)", ""),
-    )
-    return F.when(full.rlike(_ARTICLE_URL), shown)
+    return F.when(full.rlike(_ARTICLE_URL), _article(full))
 
 
 def canonical_place(url: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -12,7 +14,14 @@ def query(name: str, sql: str | None = None):
     def register(function):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = function
+
+        @functools.wraps(function)
+        def run(spark, sf_dir):
+            # Local days, buckets and text forms of times all assume the UTC session zone.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function
