@@ -42,27 +42,36 @@ def order_actions(actions: DataFrame) -> DataFrame:
     Repeatedly takes the ready action with the least (priority, key). A plan holds 1 to 15 actions;
     larger ones are refused by a count before anything is gathered, so no plan becomes a big row.
     """
-    sizes = actions.groupBy("plan_id").agg(F.count("*").alias("_n"), F.count_distinct("key").alias("_keys"))
+    sizes = actions.groupBy("plan_id").agg(F.count("*").alias("_n"), F.count_distinct("key").alias("_keys_n"))
     small = actions.join(sizes.filter(F.col("_n") <= C.MAX_ACTIONS).select("plan_id"), "plan_id", "left_semi")
-    packed = small.groupBy("plan_id").agg(F.collect_list(F.struct("priority", "key", "dependencies")).alias("_a"))
-    state = sizes.join(packed, "plan_id", "left")
-    keys = F.transform("_a", lambda a: a["key"])
-    unknown = F.exists("_a", lambda a: F.exists(a["dependencies"], lambda d: ~F.array_contains(keys, d)))
-
-    def step(done: Column, _: Column) -> Column:
-        ready = F.filter(
-            F.col("_a"),
-            lambda a: ~F.array_contains(done, a["key"]) & F.forall(a["dependencies"], lambda d: F.array_contains(done, d)),
-        )
-        least = F.array_min(F.transform(ready, lambda a: F.struct(a["priority"].alias("p"), a["key"].alias("k"))))
-        return F.when(F.size(ready) == 0, done).otherwise(F.concat(done, F.array(least["k"])))
-
-    start = F.array().cast("array<string>")
-    ordered = F.aggregate(F.sequence(F.lit(1), F.size("_a")), start, step)
+    packed = small.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("priority", "key", "dependencies"))).alias("_a"))
+    # With at most 15 actions, "what is done" and "what is needed" are bits of one integer. The actions
+    # are sorted by (priority, key), so the first ready one is the least.
+    state = sizes.join(packed, "plan_id", "left").withColumn("_keys", F.expr("transform(_a, a -> a.key)"))
+    state = state.withColumn(
+        "_bits",
+        F.expr(
+            """transform(_a, (a, i) -> named_struct('bit', shiftleft(1, i), 'need', aggregate(a.dependencies, 0,
+               (n, d) -> n | shiftleft(1, cast(array_position(_keys, d) as int) - 1))))"""
+        ),
+    )
+    state = state.withColumn(
+        "_taken",
+        F.expr(
+            """aggregate(sequence(1, size(_bits)), named_struct('done', 0, 'seq', cast(array() as array<int>)), (s, x) ->
+               element_at(transform(
+                 array(coalesce(try_element_at(filter(_bits, b -> (b.bit & s.done) = 0 and (b.need & ~s.done) = 0), 1).bit, 0)),
+                 t -> named_struct('done', s.done | t, 'seq', if(t = 0, s.seq, array_append(s.seq, t)))), 1), s -> s.seq)"""
+        ),
+    )
+    unknown = F.exists("_a", lambda a: F.exists(a["dependencies"], lambda d: ~F.array_contains("_keys", d)))
     checked = state.withColumn(
         "error",
-        F.when(F.col("_n") > C.MAX_ACTIONS, "too_many_actions").when(F.col("_keys") < F.col("_n"), "duplicate_key").when(unknown, "missing_dependency"),
-    ).withColumn("ordered", F.when(F.col("error").isNull(), ordered))
+        F.when(F.col("_n") > C.MAX_ACTIONS, "too_many_actions").when(F.col("_keys_n") < F.col("_n"), "duplicate_key").when(unknown, "missing_dependency"),
+    ).withColumn(
+        "ordered",
+        F.when(F.col("error").isNull(), F.expr("transform(_taken, t -> element_at(_keys, cast(array_position(transform(_bits, b -> b.bit), t) as int)))")),
+    )
     cyclic = F.col("error").isNull() & (F.size("ordered") < F.col("_n"))
     return checked.select(
         "plan_id", F.when(cyclic, None).otherwise(F.col("ordered")).alias("ordered"), F.when(cyclic, "cycle").otherwise(F.col("error")).alias("error")

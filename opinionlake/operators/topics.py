@@ -85,7 +85,7 @@ def cluster(complaints: DataFrame, vectors: DataFrame, block: int = BLOCK) -> Da
     ``vectors`` holds (id, embedding).
     """
     usable = vectors.filter(values.finite(F.col("embedding"))).select("id", values.unit(F.col("embedding")).alias("total"))
-    rows = complaints.select("report_id", "id").join(usable, "id")
+    rows = cut_lineage(complaints.select("report_id", "id").join(usable, "id"))
     result = found = _one_round(rows, block, 0)
     seed = 0
     while True:

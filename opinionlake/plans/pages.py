@@ -11,6 +11,7 @@ from opinionlake.functions import identity
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import AUTHOR_KEY, _INNER, _OUTER, norm_sql
 from opinionlake.plans.landing import shown
+from opinionlake.session import cut_lineage
 from opinionlake.sources import pages
 from opinionlake.sources.binding import table, text_table
 
@@ -208,14 +209,14 @@ def record_fields(spark, d):
 
 @query("page.comments_merge", f"""WITH {_FORUM} SELECT t AS page_id, CAST(t + 1000000 AS VARCHAR) AS thread, id, CAST(t + 1000000 AS VARCHAR) AS parent_source_id, h AS text, k AS floor, NOT gone AS kept FROM cm""")
 def comments_merge(spark, d):
-    records = pages.forum_records(forum_pages(spark, d))
+    records = cut_lineage(pages.forum_records(forum_pages(spark, d)))
     out = pages.forum_comments(records, pages.forum_articles(records), keys(spark))
     return out.select("page_id", "thread", "id", "parent_source_id", "text", "floor", "kept")
 
 
 @query("page.completeness", f"""WITH {_FORUM} SELECT t AS page_id, CAST(t + 1000000 AS VARCHAR) AS thread, CASE WHEN t % 2 = 0 THEN n - 1 ELSE n + 5 END AS declared_comments, n - 1 AS loaded_comments, t % 7 <> 0 AND t % 2 = 0 AS complete FROM pg""")
 def completeness(spark, d):
-    records = pages.forum_records(forum_pages(spark, d))
+    records = cut_lineage(pages.forum_records(forum_pages(spark, d)))
     articles = pages.forum_articles(records)
     return pages.completeness(articles, pages.forum_comments(records, articles, keys(spark)))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from opinionlake import constants as C
 from opinionlake.functions import dates, identity, text, values
 from opinionlake.operators import ranks
+from opinionlake.session import cut_lineage
 
 _ROW = ", ".join(f"{f} string" for f in C.IMPORT_FIELDS)
 _SCHEMA = f"file string, row_no bigint, file_error string, {_ROW}"
@@ -148,6 +149,7 @@ def check_conflicts(rows: DataFrame) -> DataFrame:
     ``rows`` passed through ``check_rows`` and carries ``author_hash``. Every row is compared with the
     first accepted row of its thread and of its identity; both firsts are grouped minima.
     """
+    rows = cut_lineage(rows)  # read three times below; the text checks run once
     good = rows.filter("error is null")
     forums = good.groupBy("file", "thread_id").agg(F.min_by("forum", "row_no").alias("_first_forum"))
     fallback = F.concat_ws("\u0001", "source_url", "item_type", "published_at", "text")
