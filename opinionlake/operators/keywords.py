@@ -45,7 +45,8 @@ def tf_df(tokenised: DataFrame, keys=("report_id",)) -> DataFrame:
     """
     hit = lambda tf, df: lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
     marks = F.concat(F.transform("tokens", hit(1, 0)), F.transform(F.array_distinct("tokens"), hit(0, 1)))
-    exploded = tokenised.select(*keys, F.explode(marks).alias("m"))
+    # An outer explode spares the optimiser's extra "array is not empty" test, which would tokenise twice.
+    exploded = tokenised.select(*keys, F.explode_outer(marks).alias("m")).filter("m is not null")
     return exploded.groupBy(*keys, F.col("m.term").alias("term")).agg(
         F.sum("m.tf").alias("term_frequency"), F.sum("m.df").alias("document_frequency")
     )
@@ -60,7 +61,7 @@ def rank(counts: DataFrame, metric="term_frequency", limit=30, hidden: DataFrame
 
 def cluster_labels(members: DataFrame, keys, k: int = 5) -> DataFrame:
     """Top label words of each cluster: counted once per item, ties by word."""
-    words = members.select(*keys, F.explode(text.cluster_words(F.col("key_points"), F.col("text"))).alias("word"))
+    words = members.select(*keys, F.explode_outer(text.cluster_words(F.col("key_points"), F.col("text"))).alias("word")).filter("word is not null")
     counted = words.groupBy(*keys, "word").count()
     return ranks.top_rows(counted, list(keys), [F.desc("count"), F.col("word")], k, rank="position")
 

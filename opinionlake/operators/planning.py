@@ -83,8 +83,8 @@ def schedule(actions: DataFrame, options: DataFrame) -> DataFrame:
 
     ``options``: (plan_id, weekly_hours, start_date).
     """
-    # Plans with an error have no order and so explode to nothing.
-    ordered = order_actions(actions).select("plan_id", F.posexplode("ordered").alias("_at", "key"))
+    # The outer explode keeps the optimiser from testing the order - and so computing it - a second time.
+    ordered = order_actions(actions).select("plan_id", F.posexplode_outer("ordered").alias("_at", "key")).filter("key is not null")
     rows = ordered.join(actions.select("plan_id", "key", "hours"), ["plan_id", "key"]).join(options, "plan_id", "left")
     capacity = F.when(F.coalesce("weekly_hours", F.lit(0.0)) > 0, F.col("weekly_hours")).otherwise(F.lit(C.DEFAULT_WEEKLY_HOURS))
     running = Window.partitionBy("plan_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
