@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+from pathlib import Path
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None):
         def run(spark, sf_dir):
             # Local days, buckets and text forms of times all assume the UTC session zone.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            _let_workers_import(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
@@ -29,6 +32,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _let_workers_import(spark) -> None:
+    """Put the package's folder on the Python workers' path, whatever the working directory is.
+
+    Enough for one machine or a shared installation; elsewhere the package travels with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
 def load_all() -> None:
     import importlib
     import pkgutil
