@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from opinionlake.llm import decontaminate, quality_rules, secret_scan
+from opinionlake.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, token_output, url_filter, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -18,8 +18,7 @@ def query(name: str, sql: str | None = None):
     def register(function):
         @functools.wraps(function)
         def run(spark, sf_dir):
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            let_workers_import(spark)
+            prepare(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
@@ -30,8 +29,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def let_workers_import(spark) -> None:
-    """Python workers find the package whatever their working directory is; on a cluster it travels with --py-files."""
+def prepare(spark) -> None:
+    """UTC; batches of few texts for Python, as texts may be long; workers find the package whatever their working directory is."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -42,6 +43,93 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_entropy_balanced_mixing")
+def op1(spark, sf_dir):
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _url_sql() -> str:
+    def walk(name, a, b, seed):
+        steps = [f"{name}_0 AS MATERIALIZED (SELECT host, floor({seed}::DOUBLE * {1 - url_filter.DAMPING!r}) AS own, floor({seed}::DOUBLE * {1 - url_filter.DAMPING!r}) AS score FROM hosts WHERE {seed} > 0)",
+                 f"{name}_w AS MATERIALIZED (SELECT {a} AS a, {b} AS b, n, sum(n) OVER (PARTITION BY {a}) AS s FROM graph)"]
+        for k in range(url_filter.ROUNDS):
+            steps.append(
+                f"{name}_{k + 1} AS MATERIALIZED (SELECT host, sum(p)::HUGEINT::DOUBLE AS score FROM (SELECT host, own::HUGEINT AS p FROM {name}_0 UNION ALL "
+                f"SELECT b, floor(score * {url_filter.DAMPING} * n / s)::HUGEINT FROM {name}_w JOIN {name}_{k} ON host = a) GROUP BY host)"
+            )
+        return ", ".join(steps)
+
+    rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in url_filter.RULES)
+    link = url_filter._LINK.replace("'", "''")
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    last = url_filter.ROUNDS
+    return f"""
+WITH u AS MATERIALIZED (SELECT page_id, coalesce(html, '') AS html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{up}', '{low}') AS host,
+                  regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rhost, rpath, rule, v) AS (VALUES {rules}),
+f AS (SELECT host, path, arg_max(rule, [length(rule), v = 'block']) AS rule, arg_max(v, [length(rule), v = 'block']) AS v
+      FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
+j AS MATERIALIZED (SELECT page_id, u.host, u.path, rule, v FROM u LEFT JOIN f USING (host, path)),
+graph AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (
+        SELECT host AS a, translate(b, '{up}', '{low}') AS b FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS b FROM u)
+        UNION ALL SELECT host, regexp_extract(host, '^[^.]*[.](.+)$', 1) FROM u) WHERE a <> '' AND b <> '' AND a <> b GROUP BY ALL),
+hosts AS MATERIALIZED (SELECT host, {url_filter.MASS} * count(*) FILTER (v = 'allow') // count(*) AS good, {url_filter.MASS} * count(*) FILTER (v = 'block') // count(*) AS bad
+          FROM j WHERE host <> '' GROUP BY host),
+{walk('t', 'a', 'b', 'good')}, {walk('d', 'b', 'a', 'bad')},
+s AS (SELECT host, coalesce(t.score, 0)::BIGINT AS trust, coalesce(d.score, 0)::BIGINT AS distrust FROM hosts LEFT JOIN t_{last} t USING (host) LEFT JOIN d_{last} d USING (host))
+SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN distrust >= {url_filter.THRESHOLD} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+FROM j LEFT JOIN s USING (host)
+"""
+
+
+@query("op2_url_filters", _url_sql())
+def op2(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark, sf_dir):
+    return simhash.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op4_license_scans")
+def op4(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    places = F.transform(base, lambda s: s["word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), "score",
+    )
+
+
+@query("op5_token_id_output")
+def op5(spark, sf_dir):
+    return token_output.read(token_output.write(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+@query("op6_chat_formatting")
+def op6(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{text}'), (-7L, 1L, 'assistant', '{text}') AS t(conv_id, turn, role, text)")
+    return chat_format.digests(chat_format.format_chats(rows.unionAll(more), tokenizer=tokenizer_path()))
+
+
+@query("op7_warc")
+def op7(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op8_benchmark_decontamination", r"""
 WITH d AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
