@@ -229,9 +229,6 @@ IMPORT_FIELDS = (
     "author",
     "reaction_count",
 )
-MAX_IMPORT_BYTES = 10 * 1024 * 1024
-MAX_IMPORT_ROWS = 2100
-MAX_IMPORT_TEXT = 50_000
 FORUM_HOST = "www.dcard.tw"
 BOARD_HOST = "www.ptt.cc"
 TRACKING_FIELDS = ("cid", "ref", "referrer", "source", "share", "fbclid", "gclid")
@@ -285,11 +282,9 @@ EVIDENCE_LIMIT = 60
 EVIDENCE_CHARS = 800
 EXCERPT_CHARS = 300
 RETRIEVAL_LIMIT = 20
-LEXICAL_CANDIDATES = 200
 HISTORY_LIMIT = 8
 PACK_ITEMS = 40
 PACK_CHARS = 60_000
-MAX_ACTIONS = 15
 DEFAULT_WEEKLY_HOURS = 5.0
 CLUSTER_JOIN = 0.80
 TOPIC_MATCH = 0.90

@@ -78,15 +78,12 @@ def score(body: Column, terms) -> Column:
     return total
 
 
-def query_rank(items: DataFrame, question: str, limit: int = C.RETRIEVAL_LIMIT, candidates: int | None = None) -> DataFrame:
+def query_rank(items: DataFrame, question: str, limit: int = C.RETRIEVAL_LIMIT) -> DataFrame:
     """Lexical fallback per report: most occurrences first, then position.
 
-    Zero scores are dropped unless every candidate scores zero. ``candidates`` keeps only the first
-    rows of each report, which is the documented bound of the fallback.
+    All texts of a report are scored. Zero scores are dropped unless every text scores zero.
     """
     rows = items.filter(F.coalesce("text", F.lit("")) != "")
-    if candidates:
-        rows = ranks.top_rows(rows, ["report_id"], [F.col("ordinal")], candidates)
     scored = rows.select("report_id", "id", "ordinal", score(F.col("text"), question_terms(question)).alias("score"))
     top = ranks.top_rows(scored, ["report_id"], [F.desc("score"), F.col("ordinal")], limit, rank="position")
     best = top.filter("position = 1").select(F.col("report_id").alias("_r"), F.col("score").alias("_best"))

@@ -62,68 +62,72 @@ def match_stored(incoming: DataFrame, stored: DataFrame, scope=("source",)) -> D
     return out.withColumns({"match_id": F.coalesce("_by_id", "_by_hash", "_by_alias"), "match_by": how}).drop("_by_id", "_by_hash", "_by_alias")
 
 
-def batch_entities(incoming: DataFrame, scope=("source",), max_rounds: int = 20) -> DataFrame:
-    """``entity``: smallest ordinal among rows of the batch linked by a shared id or hash.
+def resolve(incoming: DataFrame, stored: DataFrame, scope=("source",)) -> DataFrame:
+    """``ordinal``, ``item_key``: the item that each row of a batch belongs to when rows are taken in ordinal order.
 
-    Smallest labels spread along both keys until nothing changes; each round is two grouped minima.
+    A row belongs to the item that has its id, else to the one with its content hash, else to the first known alias, else to a new item.
+    Known are stored items and, by id, every earlier row of the batch; by hash, of the batch only rows that made a new item. So all rows of
+    one id go where its first row goes, and that row's target is fixed by minima over ids and hashes: a stored item, an earlier id of the
+    batch, or a new item. Chains of earlier ids are followed by doubling, until none is left.
     """
     scope = list(scope)
-    labels = incoming.select("ordinal", *scope, "id", "content_hash", F.col("ordinal").alias("entity"))
-    for _ in range(max_rounds):
-        low = labels
-        for key in ("id", "content_hash"):
-            least = low.groupBy(*scope, key).agg(F.min("entity").alias("_low"))
-            low = low.join(least, [*scope, key]).withColumn("entity", F.col("_low")).drop("_low")
-        moved = labels.select("ordinal", F.col("entity").alias("_old")).join(low, "ordinal")
-        labels = cut_lineage(moved)
-        if labels.filter(F.col("entity") != F.col("_old")).isEmpty():
-            return labels.select("ordinal", "entity")
-        labels = labels.drop("_old")
-    raise RuntimeError("batch identities did not settle")
+    first = incoming.groupBy(*scope, "id").agg(F.min_by(F.struct("ordinal", "content_hash", "aliases"), "ordinal").alias("_f"))
+    ids = first.select(*scope, "id", F.col("_f.ordinal").alias("first"), F.col("_f.content_hash").alias("content_hash"), F.col("_f.aliases").alias("aliases"))
+    by_id = stored.groupBy(*scope, F.col("id").alias("_key")).agg(F.min("item_key").alias("_by_id"))
+    by_hash = stored.groupBy(*scope, F.col("content_hash").alias("_key")).agg(F.min("item_key").alias("_by_hash"))
+    placed = ids.withColumn("_key", F.col("id")).join(by_id, [*scope, "_key"], "left").withColumn("_key", F.col("content_hash")).join(by_hash, [*scope, "_key"], "left")
+    placed = placed.withColumn("_stored", F.coalesce("_by_id", "_by_hash")).drop("_key", "_by_id", "_by_hash")
+    asked = placed.filter(F.col("_stored").isNull()).select(*scope, "first", F.posexplode("aliases").alias("_pos", "_key"))
+    known = by_id.unionByName(ids.select(*scope, F.col("id").alias("_key"), F.col("first").alias("_at")), allowMissingColumns=True)
+    named = asked.join(known, [*scope, "_key"]).filter(F.col("_at").isNull() | (F.col("_at") < F.col("first")))
+    # At one place a stored item (no _at) comes before an id of the batch, which leads to the same item.
+    target = named.groupBy("first").agg(F.min_by(F.struct("_by_id", "_at"), F.struct("_pos", F.coalesce("_at", F.lit(-(1 << 62))))).alias("_alias"))
+    placed = placed.join(target, "first", "left")
+    makes = F.col("_stored").isNull() & F.col("_alias").isNull()
+    roots = placed.groupBy(*[F.col(c).alias(f"_s_{c}") for c in scope], F.col("content_hash").alias("_h")).agg(F.min(F.when(makes, F.col("first"))).alias("_root"))
+    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in scope] + [F.col("content_hash").eqNullSafe(F.col("_h"))]
+    placed = placed.join(roots, on, "left")
+    copy = F.col("_stored").isNull() & (F.col("_root") < F.col("first")) & F.col("content_hash").isNotNull()
+    parent = F.when(F.col("_stored").isNotNull(), None).when(copy, F.col("_root")).otherwise(F.col("_alias._at"))
+    key = F.when(F.col("_stored").isNotNull(), F.col("_stored")).when(copy, None).when(F.col("_alias").isNotNull(), F.col("_alias._by_id")).otherwise(
+        F.concat(F.lit("new"), F.col("first").cast("string"))
+    )
+    chain = cut_lineage(placed.select(*scope, "id", "first", parent.alias("parent"), key.alias("item_key")))
+    while not chain.filter(F.col("item_key").isNull()).isEmpty():
+        up = chain.select(F.col("first").alias("_n"), F.col("parent").alias("_p"), F.col("item_key").alias("_k"))
+        met = chain.join(up, F.col("parent") == F.col("_n"), "left")
+        chain = cut_lineage(met.select(*scope, "id", "first", F.col("_p").alias("parent"), F.coalesce("item_key", "_k").alias("item_key")))
+    named = chain.select(*[F.col(c).alias(f"_s_{c}") for c in scope], F.col("id").alias("_id"), "item_key")
+    on = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in scope] + [F.col("id").eqNullSafe(F.col("_id"))]
+    return incoming.join(named, on).select("ordinal", "item_key")
 
 
-_KEEP_OLD = ("title", "board", "text", "relative_date", "owner_reply")
+#: Fields of a stored item that a batch may renew; the date and its precision besides.
+_RENEWED = ("title", "board", "text", "relative_date", "owner_reply", "rating", "platform_data")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, scope=("source",)) -> DataFrame:
-    """Merge a batch into the stored items.
+    """Merge a batch into the stored items; all columns of the stored items come back.
 
-    An update keeps the stored value where the newest non-empty one is missing, except that the
-    date and its precision are always overwritten, even by null. Unmatched identities are inserted.
+    Of an item found again, the renewed fields take the newest non-empty value, the date and its precision always the last row's, even null;
+    all else stays. A new item has the other columns from its first row, null where the batch lacks them.
     """
-    scope = list(scope)
-    matched = match_stored(incoming, stored, scope).join(batch_entities(incoming, scope), "ordinal")
-    fields = [c for c in _KEEP_OLD if c in incoming.columns]
-    newest = [
-        F.max_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("ordinal"))).alias(c) for c in fields
-    ]
-    if "rating" in incoming.columns:
-        newest.append(F.max_by("rating", F.when(F.col("rating").isNotNull(), F.col("ordinal"))).alias("rating"))
-        fields = [*fields, "rating"]
-    first = F.min_by(F.struct("id", "content_hash", *scope), "ordinal").alias("_first")
-    folded = matched.groupBy("entity").agg(
-        F.min_by("match_id", F.when(F.col("match_id").isNotNull(), F.col("ordinal"))).alias("_match"),
-        F.max_by(F.struct("published_at", "date_precision"), "ordinal").alias("_date"),
-        first,
-        *newest,
-    )
-    folded = folded.withColumn("item_key", F.coalesce("_match", F.concat(F.lit("new"), F.col("entity").cast("string"))))
-    # Two entities may match one stored item (one by id, one by hash): fold again on the final key.
-    again = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("entity"))).alias(f"_new_{c}") for c in fields]
-    merged = folded.groupBy("item_key").agg(
-        F.max_by("_date", "entity").alias("_date"), F.min_by("_first", "entity").alias("_first"), *again
-    )
-    both = stored.join(merged, "item_key", "full")
-    touched = F.col("_date").isNotNull()
-    return both.select(
-        "item_key",
-        *[F.coalesce(s, F.col(f"_first.{s}")).alias(s) for s in scope],
-        F.coalesce("id", F.col("_first.id")).alias("id"),
-        F.coalesce("content_hash", F.col("_first.content_hash")).alias("content_hash"),
-        *[F.coalesce(f"_new_{c}", c).alias(c) for c in fields],
-        F.when(touched, F.col("_date.published_at")).otherwise(F.col("published_at")).alias("published_at"),
-        F.when(touched, F.col("_date.date_precision")).otherwise(F.col("date_precision")).alias("date_precision"),
+    keyed = incoming.join(resolve(incoming, stored, scope), "ordinal")
+    types = dict(incoming.dtypes)
+    renewed = [c for c in stored.columns if c in _RENEWED and c in types]
+    dated = [c for c in ("published_at", "date_precision") if c in types and c in stored.columns]
+    rest = [c for c in stored.columns if c not in ("item_key", *renewed, *dated) and c in types]
+    filled = lambda c: (F.coalesce(F.col(c), F.lit("")) != "") if types[c] == "string" else F.col(c).isNotNull()
+    merged = keyed.groupBy("item_key").agg(
+        F.max_by(F.struct(*dated), "ordinal").alias("_date"),
+        F.min_by(F.struct(*rest), "ordinal").alias("_first"),
+        *[F.max_by(c, F.when(filled(c), F.col("ordinal"))).alias(f"_new_{c}") for c in renewed],
     )
+    both = stored.withColumn("_old", F.lit(True)).join(merged, "item_key", "full")
+    value = {c: F.coalesce(f"_new_{c}", c) for c in renewed}
+    value |= {c: F.when(F.col("_date").isNotNull(), F.col(f"_date.{c}")).otherwise(F.col(c)) for c in dated}
+    value |= {c: F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_first.{c}")) for c in rest}
+    return both.select(*[value.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 
 def add_membership(existing: DataFrame, observed: DataFrame, job: str = "report_id") -> DataFrame:
@@ -380,7 +384,7 @@ def collection_rollup(runs: DataFrame) -> DataFrame:
     )
     empty = F.col("actual_count") == 0
     status = F.when(empty & F.col("_blocked"), "BLOCKED").when(empty, "FAILED").otherwise("READY_FOR_ANALYSIS")
-    shown = F.substring("_reasons", 1, 100)
+    shown = F.col("_reasons")
     stop = F.when(empty, F.when(shown == "", "no_data").otherwise(shown)).when(F.col("complete"), "all_complete").otherwise(shown)
     return out.select(
         "job_id", "target_count", "actual_count", (F.col("complete") & ~empty).alias("complete"), status.alias("status"), stop.alias("stop_reason")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import heapq
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,46 +39,37 @@ def fields_ok() -> Column:
     return present & F.forall("steps", lambda s: ~is_blank(s))
 
 
+def _order(plan) -> dict:
+    """Takes the ready action with the least (priority, key) again and again; ``plan`` holds (priority, key, dependencies)."""
+    needs = {a["key"]: set(a["dependencies"] if a["dependencies"] is not None else ()) for a in plan}
+    if len(needs) < len(plan):
+        return {"ordered": None, "error": "duplicate_key"}
+    if any(d not in needs for own in needs.values() for d in own):
+        return {"ordered": None, "error": "missing_dependency"}
+    rank = {a["key"]: i for i, a in enumerate(plan)}
+    keys, unlocks = list(rank), collections.defaultdict(list)
+    for key, own in needs.items():
+        for d in own:
+            unlocks[d].append(key)
+    ready, ordered = [rank[k] for k in keys if not needs[k]], []
+    heapq.heapify(ready)
+    while ready:
+        ordered.append(key := keys[heapq.heappop(ready)])
+        for other in unlocks[key]:
+            needs[other].discard(key)
+            if not needs[other]:
+                heapq.heappush(ready, rank[other])
+    return {"ordered": ordered, "error": None} if len(ordered) == len(plan) else {"ordered": None, "error": "cycle"}
+
+
 def order_actions(actions: DataFrame) -> DataFrame:
-    """One row per plan: ``ordered`` keys, or an ``error``.
+    """One row per plan of any size: ``ordered`` keys, or an ``error`` (duplicate_key, missing_dependency, cycle).
 
-    Repeatedly takes the ready action with the least (priority, key). A plan holds 1 to 15 actions;
-    larger ones are refused by a count before anything is gathered, so no plan becomes a big row.
+    The order of one plan is sequential, so a plan is gathered with its slim columns and ordered with a heap.
     """
-    sizes = actions.groupBy("plan_id").agg(F.count("*").alias("_n"), F.count_distinct("key").alias("_keys_n"))
-    small = actions.join(sizes.filter(F.col("_n") <= C.MAX_ACTIONS).select("plan_id"), "plan_id", "left_semi")
-    packed = small.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("priority", "key", "dependencies"))).alias("_a"))
-    # With at most 15 actions, "what is done" and "what is needed" are bits of one integer. The actions
-    # are sorted by (priority, key), so the first ready one is the least.
-    state = sizes.join(packed, "plan_id", "left").withColumn("_keys", F.expr("transform(_a, a -> a.key)"))
-    state = state.withColumn(
-        "_bits",
-        F.expr(
-            """transform(_a, (a, i) -> named_struct('bit', shiftleft(1, i), 'need', aggregate(a.dependencies, 0,
-               (n, d) -> n | shiftleft(1, cast(array_position(_keys, d) as int) - 1))))"""
-        ),
-    )
-    state = state.withColumn(
-        "_taken",
-        F.expr(
-            """aggregate(sequence(1, size(_bits)), named_struct('done', 0, 'seq', cast(array() as array<int>)), (s, x) ->
-               element_at(transform(
-                 array(coalesce(try_element_at(filter(_bits, b -> (b.bit & s.done) = 0 and (b.need & ~s.done) = 0), 1).bit, 0)),
-                 t -> named_struct('done', s.done | t, 'seq', if(t = 0, s.seq, array_append(s.seq, t)))), 1), s -> s.seq)"""
-        ),
-    )
-    unknown = F.exists("_a", lambda a: F.exists(a["dependencies"], lambda d: ~F.array_contains("_keys", d)))
-    checked = state.withColumn(
-        "error",
-        F.when(F.col("_n") > C.MAX_ACTIONS, "too_many_actions").when(F.col("_keys_n") < F.col("_n"), "duplicate_key").when(unknown, "missing_dependency"),
-    ).withColumn(
-        "ordered",
-        F.when(F.col("error").isNull(), F.expr("transform(_taken, t -> element_at(_keys, cast(array_position(transform(_bits, b -> b.bit), t) as int)))")),
-    )
-    cyclic = F.col("error").isNull() & (F.size("ordered") < F.col("_n"))
-    return checked.select(
-        "plan_id", F.when(cyclic, None).otherwise(F.col("ordered")).alias("ordered"), F.when(cyclic, "cycle").otherwise(F.col("error")).alias("error")
-    )
+    packed = actions.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("priority", "key", "dependencies"))).alias("_a"))
+    order = F.pandas_udf(lambda plans: pd.DataFrame([_order(p) for p in plans], columns=["ordered", "error"]), "ordered array<string>, error string")
+    return packed.select("plan_id", order("_a").alias("_o")).select("plan_id", "_o.ordered", "_o.error")
 
 
 def schedule(actions: DataFrame, options: DataFrame) -> DataFrame:

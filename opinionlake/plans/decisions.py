@@ -178,7 +178,7 @@ def required_fields(spark, d):
 _STEP = """list_sort(list_transform(list_filter(a, lambda x: NOT list_contains(ord, x.k) AND len(list_filter(x.d, lambda y: NOT list_contains(ord, y))) = 0),
   lambda x: struct_pack(p := x.p, k := x.k)))[1].k"""
 _ORDER = f"""pk AS (SELECT plan_id, count(*) AS n, list(struct_pack(p := priority, k := key, d := dependencies)) AS a FROM act GROUP BY 1), st AS (
- SELECT plan_id, n, a, CASE WHEN n > 15 THEN 'too_many_actions' WHEN len(list_filter(a, lambda x: len(list_filter(x.d, lambda y: NOT list_contains(list_transform(a, lambda z: z.k), y))) > 0)) > 0
+ SELECT plan_id, n, a, CASE WHEN len(list_filter(a, lambda x: len(list_filter(x.d, lambda y: NOT list_contains(list_transform(a, lambda z: z.k), y))) > 0)) > 0
   THEN 'missing_dependency' END AS e FROM pk), rec AS (SELECT plan_id, a, []::VARCHAR[] AS ord, 0 AS i FROM st WHERE e IS NULL
  UNION ALL SELECT plan_id, a, list_append(ord, {_STEP}), i + 1 FROM rec WHERE i < len(a)), fin AS (
  SELECT st.plan_id, array_to_string(r.ord, ',') AS ordered, e AS error, r.ord AS ol FROM st LEFT JOIN (SELECT * FROM rec WHERE i = len(a)) r ON r.plan_id = st.plan_id)"""
@@ -202,7 +202,7 @@ _OPT = """opt AS (SELECT c_custkey AS plan_id, CASE WHEN c_custkey % 4 <> 0 THEN
  CASE WHEN c_custkey % 5 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 60 AS INT) END AS start_date FROM customer)"""
 
 
-@query("plan.capacity", f"""WITH RECURSIVE {_ACT}, {_ORDER}, {_OPT}, x AS (SELECT plan_id, unnest(ol) AS key, generate_subscripts(ol, 1) AS place FROM fin WHERE error IS NULL), y AS (
+@query("plan.capacity", f"""WITH RECURSIVE {_ACT}, {_ORDER}, {_OPT}, x AS MATERIALIZED (SELECT plan_id, ol[place] AS key, place FROM (SELECT plan_id, ol, unnest(range(1, len(ol) + 1)) AS place FROM fin WHERE error IS NULL)), y AS (
  SELECT plan_id, key, place, hours, coalesce(weekly_hours, 5.0::DOUBLE) AS cap, weekly_hours IS NOT NULL AND start_date IS NOT NULL AS dated, start_date AS s,
   sum(hours) OVER (PARTITION BY plan_id ORDER BY place) AS e FROM x JOIN act USING (plan_id, key) LEFT JOIN opt USING (plan_id)), z AS (
  SELECT *, floor((e - hours) / (cap / 7)) AS fd, floor((e - hours) / cap) AS fw FROM y)
@@ -307,7 +307,7 @@ def payload(spark, d):
  SELECT report_id, id, n, size, 1 AS held, size AS chars, 1 AS batch_no FROM sz WHERE n = 1 UNION ALL
  SELECT s.report_id, s.id, s.n, s.size, CASE WHEN held >= 40 OR chars + s.size > 60000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 40 OR chars + s.size > 60000 THEN s.size ELSE chars + s.size END,
   CASE WHEN held >= 40 OR chars + s.size > 60000 THEN batch_no + 1 ELSE batch_no END FROM rec JOIN sz s ON s.report_id = rec.report_id AND s.n = rec.n + 1)
- SELECT report_id, id, 0::BIGINT AS part, batch_no::BIGINT AS batch_no FROM rec""").replace("WITH ", "WITH RECURSIVE ", 1))
+ SELECT report_id, id, batch_no::BIGINT AS batch_no FROM rec""").replace("WITH ", "WITH RECURSIVE ", 1))
 def batch_pack(spark, d):
     return packing.pack(payload(spark, d).withColumnRenamed("review_key", "id"), ["report_id"], "ordinal", "size")
 

@@ -118,7 +118,7 @@ def stored_items(spark, d):
     rows = bare_items(spark, d)
     return rows.select(
         F.concat(F.lit("k"), "id").alias("item_key"), "source", "id", F.md5(F.concat("source", "text")).alias("content_hash"),
-        "title", "board", "text", "rating", "published_at", "date_precision", "ordinal", "report_id",
+        "title", "board", "text", "rating", "published_at", "date_precision", "ordinal", "report_id", "thread_source_id", "content_type",
     )
 
 
@@ -138,7 +138,7 @@ def incoming_items(spark, d):
 
 
 _BATCH = """, st AS (SELECT 'k' || id AS item_key, source, id, md5(source || text) AS content_hash, title, board, text, rating, published_at,
-  date_precision, ordinal, report_id FROM items), inc AS (SELECT ordinal, report_id, source, CASE WHEN ordinal % 4 = 0 THEN 'n' || id ELSE id END AS id,
+  date_precision, ordinal, report_id, thread_source_id, content_type FROM items), inc AS (SELECT ordinal, report_id, thread_source_id, content_type, source, CASE WHEN ordinal % 4 = 0 THEN 'n' || id ELSE id END AS id,
   md5(source || body) AS content_hash, CASE WHEN ordinal % 8 = 0 THEN ['zz', id] ELSE []::VARCHAR[] END AS aliases,
   CASE WHEN ordinal % 7 <> 0 THEN 'new ' || title ELSE '' END AS title, CASE WHEN ordinal % 6 <> 0 THEN board END AS board, body AS text,
   CASE WHEN ordinal % 2 = 0 THEN rating END AS rating, CASE WHEN ordinal % 9 <> 0 THEN published_at + INTERVAL 1 HOUR END AS published_at,
@@ -168,23 +168,25 @@ def checkpoint_keys(spark, d):
     return landing.checkpoint_keys(stored_items(spark, d))
 
 
-_COMPONENTS = """, l0 AS (SELECT ordinal, source, id, content_hash, ordinal AS e FROM inc), l1 AS (
- SELECT ordinal, source, id, content_hash, min(e) OVER (PARTITION BY source, id) AS e FROM l0), l2 AS (
- SELECT ordinal, source, id, content_hash, min(e) OVER (PARTITION BY source, content_hash) AS e FROM l1), l3 AS (
- SELECT ordinal, source, id, content_hash, min(e) OVER (PARTITION BY source, id) AS e FROM l2), ent AS (
- SELECT ordinal, min(e) OVER (PARTITION BY source, content_hash) AS entity FROM l3)"""
+# The batch row by row: known ids and hashes grow as rows are taken.
+_ROW_BY_ROW = """, ord AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ordinal) AS rn FROM inc), walk AS (
+ SELECT 0 AS rn, NULL::BIGINT AS ordinal, NULL::VARCHAR AS item_key, (SELECT map(list(k), list(m)) FROM (SELECT source || '|' || k AS k, m FROM bi)) AS ids,
+  (SELECT map(list(k), list(m)) FROM (SELECT source || '|' || k AS k, m FROM bh)) AS hashes
+ UNION ALL SELECT rn, ordinal, key, map_concat(ids, MAP {source || '|' || id: key}), CASE WHEN old IS NULL THEN map_concat(hashes, MAP {source || '|' || content_hash: key}) ELSE hashes END
+ FROM (SELECT *, coalesce(old, 'new' || ordinal) AS key FROM (SELECT o.*, ids, hashes, coalesce(ids[o.source || '|' || o.id], hashes[o.source || '|' || o.content_hash],
+  list_filter(list_transform(o.aliases, lambda a: ids[o.source || '|' || a]), lambda v: v IS NOT NULL)[1]) AS old FROM walk JOIN ord o ON o.rn = walk.rn + 1)))"""
 
 
-@query("inc.upsert", with_items(_BATCH + _COMPONENTS + f""", f AS (SELECT entity, arg_min(match_id, ordinal) AS m,
-  arg_max(struct_pack(p := published_at, q := date_precision), ordinal) AS dt, arg_min(struct_pack(i := id, h := content_hash, s := source), ordinal) AS fst,
+@query("inc.upsert", with_items(_BATCH + _ROW_BY_ROW + f""", g AS (SELECT item_key, arg_max(struct_pack(p := published_at, q := date_precision), ordinal) AS dt,
+  arg_min(struct_pack(i := id, h := content_hash, s := source, o := ordinal, r := report_id, t := thread_source_id, c := content_type), ordinal) AS fst,
   arg_max(title, ordinal) FILTER (title <> '') AS title, arg_max(board, ordinal) FILTER (board <> '') AS board, arg_max(text, ordinal) FILTER (text <> '') AS text,
-  arg_max(rating, ordinal) AS rating FROM mt JOIN ent USING (ordinal) GROUP BY 1), g AS (
- SELECT coalesce(m, 'new' || entity) AS item_key, arg_max(dt, entity) AS dt, arg_min(fst, entity) AS fst, arg_max(title, entity) AS title, arg_max(board, entity) AS board,
-  arg_max(text, entity) AS text, arg_max(rating, entity) AS rating FROM f GROUP BY 1)
- SELECT item_key, coalesce(st.source, g.fst.s) AS source, coalesce(st.id, g.fst.i) AS id, coalesce(st.content_hash, g.fst.h) AS content_hash,
-  coalesce(g.title, st.title) AS title, coalesce(g.board, st.board) AS board, coalesce(g.text, st.text) AS text, coalesce(g.rating, st.rating) AS rating,
-  {_TS.format('CASE WHEN g.dt IS NOT NULL THEN g.dt.p ELSE st.published_at END')} AS published_at,
-  CASE WHEN g.dt IS NOT NULL THEN g.dt.q ELSE st.date_precision END AS date_precision FROM st FULL JOIN g USING (item_key)"""))
+  arg_max(rating, ordinal) AS rating FROM walk JOIN inc USING (ordinal) GROUP BY 1), j AS (
+ SELECT item_key, st.item_key IS NOT NULL AS old, st.* EXCLUDE (item_key), g.* EXCLUDE (item_key) RENAME (title AS nt, board AS nb, text AS nx, rating AS nr) FROM st FULL JOIN g USING (item_key))
+ SELECT item_key, CASE WHEN old THEN source ELSE fst.s END AS source, CASE WHEN old THEN id ELSE fst.i END AS id, CASE WHEN old THEN content_hash ELSE fst.h END AS content_hash,
+  coalesce(nt, title) AS title, coalesce(nb, board) AS board, coalesce(nx, text) AS text, coalesce(nr, rating) AS rating,
+  {_TS.format('CASE WHEN dt IS NOT NULL THEN dt.p ELSE published_at END')} AS published_at, CASE WHEN dt IS NOT NULL THEN dt.q ELSE date_precision END AS date_precision,
+  CASE WHEN old THEN ordinal ELSE fst.o END AS ordinal, CASE WHEN old THEN report_id ELSE fst.r END AS report_id,
+  CASE WHEN old THEN thread_source_id ELSE fst.t END AS thread_source_id, CASE WHEN old THEN content_type ELSE fst.c END AS content_type FROM j""").replace("WITH ", "WITH RECURSIVE ", 1))
 def upsert(spark, d):
     out = landing.upsert(stored_items(spark, d), incoming_items(spark, d))
     return out.withColumn("published_at", shown("published_at"))
@@ -410,8 +412,8 @@ def collection_target(spark, d):
 @query("agg.collection_rollup", f"""WITH {_CONFIG_SQL}, r AS (SELECT job_id, CAST(sum(target) AS BIGINT) AS target_count, CAST(sum(collected) AS BIGINT) AS actual_count,
  bool_and(complete) AS c, coalesce(string_agg(source || ':' || stop_reason, ';' ORDER BY source) FILTER (NOT complete), '') AS rs, bool_or(status = 'BLOCKED') AS b FROM tg GROUP BY 1)
  SELECT job_id, target_count, actual_count, c AND actual_count > 0 AS complete, CASE WHEN actual_count = 0 AND b THEN 'BLOCKED' WHEN actual_count = 0 THEN 'FAILED'
- ELSE 'READY_FOR_ANALYSIS' END AS status, CASE WHEN actual_count = 0 AND rs = '' THEN 'no_data' WHEN actual_count = 0 THEN substr(rs, 1, 100)
- WHEN c THEN 'all_complete' ELSE substr(rs, 1, 100) END AS stop_reason FROM r""")
+ ELSE 'READY_FOR_ANALYSIS' END AS status, CASE WHEN actual_count = 0 AND rs = '' THEN 'no_data' WHEN actual_count = 0 THEN rs
+ WHEN c THEN 'all_complete' ELSE rs END AS stop_reason FROM r""")
 def collection_rollup(spark, d):
     return landing.collection_rollup(source_runs(spark, d))
 

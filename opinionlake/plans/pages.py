@@ -11,7 +11,6 @@ from opinionlake.functions import identity
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import AUTHOR_KEY, _INNER, _OUTER, norm_sql
 from opinionlake.plans.landing import shown
-from opinionlake.session import cut_lineage
 from opinionlake.sources import pages
 from opinionlake.sources.binding import table, text_table
 
@@ -160,22 +159,24 @@ def thread(spark, d):
 def forum_pages(spark, d):
     """Per thread: an article record twice (short and full) and comments with and without ids."""
     n, t = F.col("doc_id"), F.col("t")
+    # The text as a JSON string, as a page's script holds it.
+    as_json = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     at = F.lit("2024-03-05T10:00:00")
     quoted = lambda name, value: _cat(f'"{name}":"', value, '",')
     no_id = F.when(n % 4 != 0, _cat('"id":"c', n, '",')).otherwise("")
     gone = F.when(n % 9 == 0, '"isDeleted":true,').otherwise("")
-    one = F.concat(F.lit("{"), no_id, gone, quoted("content", F.col("h")), quoted("author", _cat("u", n % 3)), quoted("createdAt", at), _cat('"floor":"', F.col("k"), '","likeCount":', n % 12, "}"))
+    one = F.concat(F.lit("{"), no_id, gone, F.concat(F.lit('"content":'), as_json(F.col("text")), F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("createdAt", at), _cat('"floor":"', F.col("k"), '","likeCount":', n % 12, "}"))
     # JSON-LD repeats every comment without its id; those that have one elsewhere must not double.
-    again = F.concat(F.lit('{"@type":"Comment",'), gone, quoted("text", F.col("h")), quoted("author", _cat("u", n % 3)), quoted("dateCreated", at), _cat('"floor":"', F.col("k"), '"}'))
+    again = F.concat(F.lit('{"@type":"Comment",'), gone, F.concat(F.lit('"text":'), as_json(F.col("text")), F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("dateCreated", at), _cat('"floor":"', F.col("k"), '"}'))
     rows = docs(spark, d)
     packed = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("doc_id", f.alias("f"))))), lambda s: s["f"]), ",")
-    grouped = rows.groupBy("t").agg(packed(one).alias("full"), packed(again).alias("ld"), F.min_by("h", "doc_id").alias("h0"), F.count("*").alias("n"))
+    grouped = rows.groupBy("t").agg(packed(one).alias("full"), packed(again).alias("ld"), F.min_by("text", "doc_id").alias("first"), F.count("*").alias("n"))
     thread = t + 1000000
     full = F.concat(
-        _cat('{"props":{"post":{"id":', thread, ',"likeCount":"1,2', t % 10, '0","commentCount":', F.when(t % 2 == 0, F.col("n") - 1).otherwise(F.col("n") + 5), ',"content":"'),
-        F.col("h0"), F.lit(' full text","comments":['), "full", F.lit("]}}}"),
+        _cat('{"props":{"post":{"id":', thread, ',"likeCount":"1,2', t % 10, '0","commentCount":', F.when(t % 2 == 0, F.col("n") - 1).otherwise(F.col("n") + 5), ',"content":'),
+        as_json(F.concat("first", F.lit(" full text"))), F.lit(',"comments":['), "full", F.lit("]}}}"),
     )
-    ld = F.concat(_cat('[{"@type":"Article","url":"https://www.dcard.tw/f/Food/p/0', thread, '","articleBody":"'), F.col("h0"), F.lit('","comment":['), "ld", F.lit("]}]"))
+    ld = F.concat(_cat('[{"@type":"Article","url":"https://www.dcard.tw/f/Food/p/0', thread, '","articleBody":'), as_json(F.col("first")), F.lit(',"comment":['), "ld", F.lit("]}]"))
     markup = F.concat(
         _cat('<html><head><meta property="og:title" content="Title ', t, '"><meta property="article:published_time" content="2024-03-05T09:00:00"></head><script type="application/ld+json">'),
         ld, F.lit("</script><script>var x = 1;</script><script>"), full, F.lit("</script>"), F.when(t % 7 == 0, "<button>查看更多留言</button>").otherwise(""),
@@ -184,7 +185,7 @@ def forum_pages(spark, d):
     return grouped.select(t.alias("page_id"), url.alias("url"), markup.alias("html"))
 
 
-_FORUM = f"""dc AS (SELECT *, doc_id // 15 AS t, doc_id % 15 AS k, md5(text) AS h FROM documents), pg AS (SELECT t, arg_min(h, doc_id) AS h0, count(*) AS n FROM dc GROUP BY 1), cm AS (
+_FORUM = f"""dc AS (SELECT *, doc_id // 15 AS t, doc_id % 15 AS k, {norm_sql('text')} AS h FROM documents), pg AS (SELECT t, arg_min(h, doc_id) AS h0, count(*) AS n FROM dc GROUP BY 1), cm AS (
  SELECT t, k, doc_id, h, doc_id % 9 = 0 AS gone, CASE WHEN doc_id % 4 <> 0 THEN 'c' || doc_id ELSE sha256(concat_ws(chr(0), 'dcard-comment', CAST(t + 1000000 AS VARCHAR), k, {_hmac('dcard', "'u' || (doc_id % 3)")}, '2024-03-05 02:00:00', h)) END AS id FROM dc WHERE k > 0)"""
 
 
@@ -200,7 +201,7 @@ def meta_fallback(spark, d):
     return out.select("page_id", "title", shown("published_at").alias("published_at"))
 
 
-@query("page.record_fields", f"""WITH {_FORUM} SELECT t AS page_id, CASE WHEN ld THEN NULL WHEN doc_id % 4 <> 0 THEN 'c' || doc_id END AS record_id, h AS body, doc_id % 9 = 0 AS deleted, 'u' || (doc_id % 3) AS author, CAST(k AS VARCHAR) AS floor,
+@query("page.record_fields", f"""WITH {_FORUM} SELECT t AS page_id, CASE WHEN ld THEN NULL WHEN doc_id % 4 <> 0 THEN 'c' || doc_id END AS record_id, text AS body, doc_id % 9 = 0 AS deleted, 'u' || (doc_id % 3) AS author, CAST(k AS VARCHAR) AS floor,
  CASE WHEN NOT ld THEN CAST(nullif(doc_id % 12, 0) AS VARCHAR) END AS likes FROM dc CROSS JOIN (VALUES (true), (false)) v(ld) WHERE k > 0""".replace("nullif(doc_id % 12, 0)", "(doc_id % 12)"))
 def record_fields(spark, d):
     out = pages.forum_records(forum_pages(spark, d)).filter("kind = 'comment'")
@@ -209,14 +210,14 @@ def record_fields(spark, d):
 
 @query("page.comments_merge", f"""WITH {_FORUM} SELECT t AS page_id, CAST(t + 1000000 AS VARCHAR) AS thread, id, CAST(t + 1000000 AS VARCHAR) AS parent_source_id, h AS text, k AS floor, NOT gone AS kept FROM cm""")
 def comments_merge(spark, d):
-    records = cut_lineage(pages.forum_records(forum_pages(spark, d)))
+    records = pages.forum_records(forum_pages(spark, d))
     out = pages.forum_comments(records, pages.forum_articles(records), keys(spark))
     return out.select("page_id", "thread", "id", "parent_source_id", "text", "floor", "kept")
 
 
 @query("page.completeness", f"""WITH {_FORUM} SELECT t AS page_id, CAST(t + 1000000 AS VARCHAR) AS thread, CASE WHEN t % 2 = 0 THEN n - 1 ELSE n + 5 END AS declared_comments, n - 1 AS loaded_comments, t % 7 <> 0 AND t % 2 = 0 AS complete FROM pg""")
 def completeness(spark, d):
-    records = cut_lineage(pages.forum_records(forum_pages(spark, d)))
+    records = pages.forum_records(forum_pages(spark, d))
     articles = pages.forum_articles(records)
     return pages.completeness(articles, pages.forum_comments(records, articles, keys(spark)))
 

@@ -190,9 +190,8 @@ _QUESTION = "The THON of der und"
 _SCORE = " + ".join(f"((length(t) - length(replace(t, '{w}', ''))) // {len(w)})" for w in keywords.question_terms(_QUESTION))
 
 
-@query("kw.query_rank", with_items(f""", c AS (SELECT report_id, id, ordinal, lower(text) AS t FROM items WHERE text <> ''
-  QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY ordinal) <= 200), s AS (SELECT report_id, id, ordinal, CAST({_SCORE} AS BIGINT) AS score FROM c),
+@query("kw.query_rank", with_items(f""", c AS (SELECT report_id, id, ordinal, lower(text) AS t FROM items WHERE text <> ''), s AS (SELECT report_id, id, ordinal, CAST({_SCORE} AS BIGINT) AS score FROM c),
  r AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY score DESC, ordinal) AS position, max(score) OVER (PARTITION BY report_id) AS best FROM s)
  SELECT report_id, id, CAST(position AS INT) AS position, score FROM r WHERE position <= 20 AND (score > 0 OR best = 0)"""))
 def query_rank(spark, d):
-    return keywords.query_rank(items(spark, d), _QUESTION, candidates=C.LEXICAL_CANDIDATES)
+    return keywords.query_rank(items(spark, d), _QUESTION)

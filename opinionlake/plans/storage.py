@@ -166,7 +166,7 @@ def import_rows(spark, d):
 
 _IMP = f"""imp AS (SELECT 'f' || (doc_id // 40) AS file, doc_id + 2 AS row_no, doc_id, doc_id % 23 AS n, doc_id % 5 = 0 AS post, CAST(doc_id // 15 + 1000000 AS VARCHAR) AS th,
   CASE WHEN doc_id % 23 = 12 THEN 'elsewhere' ELSE source END AS fo, {norm_sql('text')} AS body, text FROM documents), ie AS (SELECT *,
-  CASE WHEN n = 1 THEN 'item_type' WHEN n = 6 OR body = '' OR length(body) > 50000 THEN 'text' WHEN n = 9 THEN 'source_url' WHEN n = 7 THEN 'published_at' WHEN n = 4 AND NOT post THEN 'thread_missing' WHEN n = 5 THEN 'thread_mismatch'
+  CASE WHEN n = 1 THEN 'item_type' WHEN n = 6 OR body = '' THEN 'text' WHEN n = 9 THEN 'source_url' WHEN n = 7 THEN 'published_at' WHEN n = 4 AND NOT post THEN 'thread_missing' WHEN n = 5 THEN 'thread_mismatch'
    WHEN n = 8 THEN 'forum_mismatch' WHEN n = 2 AND post THEN 'post_id' WHEN n = 3 AND NOT post THEN 'comment_id' WHEN n = 11 THEN 'reaction_type' WHEN n = 10 THEN 'reaction_negative' END AS error,
   CASE WHEN post THEN th WHEN n = 2 THEN '9' WHEN n = 3 THEN th ELSE 'c' || (doc_id // 2) END AS sid FROM imp), ff AS (SELECT file, th, arg_min(fo, row_no) AS f0 FROM ie WHERE error IS NULL GROUP BY ALL), i2 AS (
   SELECT ie.*, CASE WHEN error IS NULL AND fo <> f0 THEN 'thread_in_two_forums' ELSE error END AS error2, md5(concat_ws('|', post, sid, th, doc_id // 2, body, fo, doc_id % 50, doc_id % 7)) AS bd FROM ie LEFT JOIN ff USING (file, th)), fb AS (

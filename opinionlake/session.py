@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def build_session(app: str = "opinionlake", master: str | None = None, **conf) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (tests, one machine) is a temporary folder made.
+    Only when ``spark.checkpoint.dir`` is unset and the session runs on this machine alone (tests) is a temporary folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="opinionlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

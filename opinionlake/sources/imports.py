@@ -17,11 +17,13 @@ from opinionlake.operators import ranks
 from opinionlake.session import cut_lineage
 
 _ROW = ", ".join(f"{f} string" for f in C.IMPORT_FIELDS)
+#: Rows of a file that are handed on at once.
+ROWS = 10_000
 _SCHEMA = f"file string, row_no bigint, file_error string, {_ROW}"
 
 
 def _records(name: str, content: bytes):
-    """(error, first row number, rows) of one file; a file is at most ten megabytes."""
+    """(error, first row number, rows) of one file."""
     try:
         body = content.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -44,8 +46,6 @@ def _records(name: str, content: bytes):
         return "unknown_type", 0, []
     if not rows:
         return "empty", 0, []
-    if len(rows) > C.MAX_IMPORT_ROWS:
-        return "too_many_rows", 0, []
     if any(set(r) != set(C.IMPORT_FIELDS) for r in rows):
         return "bad_fields", 0, []
     return None, first, rows
@@ -63,7 +63,7 @@ def _cell(value, field: str):
 def read_files(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
     """Rows of all CSV/JSON import files below ``path``, or one row with ``file_error`` per bad file.
 
-    The type follows the file name unless ``kind`` names it (".csv", ".json"). The size limit is applied to the file listing, so oversized files are never opened.
+    The type follows the file name unless ``kind`` names it (".csv", ".json"). No file, row or text is refused for its size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
@@ -75,15 +75,11 @@ def read_files(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
                 if error:
                     yield pd.DataFrame([[name, 0, error, *[None] * len(C.IMPORT_FIELDS)]], columns=columns)
                     continue
-                table = [[name, i, None, *[_cell(r[f], f) for f in C.IMPORT_FIELDS]] for i, r in enumerate(rows, first)]
-                yield pd.DataFrame(table, columns=columns)
+                for at in range(0, len(rows), ROWS):
+                    table = [[name, i, None, *[_cell(r[f], f) for f in C.IMPORT_FIELDS]] for i, r in enumerate(rows[at : at + ROWS], first + at)]
+                    yield pd.DataFrame(table, columns=columns)
 
-    small = files.filter(F.col("length") <= C.MAX_IMPORT_BYTES).select("path", "content").mapInPandas(parse, _SCHEMA)
-    large = files.filter(F.col("length") > C.MAX_IMPORT_BYTES).select(
-        F.col("path").alias("file"), F.lit(0).cast("bigint").alias("row_no"), F.lit("too_large").alias("file_error"),
-        *[F.lit(None).cast("string").alias(f) for f in C.IMPORT_FIELDS],
-    )
-    return small.unionByName(large)
+    return files.select("path", "content").mapInPandas(parse, _SCHEMA)
 
 
 _INTEGER = r"^-?[0-9]+$"
@@ -116,7 +112,7 @@ def check_rows(rows: DataFrame) -> DataFrame:
     checks = [
         (F.col("_marked"), "wrong_type"),
         (~F.col("item_type").isin("post", "comment"), "item_type"),
-        ((F.col("text") == "") | (F.length("text") > C.MAX_IMPORT_TEXT), "text"),
+        (F.col("text") == "", "text"),
         (F.col("_url.reason").isNotNull(), "source_url"),
         (~iso | instant.isNull(), "published_at"),
         (~post & (F.col("thread_id") == ""), "thread_missing"),
