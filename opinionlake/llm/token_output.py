@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +34,17 @@ from opinionlake.session import scratch
 
 SHARD = 1 << 21
 END = 2
-PIECES, TOKENS = 300_000, 400_000
+PIECES, TOKENS = 700_000, 1_000_000
 #: Between two visible characters; Python's visible characters are visible for the tokenizer too.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r" \s|\s |^ | $")
+_RARE = re.compile(r"[^\S \n]")
+
+
+def _even(text: str) -> bool:
+    """Whether each space stands between two visible characters and there is no other white space than spaces and line ends."""
+    return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _RARE.search(text))
+
+
 #: Byte-level pre-tokens: the fixed pattern of this family of tokenizers.
 _PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,7 +65,7 @@ class Encoder:
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._model, self._letters = self.tokenizer.model, byte_letters()
         self._pre = regex.compile(_PRE).findall
-        encoder = self
+        letters_of, tokenize = self._letters, self._model.tokenize
 
         class Known(dict):
             """Ids by text. A full cache starts anew; what is frequent comes back at once."""
@@ -72,8 +80,8 @@ class Encoder:
                 return value
 
         def token(word: str) -> bytes:
-            letters = word.encode().decode("latin-1").translate(encoder._letters)
-            return np.array([t.id for t in encoder._model.tokenize(letters)], "<u4").tobytes()
+            letters = word.encode().decode("latin-1").translate(letters_of)
+            return array("I", [t.id for t in tokenize(letters)]).tobytes()
 
         self._token = Known(TOKENS, token)
         join = lambda text: b"".join(map(self._token.__getitem__, self._pre(text)))
@@ -86,7 +94,7 @@ class Encoder:
             return b""
         if any(s in text for s in self._special):
             return self._plain(text)
-        pieces = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        pieces = text.split(" ") if _even(text) else _CUT.split(text)
         return self._first[pieces[0]] + b"".join(map(self._next.__getitem__, pieces[1:]))
 
     def _plain(self, text: str, size: int = 1 << 20) -> bytes:
