@@ -72,6 +72,16 @@ def normalize(col: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACES, " "))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda strings: [unicodedata.normalize("NFKC", s) for s in strings], na_action="ignore")
+
+
+def normalize_all(strings: Column) -> Column:
+    """``normalize`` for each string of an array."""
+    return F.transform(_nfkc_each(strings), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "\u200b", ""), _SPACES, " ")))
+
+
 def fold(col: Column) -> Column:
     """NFKC + casefold matching key; null becomes ''."""
     text = F.coalesce(col, F.lit(""))

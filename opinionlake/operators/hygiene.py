@@ -49,37 +49,77 @@ def clean_metrics(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def _scrub(col: Column, dtype: T.DataType) -> Column:
-    """Rebuild a value by its schema: forbidden fields go, strings are masked, at any depth."""
+def _kept(dtype: T.StructType):
+    return [f for f in dtype.fields if f.name not in C.MODEL_FORBIDDEN_KEYS]
+
+
+def _scrub(col: Column, dtype: T.DataType, strings) -> Column:
+    """Rebuild a value by its schema: forbidden fields and map keys go, strings pass through ``strings``, at any depth."""
     if isinstance(dtype, T.StringType):
-        return F.when(col.isNotNull(), text.redact(col))
+        return strings(col)
     if isinstance(dtype, T.ArrayType):
-        # Masks that need Python cannot run inside a lambda, so nested strings use the JVM-only chain.
-        return F.transform(col, lambda x: _scrub_nested(x, dtype.elementType))
+        return F.transform(col, lambda x: _scrub(x, dtype.elementType, strings))
+    if isinstance(dtype, T.MapType):
+        allowed = F.map_filter(col, lambda k, v: ~k.isin(*C.MODEL_FORBIDDEN_KEYS)) if isinstance(dtype.keyType, T.StringType) else col
+        return F.transform_values(allowed, lambda k, v: _scrub(v, dtype.valueType, strings))
     if isinstance(dtype, T.StructType):
-        kept = [f for f in dtype.fields if f.name not in C.MODEL_FORBIDDEN_KEYS]
-        return F.when(col.isNotNull(), F.struct(*[_scrub(col[f.name], f.dataType).alias(f.name) for f in kept]))
+        return F.when(col.isNotNull(), F.struct(*[_scrub(col[f.name], f.dataType, strings).alias(f.name) for f in _kept(dtype)]))
     return col
 
 
-def _scrub_nested(col: Column, dtype: T.DataType) -> Column:
+def _nested_strings(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StringType):
-        spaced = F.trim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
-        return functools.reduce(text.mask, C.MASKS, spaced)
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return _nested_strings(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _nested_strings(dtype.valueType)
+    return isinstance(dtype, T.StructType) and any(_nested_strings(f.dataType) for f in _kept(dtype))
+
+
+def _touched(dtype: T.DataType) -> bool:
+    """Whether values of the type can hold anything that must go or be masked."""
     if isinstance(dtype, T.ArrayType):
-        return F.transform(col, lambda x: _scrub_nested(x, dtype.elementType))
+        return _touched(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype.keyType, T.StringType) or _touched(dtype.valueType)
     if isinstance(dtype, T.StructType):
-        kept = [f for f in dtype.fields if f.name not in C.MODEL_FORBIDDEN_KEYS]
-        return F.when(
-            col.isNotNull(), F.struct(*[_scrub_nested(col[f.name], f.dataType).alias(f.name) for f in kept])
-        )
-    return col
+        return len(_kept(dtype)) < len(dtype.fields) or any(_touched(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.StringType)
+
+
+def _all_strings(col: Column, dtype: T.DataType) -> Column:
+    """All strings of a value that may pass, as one flat array."""
+    none = F.array().cast("array<string>")
+    if isinstance(dtype, T.StringType):
+        return F.array(col)
+    if isinstance(dtype, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(col, lambda x: _all_strings(x, dtype.elementType))), none) if _nested_strings(dtype.elementType) else none
+    if isinstance(dtype, T.MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_values(col), lambda x: _all_strings(x, dtype.valueType))), none) if _nested_strings(dtype.valueType) else none
+    if isinstance(dtype, T.StructType):
+        parts = [_all_strings(col[f.name], f.dataType) for f in _kept(dtype) if _nested_strings(f.dataType)]
+        return F.coalesce(F.concat(*parts), none) if parts else none
+    return none
 
 
 def model_boundary(df: DataFrame) -> DataFrame:
-    """Projection for an outside model: identity and locator fields dropped, strings masked."""
+    """Projection for an outside model: identity and locator fields dropped, strings masked, in structs, arrays and maps too.
+
+    Normalising may need Python, which lambdas over nested values cannot call. So the distinct strings of a nested value go through the same
+    mask once, as one array, and the value is rebuilt by looking its strings up.
+    """
     kept = [f for f in df.schema.fields if f.name not in C.MODEL_FORBIDDEN_KEYS]
-    return df.select(*[_scrub(F.col(f.name), f.dataType).alias(f.name) for f in kept])
+    nested = [f for f in kept if not isinstance(f.dataType, T.StringType) and _touched(f.dataType)]
+    plain_text = lambda c: F.when(c.isNotNull(), text.redact(c))
+    out = df.select(*[plain_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in kept])
+    if not nested:
+        return out
+    strings = F.array_distinct(F.array_compact(F.concat(*[_all_strings(F.col(f"`{f.name}`"), f.dataType) for f in nested])))
+    plain = out.withColumn("_strings", strings).withColumn("_clean", text.normalize_all(F.col("_strings")))
+    masked = plain.withColumn("_known", F.map_from_arrays("_strings", F.transform("_clean", lambda x: functools.reduce(text.mask, C.MASKS, x))))
+    look = lambda c: F.when(c.isNotNull(), F.element_at(F.col("_known"), c))
+    return masked.select(*[(_scrub(F.col(f"`{f.name}`"), f.dataType, look) if f in nested else F.col(f"`{f.name}`")).alias(f.name) for f in kept])
 
 
 def anonymized(items: DataFrame) -> DataFrame:

@@ -79,17 +79,22 @@ def redact_pii(spark, d):
 
 
 @query("prj.model_boundary", with_items(
-    f""" SELECT id, {redact_sql('title')} AS title, rating, {redact_sql("'see ' || source_url")} AS note,
- 'title,rating,note,inner' AS fields, 'inner_text' AS inner_fields FROM items"""))
+    f""" SELECT id, {redact_sql('title')} AS title, rating, {redact_sql("'see ' || source_url")} AS note, 'title,rating,note,inner,tags,extra' AS fields, 'inner_text' AS inner_fields,
+ {redact_sql('title')} AS inner_text, {redact_sql("'x' || ordinal || '@mail.org'")} || '|' || {redact_sql('text')} AS tags, 'note' AS extra_keys, {redact_sql("'call 0912345678 ' || text")} AS extra_note FROM items"""))
 def model_boundary(spark, d):
-    nested = items(spark, d).select(
+    nested = items(spark, d, heavy=True).select(
         "id", "title", "rating", F.concat(F.lit("see "), "source_url").alias("note"), "source_url", "board",
         F.struct(F.col("title").alias("inner_text"), F.col("board").alias("forum"), F.col("source_url").alias("address")).alias("inner"),
+        F.array(F.concat(F.lit("x"), F.col("ordinal").cast("string"), F.lit("@mail.org")), F.col("text")).alias("tags"),
+        F.create_map(F.lit("author"), F.lit("Bob"), F.lit("note"), F.concat(F.lit("call 0912345678 "), "text")).alias("extra"),
     )
     out = hygiene.model_boundary(nested)
     inner = ",".join(out.schema["inner"].dataType.names)
     outer = ",".join(c for c in out.columns if c != "id")
-    return out.select("id", "title", "rating", "note", F.lit(outer).alias("fields"), F.lit(inner).alias("inner_fields"))
+    return out.select(
+        "id", "title", "rating", "note", F.lit(outer).alias("fields"), F.lit(inner).alias("inner_fields"), F.col("inner.inner_text").alias("inner_text"),
+        F.array_join("tags", "|").alias("tags"), F.array_join(F.map_keys("extra"), ",").alias("extra_keys"), F.col("extra")["note"].alias("extra_note"),
+    )
 
 
 @query("prj.anonymized", with_items(f""" SELECT report_id, id AS review_key, rating,
