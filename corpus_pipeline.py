@@ -12,8 +12,7 @@ from opinionlake.session import scratch
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     prepare(spark)
-    judged = quality_rules.judge(docs)
-    return judged.filter("kept").select(*docs.columns)
+    return quality_rules.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

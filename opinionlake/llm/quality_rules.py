@@ -30,6 +30,8 @@ class Rules:
     min_mean_chars: int = 3
     max_mean_chars: int = 12
     host_rate: float = 0.5
+    #: The prior counts for this many documents at least, so that one document cannot condemn a host.
+    min_strength: float = 10.0
 
 
 SOFT = ("symbols", "lines", "chars")
@@ -102,18 +104,17 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
         spread = mean * (1 - mean)
         # Variance of the hosts' rates, weighted by size, without the part that sampling alone would give.
         between = (F.col(f"_q_{r}") / F.col("_all") - mean * mean) - spread * F.col("_hosts") / F.col("_all")
-        strength = F.when((spread > 0) & (between > spread * 1e-6), F.greatest(spread / between - 1, F.lit(1.0))).otherwise(F.lit(1e6))
+        strength = F.when((spread > 0) & (between > spread * 1e-6), F.greatest(spread / between - 1, F.lit(rules.min_strength))).otherwise(F.lit(1e6))
         rate = F.round((F.col(f"_k_{r}") + strength * mean) / (n + strength), 9)
         bad = bad | (rate > rules.host_rate)
     return joined.select("_host", bad.alias("_bad"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of the documents (all by default) with the measures, ``n_soft``, ``host_bad`` and ``kept``.
+def _judged(docs: DataFrame, names: list[str], text: str, host: str, rules: Rules) -> DataFrame:
+    """The named columns as ``_row``, with all results.
 
     The measured rows are written once to the shared folder, as host sums and the join back both read them.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     carry = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{host}`").alias("_h0")]
     measured = written(measure(docs, text, rules, carry), "quality")
     verdicts = host_verdicts(measured, "_h0", rules)
@@ -121,6 +122,17 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
     soft = sum((F.col(f"_f_{r}").cast("bigint") for r in SOFT), F.lit(0).cast("bigint"))
     bad = F.coalesce("_bad", F.lit(False))
     return joined.select(
-        "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~(bad & (soft > 0))).alias("kept"), soft.alias("n_soft"), bad.alias("host_bad"),
     )
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns of the documents (all by default) with the measures, ``n_soft``, ``host_bad`` and ``kept``."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    return _judged(docs, names, text, host, rules).select("_row.*", *RESULT)
+
+
+def clean(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The documents that the rules keep; their own columns, whatever their names."""
+    return _judged(docs, docs.columns, text, host, rules).filter("kept").select("_row.*")

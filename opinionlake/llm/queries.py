@@ -207,7 +207,7 @@ h AS (SELECT source, r, count(*) AS n, count(*) FILTER (v) AS k
 g AS (SELECT r, sum(n) AS a, sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) AS q, count(*) AS hosts FROM h GROUP BY r),
 e AS (SELECT *, mean * (1 - mean) AS sp, q - mean * mean - mean * (1 - mean) * hosts / a AS bt FROM g),
 v AS (SELECT source, bool_or(round((k + st * mean) / (n + st), 9) > 0.5) AS bad
-      FROM (SELECT h.*, e.mean, CASE WHEN sp > 0 AND bt > sp * 1e-6 THEN greatest(sp / bt - 1, 1.0) ELSE 1e6 END AS st FROM h JOIN e USING (r)) GROUP BY source)
+      FROM (SELECT h.*, e.mean, CASE WHEN sp > 0 AND bt > sp * 1e-6 THEN greatest(sp / bt - 1, 10.0) ELSE 1e6 END AS st FROM h JOIN e USING (r)) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND n_soft > 0) AS kept, n_soft, bad AS host_bad
 FROM (SELECT *, (f1::INT + f2::INT + f3::INT)::BIGINT AS n_soft FROM f) x JOIN v ON v.source IS NOT DISTINCT FROM x.source
 """

@@ -44,7 +44,7 @@ def test_quality(odd, empty):
 def test_quality_host(spark):
     """A host whose documents mostly fail a soft rule is condemned, but its clean documents stay; few documents do not condemn."""
     good = "plain words that say something useful about many things in a calm tone today"
-    noisy = good + " # # # # # # # #"
+    noisy = good + " #1 $2 %3 &4 *5"
     rows = [(i, noisy if i % 10 else good, "bad") for i in range(100)] + [(100 + i, good, f"h{i % 9}") for i in range(300)] + [(500, noisy, "tiny")]
     got = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows)).collect()}
     assert not got[1].kept and got[1].host_bad and got[10].kept and got[500].kept and not got[500].host_bad
@@ -220,7 +220,7 @@ def test_decontamination(spark, odd, empty):
 def test_decontamination_threshold(spark):
     words = [f"w{i}" for i in range(54)]  # 50 shingles
     item = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
-    rows = [(10 + k, "start " + " ".join(words[: 54 - k]) + " " + LONG, "a") for k in range(0, 14)]
+    rows = [(10 + k, "start " + " ".join(words[: 54 - k]) + " " + LONG.replace("w", "v"), "a") for k in range(0, 14)]
     got = {r.doc_id: r.n_shared for r in decontaminate.contained(docs(spark, rows), item).collect()}
     assert got == {10 + k: 50 - k for k in range(0, 11)}
 
@@ -257,7 +257,7 @@ def test_chat(spark):
     made = chat_format.format_chats(chats(spark, rows))
     got = {r.conv_id: r for r in chat_format.digests(made).collect()}
     assert {c: r.n_turns for c, r in got.items()} == {1: 6, None: 1, 2: 1, 3: 1}
-    assert got[1].loss_chars == 6 and got[None].loss_chars == 19
+    assert got[1].loss_chars == 6 and got[None].loss_chars == 18
     texts = sorted(chat_format.parse(r.formatted)[0] for r in made.collect() if r.conv_id == 3)
     assert texts == [("a\nb\\", "<\\|im_start|>")]
     assert chat_format.digests(chat_format.format_chats(chats(spark, []))).count() == 0
