@@ -76,7 +76,6 @@ def trend(
             "_high": high,
         }
     ).withColumn("period", dates.bucket(F.col("_day"), interval))
-    figures = ["count", *_COUNTS, *[f"{s}_items" for s in C.SOURCES]]
     per_bucket = tagged.groupBy(*keys, "_low", "_high", "period").agg(
         F.count("*").alias("count"),
         *sentiment_counts(),
@@ -85,6 +84,15 @@ def trend(
         F.max("_day").alias("_last"),
         F.sum("_excluded").alias("_excluded"),
     )
+    return _series(per_bucket, interval, keys)
+
+
+_FIGURES = ["count", *_COUNTS, *[f"{s}_items" for s in C.SOURCES]]
+
+
+def _series(per_bucket: DataFrame, interval: str, keys) -> DataFrame:
+    """Counts per (group, bounds, bucket) padded with the calendar of their group."""
+    figures = _FIGURES
     point = F.struct("period", *figures)
     per_group = per_bucket.groupBy(*keys, "_low", "_high").agg(
         F.min("_first").alias("_first"),
@@ -185,6 +193,14 @@ def before_after(items: DataFrame, plans: DataFrame, days: int = 28) -> DataFram
         F.struct(F.lit("after").alias("phase"), F.col("after").alias("report_id"), start.alias("date_from"), F.date_add(start, days - 1).alias("date_to")),
     )
     spans = plans.select("plan_id", F.explode(phases).alias("s")).select("plan_id", "s.*")
-    keyed = spans.select("plan_id", "phase", "report_id").join(items, "report_id")
-    bounds = spans.select("plan_id", "phase", "date_from", "date_to")
-    return trend(keyed, "week", keys=("plan_id", "phase"), bounds=bounds)
+    # Items are summed by report and day first; plans meet those few rows, never the items themselves.
+    day = dates.local_day(F.col("published_at"))
+    usable = day.isNotNull() & F.coalesce(F.col("date_precision").isin(*C.ACCEPTED_PRECISION["week"]), F.lit(False))
+    daily = items.groupBy("report_id", F.when(usable, day).alias("_at")).agg(F.count("*").alias("count"), *sentiment_counts(), *source_counts())
+    inside = F.when(F.col("_at").between(F.col("date_from"), F.col("date_to")), F.col("_at"))
+    met = spans.join(daily, "report_id").withColumns({"_day": inside, "_low": F.col("date_from"), "_high": F.col("date_to")})
+    per_bucket = met.groupBy("plan_id", "phase", "_low", "_high", dates.bucket(F.col("_day"), "week").alias("period")).agg(
+        *[F.sum(f).alias(f) for f in _FIGURES], F.min("_day").alias("_first"), F.max("_day").alias("_last"),
+        F.sum(F.when(F.col("_at").isNull(), F.col("count")).otherwise(0)).alias("_excluded"),
+    )
+    return _series(per_bucket, "week", ("plan_id", "phase"))

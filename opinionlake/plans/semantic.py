@@ -123,9 +123,9 @@ def model_scores(spark, d):
 
 
 @query("udf.sentiment", with_items("""SELECT label, count(*) AS rows FROM (SELECT CASE WHEN p >= u AND p >= g THEN 'positive' WHEN u >= g THEN 'neutral' ELSE 'negative' END AS label FROM (
- SELECT (n % 10) / 20.0::DOUBLE + 0.05::DOUBLE AS p, (n % 7) / 20.0::DOUBLE AS u, (n % 4) / 20.0::DOUBLE AS g FROM (SELECT length(title) AS n FROM items))) GROUP BY 1"""))
+ SELECT (n % 10) / 20.0::DOUBLE + 0.05::DOUBLE AS p, (n % 7) / 20.0::DOUBLE AS u, (n % 4) / 20.0::DOUBLE AS g FROM (SELECT length(text) AS n FROM items))) GROUP BY 1"""))
 def udf_sentiment(spark, d):
-    scored = items(spark, d).select(length_scorer("title").alias("s"))
+    scored = items(spark, d).select(length_scorer("text").alias("s"))
     return scored.select(labelling.picked(F.col("s"))["sentiment"].alias("label")).groupBy("label").agg(F.count("*").alias("rows"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinionlake.functions import identity, text, values
-from opinionlake.operators import scope as S
 
 MASKED = ("title", "text", "owner_reply")
 
@@ -16,32 +15,34 @@ MASKED = ("title", "text", "owner_reply")
 def snapshot(items: DataFrame, membership: DataFrame, labels: DataFrame, reports: DataFrame) -> DataFrame:
     """Items of every report with the labels of the same job, masked and whitelisted.
 
-    ``membership``: (report_id, id, ordinal); ``labels``: (report_id, id, ...); ``reports``:
-    (report_id, subject_name). Repeated versions of an item collapse to the last one.
+    ``membership``: (report_id, id, ordinal); ``items``: one row per id; ``labels``: (report_id, id, ...); ``reports``:
+    (report_id, subject_name). Repeated links of an item keep the first place. Links are made unique and labelled as slim rows, and
+    each item is masked once, however many reports hold it, before texts move to their links.
     """
     empty = F.array().cast("array<string>")
-    rows = membership.join(items, "id").join(labels, ["report_id", "id"], "left").join(reports, "report_id", "left")
+    links = membership.groupBy("report_id", "id").agg(F.min("ordinal").alias("ordinal"))
+    links = links.join(labels, ["report_id", "id"], "left").join(reports, "report_id", "left")
+    clean = items
     for column in MASKED:
-        if column in rows.columns:
+        if column in clean.columns:
             missing = F.coalesce(F.col(column), F.lit("")) == ""
-            rows = text.add_masked(rows.withColumn("_none", missing), column, long=column == "text")
+            clean = text.add_masked(clean.withColumn("_none", missing), column, long=column == "text")
             # A missing title or reply stays missing; a missing text is an empty text.
             if column != "text":
-                rows = rows.withColumn(column, F.when(~F.col("_none"), F.col(column)))
-            rows = rows.drop("_none")
-    shaped = rows.withColumns(
+                clean = clean.withColumn(column, F.when(~F.col("_none"), F.col(column)))
+            clean = clean.drop("_none")
+    clean = clean.withColumns(
+        {"source_url": identity.safe_url(F.col("source_url")), "metrics": values.metrics(F.col("metrics")), "signal": values.signal(F.col("signal"))}
+    )
+    return links.join(clean, "id").withColumns(
         {
             "channel_label": F.when(F.col("source") == "google_maps", F.col("subject_name")).otherwise(F.col("board")),
-            "source_url": identity.safe_url(F.col("source_url")),
-            "metrics": values.metrics(F.col("metrics")),
-            "signal": values.signal(F.col("signal")),
             "aspects": F.coalesce("aspects", empty),
             "negative_aspects": F.coalesce("negative_aspects", empty),
             "rating_text_conflict": F.coalesce("rating_text_conflict", F.lit(False)),
             "topic_keys": empty,
         }
     ).drop("subject_name")
-    return S.dedup(shaped)
 
 
 def save_once(rows: DataFrame, reports: DataFrame, path: str) -> DataFrame:
