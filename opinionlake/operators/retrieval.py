@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
 from opinionlake.functions import values
 from opinionlake.operators import ranks
+from opinionlake.session import scratch
 
 QUERY_CHUNK = 512
 
@@ -69,42 +69,38 @@ def topk(vectors: DataFrame, query, limit: int = C.RETRIEVAL_LIMIT, keys=(), col
 def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.RETRIEVAL_LIMIT) -> DataFrame:
     """Top-k vectors of every query.
 
-    Queries are taken in chunks of ``QUERY_CHUNK``, each broadcast to one pass over the vectors. A
-    task multiplies its Arrow batches by the chunk and passes on at most ``limit`` rows per query
-    and batch, so no pair list is ever built. ``queries`` holds (query_id, embedding).
+    ``queries`` (query_id, embedding) are written to the shared folder in files of at most ``QUERY_CHUNK``. Each task of the one pass over
+    the vectors multiplies its Arrow batches by one file's queries after the other and passes on at most ``limit`` rows per query and
+    batch: no pair list is built, and no query passes through the driver.
     """
-    spark = vectors.sparkSession
-    ordered = queries.select("query_id", "embedding").orderBy("query_id")
-    parts = []
-    for start in range(0, queries.count(), QUERY_CHUNK):
-        chunk = ordered.offset(start).limit(QUERY_CHUNK).toPandas()
-        shared = spark.sparkContext.broadcast(
-            (chunk["query_id"].to_numpy("int64"), np.stack(chunk["embedding"].to_numpy()).astype("float64"))
-        )
-        parts.append(_score_chunk(vectors, shared, limit))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double, position int")
-    scored = functools.reduce(DataFrame.unionByName, parts)
+    path = scratch(vectors.sparkSession, "queries")
+    slim = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    slim.write.option("maxRecordsPerFile", QUERY_CHUNK).parquet(path)
+    scored = vectors.select("vec_id", "embedding").mapInPandas(_scorer(path, limit), "query_id bigint, vec_id bigint, score double")
     return ranks.top_rows(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], limit, rank="position")
 
 
-def _score_chunk(vectors: DataFrame, shared, limit: int) -> DataFrame:
+def _scorer(path: str, limit: int):
+    def chunks():
+        store, at = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+        for file in dataset.dataset(at, filesystem=store, format="parquet", exclude_invalid_files=True).get_fragments():
+            table = file.to_table()
+            yield table["query_id"].to_numpy(), table["embedding"].to_pylist()
+
     def score(batches):
-        ids, matrix = shared.value
         for batch in batches:
-            same = batch[batch["embedding"].map(len) == matrix.shape[1]].sort_values("vec_id")
-            if same.empty:
-                continue
-            keys = same["vec_id"].to_numpy()
-            scores = matrix @ np.stack(same["embedding"].to_numpy()).astype("float64").T
-            # Columns ascend by vec_id, so a stable sort breaks score ties by the smaller id.
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, best.shape[1]),
-                    "vec_id": keys[best].ravel(),
-                    "score": np.take_along_axis(scores, best, axis=1).ravel(),
-                }
-            )
-
-    return vectors.select("vec_id", "embedding").mapInPandas(score, "query_id bigint, vec_id bigint, score double")
+            by_size = {n: rows.sort_values("vec_id") for n, rows in batch.groupby(batch["embedding"].map(len))}
+            for ids, embeddings in chunks():
+                sizes = np.array([len(e) for e in embeddings])
+                for n in set(sizes.tolist()) & set(by_size):
+                    asked = ids[sizes == n]
+                    matrix = np.array([e for e in embeddings if len(e) == n], "float64")
+                    keys = by_size[n]["vec_id"].to_numpy()
+                    scores = matrix @ np.stack(by_size[n]["embedding"].to_numpy()).astype("float64").T
+                    # Columns ascend by vec_id, so a stable sort breaks score ties by the smaller id.
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+                    yield pd.DataFrame(
+                        {"query_id": np.repeat(asked, best.shape[1]), "vec_id": keys[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()}
+                    )
+
+    return score

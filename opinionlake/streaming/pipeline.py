@@ -140,7 +140,9 @@ def change_feed(stream: DataFrame, path: str, key: str, value: str, order: str)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        past = read_batches(spark, f"{path}/last", kept).filter(F.col("batch") == batch_id - 1)
+        earlier = read_batches(spark, f"{path}/last", kept).filter(F.col("batch") < batch_id)
+        newest_batch = earlier.agg(F.max("batch")).first()[0]  # of a partition column; batches may be missing in between
+        past = earlier.filter(F.col("batch") == F.lit(newest_batch))
         past = past.select(F.col(key).alias("_key"), F.col(value).alias("_past"))
         batch.persist()
         first = batch.groupBy(key).agg(F.min(order).alias("_first"))
@@ -159,9 +161,16 @@ def change_feed(stream: DataFrame, path: str, key: str, value: str, order: str)
 
 
 # ---- metrics and log ----------------------------------------------------------------------
-def with_metrics(stream: DataFrame, name: str, *extra: Column) -> DataFrame:
-    """Per-batch counters collected by Spark itself; read them from the query's progress or a listener."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"), *extra)
+def metered_writer(path: str, metrics_path: str, *extra: Column) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch, and one row of counters for it to a table of its own; both replace themselves when replayed."""
+    write_batch, write_metrics = batch_writer(path), batch_writer(metrics_path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, batch_id)
+        landed = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        write_metrics(landed.agg(F.count(F.lit(1)).alias("rows"), *extra), batch_id)
+
+    return write
 
 
 def event_rows(batches: DataFrame, job: str, payload, event_type: str, at: Column) -> DataFrame:
@@ -171,5 +180,6 @@ def event_rows(batches: DataFrame, job: str, payload, event_type: str, at: Colum
     )
 
 
-def append_events(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_events(rows: DataFrame, path: str, batch_id: int) -> None:
+    """The log rows of one committed batch; written again, they replace themselves."""
+    batch_writer(path)(rows, batch_id)
