@@ -152,10 +152,27 @@ def alternation(words) -> str:
     return "|".join("".join("\\" + ch if ch in r"\.^$|?*+()[]{}-" else ch for ch in w) for w in quoted)
 
 
-def token_pattern(brand_terms=()) -> str:
-    """Latin/digit runs plus the longest dictionary word at each Chinese position."""
-    words = [*C.DOMAIN_TERMS, *(unicodedata.normalize("NFKC", b).casefold() for b in brand_terms)]
-    return "(" + alternation(w for w in words if w.isalnum()) + "|[a-z0-9]+)"
+HAN = "一-鿿"
+#: Runs of letters and digits of all other scripts.
+RUN = rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+"
+_BOUND = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+
+
+def han_words(words) -> str:
+    """The dictionary's words as an alternation; words without Han letters are runs anyway."""
+    return alternation(w for w in words if w.isalnum() and any("一" <= c <= "鿿" for c in w))
+
+
+def token_pattern(brand_terms=(), words=C.DOMAIN_TERMS) -> str:
+    """Brand names of several words, runs of letters and digits, the longest dictionary word at a Han position, and Han letters that no word covers.
+
+    The common case comes first, so a Latin text never tries the dictionary.
+    """
+    brands = [unicodedata.normalize("NFKC", b).casefold() for b in brand_terms]
+    several = alternation(b for b in brands if b.strip() and not b.isalnum())
+    known = han_words([*words, *brands])
+    loose = rf"(?:(?!{known})[{HAN}])+" if known else rf"[{HAN}]+"
+    return "(" + "|".join(p for p in (several and f"{_BOUND[0]}(?:{several}){_BOUND[1]}", RUN, known, loose) if p) + ")"
 
 
 def tokens(folded: Column, pattern: str | Column | None = None) -> Column:

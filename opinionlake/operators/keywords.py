@@ -24,13 +24,16 @@ def with_brand_tokens(items: DataFrame, brands: DataFrame) -> DataFrame:
     ``brands`` holds (report_id, brand_terms) - one small row per report; the scanner pattern is
     built in columns and joined on, so any number of reports share one pass.
     """
-    base = sorted({w for w in C.DOMAIN_TERMS}, key=lambda w: (-len(w), w))
-    words = F.concat(F.array(*[F.lit(w) for w in base]), F.transform("brand_terms", lambda b: F.lower(b)))
-    words = F.filter(F.array_distinct(words), lambda w: w.rlike(r"^[\p{L}\p{N}]+$"))
-    ordered = F.transform(
-        F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]
+    lower = F.transform("brand_terms", lambda b: F.lower(F.trim(b)))
+    words = F.concat(F.array(*[F.lit(w) for w in C.DOMAIN_TERMS]), lower)
+    longest_first = lambda ws: F.transform(
+        F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]
     )
-    pattern = F.concat(F.lit("("), F.array_join(ordered, "|"), F.lit("|[a-z0-9]+)"))
+    whole = lambda w: w.rlike(r"^[\p{L}\p{N}]+$")
+    known = F.array_join(longest_first(F.filter(F.array_distinct(words), lambda w: whole(w) & w.rlike(f"[{text.HAN}]"))), "|")
+    several = F.transform(longest_first(F.filter(F.array_distinct(lower), lambda w: ~whole(w) & (w != ""))), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}\s])", r"\\$1"))
+    first = F.when(F.size(several) > 0, F.concat(F.lit(f"{text._BOUND[0]}(?:"), F.array_join(several, "|"), F.lit(f"){text._BOUND[1]}|"))).otherwise("")
+    pattern = F.concat(F.lit("("), first, F.lit(f"{text.RUN}|"), known, F.lit("|(?:(?!"), known, F.lit(f")[{text.HAN}])+)"))
     named = brands.select("report_id", pattern.alias("_pattern"))
     joined = items.join(named, "report_id", "left")
     chosen = F.coalesce("_pattern", F.lit(text.token_pattern()))

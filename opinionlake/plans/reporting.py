@@ -147,11 +147,7 @@ def dictionary(spark, d):
     )
 
 
-@query("udf.tokenize", with_items(f""", b AS (SELECT DISTINCT 'r' || (length(c_mktsegment) % 4) AS report_id FROM customer), x AS (
- SELECT id, len({TOKENS_SQL}) AS n FROM items WHERE report_id NOT IN (FROM b)
- UNION ALL SELECT id, len({TOKENS_SQL.replace("|[a-z0-9]+)", "|furniture|machinery|automobile|household|building|th|[a-z0-9]+)")}) AS n FROM items
-  WHERE report_id IN (FROM b))
- SELECT id, CAST(n AS BIGINT) AS n, '{C.TOKENIZER_VERSION}' AS tokenizer_version FROM x"""))
+@query("udf.tokenize", with_items(f" SELECT id, len({TOKENS_SQL})::BIGINT AS n, '{C.TOKENIZER_VERSION}' AS tokenizer_version FROM items"))
 def tokenize(spark, d):
     out = keywords.with_brand_tokens(items(spark, d, heavy=True), brand_frame(spark, d))
     return out.select("id", F.size("tokens").cast("bigint").alias("n"), F.lit(C.TOKENIZER_VERSION).alias("tokenizer_version"))

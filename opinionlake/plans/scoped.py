@@ -54,7 +54,7 @@ _filter("flt.precision", S.Scope(interval="week", precision_policy="interval"),
         "day IS NOT NULL AND date_precision IN ('day', 'week')")
 
 TOKENS_SQL = (
-    "list_filter(regexp_extract_all(folded, '" + text.token_pattern() + "', 1), lambda t: length(t) >= 2 AND t NOT IN ("
+    "list_filter(regexp_extract_all(folded, '((?:[^\\P{L}一-鿿]|\\p{N})+|" + text.han_words(C.DOMAIN_TERMS) + ")', 1), lambda t: length(t) >= 2 AND t NOT IN ("
     + ", ".join(f"'{w}'" for w in C.STOPWORDS) + ") AND NOT regexp_matches(t, '^[0-9]+$'))"
 )
 _filter("flt.keyword", S.Scope(keyword="Thon"), f"list_contains({TOKENS_SQL}, 'thon')")
