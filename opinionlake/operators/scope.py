@@ -207,6 +207,22 @@ def scope_key(report: Column, digest_col: Column, scope_json: str, version: int
     )
 
 
+#: Fields that make up an item's content in a digest.
+CONTENT = ("id", "source", "sentiment", "text")
+
+
+def with_scope_key(rows: DataFrame, items: DataFrame, scope: Scope, member: Column | None = None, version: int = 4) -> DataFrame:
+    """``rows`` of a report with the key of their scope, equal to that of the report's ``scope_rows``.
+
+    ``member`` (a topic or brand name) narrows the scope; it is put behind the scope's filters.
+    """
+    filters = F.lit(scope.as_json()) if member is None else F.concat_ws("|", F.lit(scope.as_json()), member)
+    digests = digest(items, list(CONTENT)).select(F.col("report_id").alias("_report"), "content_digest")
+    keyed = rows.join(digests, F.col("report_id") == F.col("_report"), "left")
+    text_key = F.concat_ws("|", "report_id", F.lit(str(version)), "content_digest", filters)
+    return keyed.withColumn("scope_key", F.substring(F.sha2(text_key, 256), 1, 24)).drop("_report", "content_digest")
+
+
 def unavailable(items: DataFrame, columns, keys=("report_id",)) -> DataFrame:
     """Metadata columns no row of the report provides."""
     missing = F.array_compact(F.array(*[F.when(F.count(c) == 0, c) for c in columns]))

@@ -10,7 +10,7 @@ from opinionlake import constants as C
 from opinionlake.operators import compare, stats
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
-from opinionlake.plans.scoped import _FIVE, _RATIOS, _SRC, _THREADS, dates_as_text
+from opinionlake.plans.scoped import _FIVE, _RATIOS, _SRC, _THREADS, DIGESTS, dates_as_text, key_sql
 from opinionlake.sources.binding import items, with_items
 
 GROUPS = (
@@ -110,19 +110,18 @@ def member_series(spark, d):
     return stats.trend(rows, "week", keys=_KEYS, bounds=bounds)
 
 
-def _key(df):
-    parts = F.concat_ws("|", "report_id", "member", F.lit(SCOPE.as_json()))
-    return df.withColumn("scope_key", F.substring(F.sha2(parts, 256), 1, 24))
+def _key(spark, d, rows, scope):
+    return S.with_scope_key(rows, items(spark, d), scope, F.col("member"))
 
 
-_SERIES = _MEM + f""", bnd AS (SELECT report_id, min(day) AS f, max(day) AS t FROM mother GROUP BY 1), cal AS (
+_SERIES = _MEM + f""", {DIGESTS}, bnd AS (SELECT report_id, min(day) AS f, max(day) AS t FROM mother GROUP BY 1), cal AS (
  SELECT DISTINCT report_id, member, CAST(unnest(generate_series(CAST(date_trunc('week', f) AS TIMESTAMP), CAST(t AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS period
  FROM (SELECT DISTINCT report_id, member FROM mem) JOIN bnd USING (report_id)), c AS (
  SELECT report_id, member, CAST(date_trunc('week', day) AS DATE) AS period, count(*) AS count, {_FIVE}, {_SRC} FROM mem GROUP BY ALL), s0 AS (
  SELECT cal.*, coalesce(count, 0) AS count, {", ".join(f"coalesce({x}_count, 0) AS {x}_count" for x in C.SENTIMENTS)},
  {", ".join(f"coalesce({x}_items, 0) AS {x}_items" for x in C.SOURCES)} FROM cal LEFT JOIN c USING (report_id, member, period)), s AS (
  SELECT *, {_RATIOS}, CAST(period AS VARCHAR) AS p,
-  substr(sha256(report_id || '|' || member || '|' || '{SCOPE.as_json()}'), 1, 24) AS scope_key FROM s0)"""
+  {key_sql(SCOPE, "member")} AS scope_key FROM s0 JOIN dg USING (report_id))"""
 _LONG = " UNION ALL ".join(
     [f"SELECT member, report_id, p AS period, scope_key, '{m}' AS metric, {m}::DOUBLE AS value FROM s" for m in compare.LONG_METRICS]
     + [f"SELECT member, report_id, p, scope_key, 'source:{x}', {x}_items::DOUBLE FROM s WHERE {x}_items > 0" for x in C.SOURCES]
@@ -134,7 +133,7 @@ _LONG = " UNION ALL ".join(
 @query("sink.comparison_long", with_items(_SERIES + ", cnt AS (SELECT report_id, id, count(*) AS n FROM mem GROUP BY ALL) SELECT 'weekly topics' AS comparison, * FROM (" + _LONG + ")"))
 def comparison_long(spark, d):
     totals = compare.overlap_counts(tagged(spark, d))
-    return compare.long_table(_key(member_series(spark, d)), "weekly topics", totals)
+    return compare.long_table(_key(spark, d, member_series(spark, d), SCOPE), "weekly topics", totals)
 
 
 @query("cmp.warnings", with_items(_MEM + f""", sm AS (SELECT report_id, member, CAST(min(day) AS VARCHAR) AS observed_from,
@@ -159,8 +158,6 @@ def warnings(spark, d):
 EXTRA = S.Scope(sentiment="positive", source="ptt")
 
 
-@query("cmp.drilldown", with_items(_MEM + f""" SELECT report_id, member, id,
- substr(sha256(report_id || '|' || member || '|' || '{EXTRA.as_json()}'), 1, 24) AS scope_key FROM mem WHERE sent = 'positive' AND source = 'ptt'"""))
+@query("cmp.drilldown", with_items(_MEM + f""", {DIGESTS} SELECT report_id, member, id, {key_sql(EXTRA, "member")} AS scope_key FROM mem JOIN dg USING (report_id) WHERE sent = 'positive' AND source = 'ptt'"""))
 def drilldown(spark, d):
-    key = F.substring(F.sha2(F.concat_ws("|", "report_id", "member", F.lit(EXTRA.as_json())), 256), 1, 24)
-    return S.select(topic_members(spark, d), EXTRA).select("report_id", "member", "id", key.alias("scope_key"))
+    return _key(spark, d, S.select(topic_members(spark, d), EXTRA).select("report_id", "member", "id"), EXTRA)

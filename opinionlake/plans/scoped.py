@@ -53,6 +53,16 @@ _filter("flt.unknown_date", S.Scope(date_from=dt.date(2000, 1, 1)), "day IS NOT
 _filter("flt.precision", S.Scope(interval="week", precision_policy="interval"),
         "day IS NOT NULL AND date_precision IN ('day', 'week')")
 
+#: Content digest of each report, and a scope's key made from it.
+DIGESTS = """dg AS (SELECT report_id, sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 8))::BIGINT) || '|' || sum(('0x' || substr(h, 9, 8))::BIGINT) || '|' ||
+ sum(('0x' || substr(h, 17, 8))::BIGINT) || '|' || sum(('0x' || substr(h, 25, 8))::BIGINT)) AS dg FROM (
+ SELECT report_id, md5(id || chr(1) || source || chr(1) || coalesce(sentiment, chr(2)) || chr(1) || text) AS h FROM items) GROUP BY 1)"""
+
+
+def key_sql(scope, member: str = "") -> str:
+    return f"substr(sha256(report_id || '|4|' || dg || '|' || '{scope.as_json()}'{' || ' + repr('|') + ' || ' + member if member else ''}), 1, 24)"
+
+
 TOKENS_SQL = (
     "list_filter(regexp_extract_all(folded, '((?:[^\\P{L}一-鿿]|\\p{N})+|" + text.han_words(C.DOMAIN_TERMS) + ")', 1), lambda t: length(t) >= 2 AND t NOT IN ("
     + ", ".join(f"'{w}'" for w in C.STOPWORDS) + ") AND NOT regexp_matches(t, '^[0-9]+$'))"

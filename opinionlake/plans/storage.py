@@ -13,7 +13,7 @@ from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import AUTHOR_KEY, _INNER, _OUTER, norm_sql, redact_sql
 from opinionlake.plans.landing import shown
-from opinionlake.plans.scoped import trend_sql, dates_as_text
+from opinionlake.plans.scoped import DIGESTS, dates_as_text, key_sql, trend_sql
 from opinionlake.session import scratch
 from opinionlake.sources import exports, imports, snapshot
 from opinionlake.sources.binding import bare_items, items, table, text_table, with_items
@@ -115,18 +115,22 @@ def items_csv(spark, d):
 def items_json(spark, d):
     rows = exports.item_rows(items(spark, d))
     path = scratch(spark, "items-json")
-    exports.write_json(rows, scope_row(spark, d), path)
+    whole = items(spark, d).withColumn("relative_date", F.lit(None).cast("string"))
+    exports.write_json(rows, S.scope_rows(whole, S.Scope(), _META, list(S.CONTENT)), path)
     return spark.read.schema(rows.schema).json(f"{path}/items").drop("relative_date")
 
 
 _TREND_WEEK = trend_sql("week")
 
 
-@query("sink.trend_csv", f"""SELECT report_id, period, period_end, count, classified_count, positive_count, neutral_count, negative_count, rating_only_count, unknown_count, round(negative_ratio, 9) AS negative_ratio, round(pn_ratio, 9) AS pn_ratio,
- substr(sha256(report_id), 1, 24) AS scope_key FROM ({_TREND_WEEK})""")
+_WEEKLY = S.Scope(interval="week", precision_policy="interval")
+
+
+@query("sink.trend_csv", with_items(f""", {DIGESTS} SELECT report_id, period, period_end, count, classified_count, positive_count, neutral_count, negative_count, rating_only_count, unknown_count, round(negative_ratio, 9) AS negative_ratio, round(pn_ratio, 9) AS pn_ratio,
+ {key_sql(_WEEKLY)} AS scope_key FROM ({_TREND_WEEK}) JOIN dg USING (report_id)"""))
 def trend_csv(spark, d):
-    series = stats.trend(S.select(items(spark, d), S.Scope(interval="week", precision_policy="interval")), "week")
-    keyed = dates_as_text(series).withColumn("scope_key", F.substring(F.sha2("report_id", 256), 1, 24))
+    series = stats.trend(S.select(items(spark, d), _WEEKLY), "week")
+    keyed = S.with_scope_key(dates_as_text(series), items(spark, d), _WEEKLY)
     rows = exports.trend_rows(keyed)
     path = scratch(spark, "trend-csv")
     exports.write_csv(rows, path)
