@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opinionlake.functions import identity
 from opinionlake.functions.text import formula_safe
 
+# Columns of the export layouts, in their order.
 ITEM_COLUMNS = (
     "id", "source", "content_type", "title", "board", "thread_source_id", "source_url", "rating", "text", "relative_date",
     "sentiment", "confidence", "rating_text_conflict", "aspects", "key_points",
