@@ -105,19 +105,28 @@ def _conditions(scope: Scope) -> list[Column]:
         tests.append(F.array_contains("topic_keys", scope.topic_key))
     if scope.q:
         tests.append(F.contains(F.coalesce("text", F.lit("")), F.lit(scope.q)))
+    if _reads_text(scope):
+        # All tests on the folded text hang on one lambda variable, so it is built once a row, not once a term.
+        tests.append(F.exists(F.array("_folded"), lambda folded: _text_tests(scope, folded)))
+    return tests
+
+
+def _reads_text(scope: Scope) -> bool:
+    return bool(any(getattr(scope, g) for g in _TERM_GROUPS) or scope.keyword)
+
+
+def _text_tests(scope: Scope, folded: Column) -> Column:
+    has = lambda t: F.contains(folded, F.lit(t))
+    tests = [has(t) for t in scope.all_terms] + [~has(t) for t in scope.exclude_terms]
     if scope.any_terms:
-        hits = [F.contains(F.col("_folded"), F.lit(t)) for t in scope.any_terms]
-        tests.append(functools.reduce(lambda a, b: a | b, hits))
-    tests += [F.contains(F.col("_folded"), F.lit(t)) for t in scope.all_terms]
-    tests += [~F.contains(F.col("_folded"), F.lit(t)) for t in scope.exclude_terms]
+        tests.append(functools.reduce(lambda a, b: a | b, [has(t) for t in scope.any_terms]))
     if scope.keyword:
-        tests.append(F.array_contains(text.tokens(F.col("_folded")), _fold(scope.keyword)))
-    return tests
+        tests.append(F.array_contains(text.tokens(folded), _fold(scope.keyword)))
+    return functools.reduce(lambda a, b: a & b, tests)
 
 
 def _folded(items: DataFrame, scope: Scope) -> DataFrame:
-    needs_text = any(getattr(scope, g) for g in _TERM_GROUPS) or scope.keyword
-    return items.withColumn("_folded", item_text()) if needs_text else items
+    return items.withColumn("_folded", item_text()) if _reads_text(scope) else items
 
 
 def _date_flags(scope: Scope) -> dict[str, Column]:
