@@ -90,6 +90,7 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
     sums = measured.groupBy(F.col(host).alias("_host")).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f"_f_{r}").cast("bigint")).alias(f"_k_{r}") for r in SOFT]
     )
+    sums = written(sums, "hosts")  # one row a host; the moments and the rates both read it
     n = F.col("_n")
     moments = sums.agg(
         F.sum("_n").alias("_all"),
@@ -97,7 +98,8 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
         *[F.sum(F.col(f"_k_{r}") * F.col(f"_k_{r}") / n).alias(f"_q_{r}") for r in SOFT],
         F.count(F.lit(1)).alias("_hosts"),
     )
-    joined = sums.crossJoin(F.broadcast(moments))  # moments is a single row
+    joined = sums.withColumn("_m", moments.select(F.struct("*")).scalar())
+    joined = joined.select(*sums.columns, "_m.*")
     bad = F.lit(False)
     for r in SOFT:
         mean = F.col(f"_s_{r}") / F.col("_all")
@@ -113,11 +115,11 @@ def host_verdicts(measured: DataFrame, host: str, rules: Rules) -> DataFrame:
 def _judged(docs: DataFrame, names: list[str], text: str, host: str, rules: Rules) -> DataFrame:
     """The named columns as ``_row``, with all results.
 
-    The measured rows are written once to the shared folder, as host sums and the join back both read them.
+    Texts are measured twice, once for the sums by host and once beside the rows: that costs less than writing the rows in between.
     """
-    carry = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{host}`").alias("_h0")]
-    measured = written(measure(docs, text, rules, carry), "quality")
-    verdicts = host_verdicts(measured, "_h0", rules)
+    place = F.col(f"`{host}`").alias("_h0")
+    verdicts = host_verdicts(measure(docs, text, rules, [place]), "_h0", rules)
+    measured = measure(docs, text, rules, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), place])
     joined = measured.join(verdicts, F.col("_h0").eqNullSafe(F.col("_host")), "left")
     soft = sum((F.col(f"_f_{r}").cast("bigint") for r in SOFT), F.lit(0).cast("bigint"))
     bad = F.coalesce("_bad", F.lit(False))
@@ -135,4 +137,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", rules: Rule
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep; their own columns, whatever their names."""
-    return _judged(docs, docs.columns, text, host, rules).filter("kept").select("_row.*")
+    judged = _judged(docs, docs.columns, text, host, rules)
+    # One sum over both sides of the join, of terms that are never null. A condition on the texts alone, also an inferred "is not null", would
+    # be pushed below the projections of the measures, and each of these would be computed anew wherever it is named.
+    reasons = F.coalesce(F.col("base_failed").cast("int"), F.lit(1)) + F.coalesce((F.col("host_bad") & (F.col("n_soft") > 0)).cast("int"), F.lit(0))
+    return judged.filter(reasons == 0).select("_row.*")

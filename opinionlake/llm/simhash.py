@@ -184,12 +184,14 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest id, of equal ids that of the smallest text hash.
 
-    ``row_number() = 1`` is cut down inside each task before rows move, so a component with a third of all rows stays small.
+    The choice is made on slim rows; ``row_number() = 1`` is cut down inside each task before rows move, so a component with a third of all
+    rows stays small. Texts move once, to meet the chosen (id, text hash); of rows equal in both one is kept.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    text_column = F.col(f"`{text}`").cast("string")
-    rows = written(docs.select(whole, F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(text_column).alias("_hash"), fingerprints(text_column).alias("fp")), "dedup")
-    moved = linked(rows.select("fp").distinct(), radius, cell)
-    placed = rows.join(moved, F.col("fp") == F.col("u"), "left").withColumn("_root", F.coalesce("v", "fp"))
-    order = Window.partitionBy("_root").orderBy(F.col("_id").asc_nulls_last(), "_hash")
-    return placed.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).select("_row.*")
+    text_column, key = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
+    slim = written(docs.select(key.alias("_id"), F.xxhash64(text_column).alias("_hash"), fingerprints(text_column).alias("fp")), "fingerprints")
+    order = Window.partitionBy("root").orderBy(F.col("_id").asc_nulls_last(), "_hash")
+    chosen = roots(slim, radius, cell).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).select("_id", "_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_i"), F.xxhash64(text_column).alias("_h"))
+    met = rows.join(written(chosen, "chosen"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    one = Window.partitionBy("_i", "_h").orderBy(F.xxhash64("_row"))
+    return met.withColumn("_n", F.row_number().over(one)).filter(F.col("_n") == 1).select("_row.*")
