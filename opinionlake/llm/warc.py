@@ -289,11 +289,10 @@ def merge(folder: str, runs: DataFrame, fan: int = FAN) -> DataFrame:
     placed = written(runs.repartitionByRange("mark").withColumn("part", F.spark_partition_id()), "ranges")
     by_part = Window.orderBy("part")  # one row for each range
     lows = placed.groupBy("part").agg(F.min("mark").alias("_min"))
-    lows = lows.select("part", F.when(F.row_number().over(by_part) > 1, F.col("_min")).alias("low"), F.lead("_min").over(by_part).alias("high"), F.max("part").over(Window.partitionBy()).alias("_last"))
+    lows = lows.select("part", F.when(F.row_number().over(by_part) > 1, F.col("_min")).alias("low"), F.lead("_min").over(by_part).alias("high"))
     following = Window.partitionBy("run").orderBy("offset")
-    last = lows.select(F.col("_last").alias("_end")).limit(1)
     steps = placed.select("run", "offset", "part", F.lead("offset", 1).over(following).alias("_next"), F.lead("part", 1).over(following).alias("_to"), "bytes")
-    steps = steps.crossJoin(F.broadcast(last))  # a single row
+    steps = steps.withColumn("_end", placed.agg(F.max("part")).scalar())
     spread = steps.select("run", "offset", F.coalesce("_next", "bytes").alias("_next"), F.explode(F.sequence("part", F.coalesce("_to", "_end"))).alias("part"))
     cut = spread.groupBy("run", "part").agg(F.min("offset").alias("start"), F.max("_next").alias("end"))
     rows = cut.join(lows.select("part", "low", "high"), "part").select(*_STRETCHES)
