@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinionlake.llm import decontaminate, mixing, quality_rules, simhash, token_output
+from opinionlake.llm import decontaminate, mixing, near_copies, quality_rules, token_output
 from opinionlake.llm.queries import prepare, table, tokenizer_path
 from opinionlake.session import scratch
 
@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     prepare(spark)
-    return simhash.dedup(docs)
+    return near_copies.dedup(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ smallest non-null id (null if it has none). An empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,23 +34,34 @@ CHUNK = 1 << 16
 ROWS = 200_000
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """As an unsigned integer. Hashes are made and counted in chunks, so a long text needs little beyond its words."""
+def hashes(text: str | None, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of the runs of ``n`` words in chunks, so a long text needs little beyond its words; of fewer words, one hash of all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = min(n, len(words))
     starts, ends = starts[: len(words) - n + 1], ends[n - 1 :]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(starts), bitorder="little")
-    return int(bits.view("<u8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingle hashes: bits that over half of them have; zero of none."""
+    total, count = np.zeros(64, np.int64), 0
+    for chunk in chunks:
+        total += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(chunk)
+    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """As an unsigned integer."""
+    return majority(hashes(text, n))
 
 
 @F.pandas_udf(T.LongType())
@@ -144,6 +155,17 @@ def _compare(radius: int):
     return run
 
 
+def in_cells(banded: DataFrame, cell: int = CELL, member: str = "fp") -> DataFrame:
+    """(``member``, bucket, lo, hi): members of buckets beyond ``cell`` dealt to sub-blocks, and each pair of sub-blocks a cell."""
+    large = banded.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell)
+    cut = F.coalesce(F.ceil(F.col("_n") / (cell // 2)), F.lit(1)).cast("bigint")
+    split = banded.join(large, F.col("bucket") == F.col("_b"), "left").select(member, "bucket", cut.alias("_cut"))
+    own = F.pmod(F.xxhash64(member), F.col("_cut"))
+    split = split.select(member, "bucket", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cut") - 1)).alias("_other"))
+    # A sub-block meets itself in every cell it is in; its cell with itself is needed only when it is the only one.
+    return split.select(member, "bucket", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
+
+
 def linked(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """(u, v): each fingerprint that is not the least of its component, with the least. ``prints`` has a column ``fp`` of distinct ones."""
     blocks = radius + 2
@@ -154,13 +176,7 @@ def linked(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFra
         for t, (a, b) in enumerate(combinations(range(blocks), 2))
     ]
     banded = prints.select("fp", F.explode(F.array(*buckets)).alias("bucket"))
-    large = banded.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell)
-    cut = F.coalesce(F.ceil(F.col("_n") / (cell // 2)), F.lit(1)).cast("bigint")
-    split = banded.join(large, F.col("bucket") == F.col("_b"), "left").select("fp", "bucket", cut.alias("_cut"))
-    own = F.pmod(F.xxhash64("fp"), F.col("_cut"))
-    split = split.select("fp", "bucket", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cut") - 1)).alias("_other"))
-    cells = split.select("fp", "bucket", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"))
-    # A sub-block meets itself in every cell it is in; its cell with itself is needed only when it is the only one.
+    cells = in_cells(banded, cell)
     ordered = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "fp")
     return components(ordered.mapInPandas(_compare(radius), "u bigint, v bigint"))
 
@@ -189,8 +205,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
     """
     text_column, key = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
     slim = written(docs.select(key.alias("_id"), F.xxhash64(text_column).alias("_hash"), fingerprints(text_column).alias("fp")), "fingerprints")
+    return first_of(docs, roots(slim, radius, cell), doc_id, text)
+
+
+def first_of(docs: DataFrame, rooted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Of each ``root`` in ``rooted`` (_id, _hash, root) the row of ``docs`` with the smallest id, then text hash."""
+    text_column, key = F.col(f"`{text}`").cast("string"), F.col(f"`{doc_id}`")
     order = Window.partitionBy("root").orderBy(F.col("_id").asc_nulls_last(), "_hash")
-    chosen = roots(slim, radius, cell).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).select("_id", "_hash")
+    chosen = rooted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).select("_id", "_hash")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_i"), F.xxhash64(text_column).alias("_h"))
     met = rows.join(written(chosen, "chosen"), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     one = Window.partitionBy("_i", "_h").orderBy(F.xxhash64("_row"))
