@@ -1,7 +1,7 @@
 """WARC archives with an externally merged capture index.
 
 Each task writes records of its rows to gzip-per-record archives and, beside each archive, a run: the captures of that archive as lines sorted by (url key,
-timestamp, id), with the byte offset of every ``EVERY``-th line. The runs are merged into one global order. Sampled keys of all runs are range partitioned
+timestamp, id), with the byte offset of every ``EVERY``-th line; captures equal in these are ordered by the rest of the line. The runs are merged into one global order. Sampled keys of all runs are range partitioned
 by Spark, which gives bounded key ranges; each range is one task that reads only its stretch of each run and merges the stretches with a loser tree: the root holds
 the least line, and taking it replays one path of log2(k) comparisons. More than ``FAN`` runs are first merged in groups, level by level, so no
 task opens more than that. The merged parts, in order, are the capture histories: by url key, then by time.
@@ -86,9 +86,10 @@ def parse(member: bytes) -> dict:
     }
 
 
-def line_key(line: bytes) -> tuple[bytes, bytes, bytes]:
-    """Lines begin with key, timestamp and id, the two last padded to one width; they sort as text by field."""
-    return tuple(line.split(b" ", 3)[:3])  # type: ignore[return-value]
+def line_key(line: bytes) -> bytes:
+    """The line itself. It begins with key, timestamp and id, the two last padded to one width, and no key holds a byte up to the blank, so lines
+    sort by these; offset, length and archive set equal ones apart. Ranges, runs and merges must use this one order, or lines fall between ranges."""
+    return line
 
 
 class LoserTree:
@@ -132,7 +133,7 @@ class LoserTree:
 
 
 def run_bytes(lines: list[bytes]) -> tuple[bytes, list[tuple[bytes, int]]]:
-    """The sorted lines as a file, and (key, offset) of every ``EVERY``-th."""
+    """The sorted lines as a file, and (line, offset) of every ``EVERY``-th."""
     marks, at = [], 0
     for i, line in enumerate(lines):
         if i % EVERY == 0:
@@ -172,8 +173,7 @@ def _archive(folder: str, size: int):
         def close():
             nonlocal body, lines, at
             archive = files.save(folder, "capture.warc.gz", b"".join(body))
-            lines.sort(key=line_key)
-            data, marks = run_bytes([x + b" " + archive.rsplit("/", 1)[1].encode() for x in lines])
+            data, marks = run_bytes(sorted((x + b" " + archive.rsplit("/", 1)[1].encode() for x in lines), key=line_key))
             run_path = files.save(folder, "capture.run", data)
             out = pd.DataFrame({"run": run_path, "bytes": len(data), "mark": [k for k, _ in marks], "offset": [o for _, o in marks]})
             body, lines, at = [], [], 0
