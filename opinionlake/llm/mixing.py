@@ -142,10 +142,15 @@ def _dealt(rows: DataFrame, groups: DataFrame, order: list[Column]) -> DataFrame
     named = groups.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "k", "target", "source_size")
     joined = rows.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).drop("_s", "_z")
     joined = joined.withColumn("_block", F.pmod(F.xxhash64(*order), F.ceil(F.col("n") / BLOCK)))
-    place = F.row_number().over(Window.partitionBy("source", "size", "_block").orderBy(F.xxhash64(*order), *order)).cast("bigint")
+    # Places count on from block to block, so they are those of the whole group.
+    blocks = joined.groupBy(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy("_s", "_z").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    joined = joined.join(blocks, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_block") == F.col("_b"))).drop("_s", "_z", "_b")
+    place = F.row_number().over(Window.partitionBy("source", "size", "_block").orderBy(F.xxhash64(*order), *order)).cast("bigint") + F.col("_before")
     # Place i of n gets floor(i k / n) - floor((i - 1) k / n) copies: k in all, and no more than k / n rounded up each.
     copies = F.expr("(_place * k) div n - ((_place - 1) * k) div n")
-    return joined.withColumn("_place", place).withColumn("copies", copies.cast("bigint")).drop("_place", "_block", "n", "k")
+    return joined.withColumn("_place", place).withColumn("copies", copies.cast("bigint")).drop("_place", "_before", "_block", "n", "k")
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
