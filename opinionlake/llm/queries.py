@@ -8,7 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from opinionlake.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, token_output, url_filter, warc
+from opinionlake.llm import bpe_stream, chat_format, decontaminate, license_scan, mixing, prefix_trie, quality_rules, ranked_search, secret_scan, simhash, token_output, url_filter, warc
+from opinionlake.llm.common import written
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -43,10 +44,10 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_entropy_balanced_mixing")
@@ -216,3 +217,71 @@ FROM (SELECT *, (f1::INT + f2::INT + f3::INT)::BIGINT AS n_soft FROM f) x JOIN v
 @query("op10_quality_rules", QUALITY_SQL)
 def op10(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def rebuilt(rows):
+    """Turns (conv, depth, role, text) and conversations (conv) of op11: up to 8 first turns of conversation c - c % 5, then c's own from there on."""
+    turns = written(prefix_trie.ordered(rows), "ordered")
+    counts = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("_n"))
+    convs = counts.select("conv", (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).alias("_h"), (F.col("conv") - F.col("conv") % 5).alias("_base"))
+    of_base = counts.select(F.col("conv").alias("_b"), F.col("_n").alias("_m"))
+    plan = written(convs.join(of_base, F.col("_base") == F.col("_b"), "left").select("conv", "_h", "_base", F.coalesce("_m", F.lit(0)).alias("_m")), "plan")
+    heads = turns.filter(F.col("depth") <= 8).withColumnRenamed("conv", "_b").join(plan, (F.col("_b") == F.col("_base")) & (F.col("depth") <= F.col("_h")))
+    own = turns.join(plan.withColumnRenamed("conv", "_c"), F.col("conv") == F.col("_c")).filter(F.col("depth") > F.col("_h"))
+    own = own.withColumn("depth", F.least("_h", "_m") + F.col("depth") - F.col("_h"))
+    names = ["conv", F.col("depth").cast("bigint").alias("depth"), "role", "text"]
+    return heads.select(*names).unionByName(own.select(*names)), plan.select("conv")
+
+
+_TRIE_SQL = """
+WITH o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS p, {'role': role, 'text': text} AS t
+           FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+step AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS step),
+k AS (SELECT c, n, c - c % 5 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+             lambda x, y: xor(x >> 8, step[(xor(x, y) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), step),
+m AS (SELECT k.*, coalesce(b.n, 0) AS m FROM k LEFT JOIN (SELECT c AS bc, n FROM k) b ON b.bc = k.b),
+r AS (SELECT m.c, p AS d, t FROM m JOIN o ON o.c = m.b AND p <= h UNION ALL SELECT m.c, least(h, m) + p - h, t FROM m JOIN o ON o.c = m.c AND p > h),
+w AS (SELECT c, d, list(t) OVER (PARTITION BY c ORDER BY d) AS path FROM r UNION ALL SELECT c, 0, [] FROM m),
+l AS (SELECT c, max(d) AS l FROM w GROUP BY c),
+n AS MATERIALIZED (SELECT path, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = l), '')) AS ends FROM w JOIN l USING (c) GROUP BY path, d),
+ch AS (SELECT path[1:d-1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n - 1) * strlen(path[d].text) ELSE 0 END AS saved FROM n LEFT JOIN ch USING (path)),
+s AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT path[1:unnest(range(0, d + 1))] AS path, n_children, saved FROM f) GROUP BY path)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN n u ON f.d > 0 AND u.path = f.path[1:f.d-1]
+"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_bpe_round_trip")
+def op12(spark, sf_dir):
+    path = tokenizer_path("word_bpe_49k.json")
+    decoded = bpe_stream.decode(bpe_stream.encode(table(spark, sf_dir, "documents"), path), path)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+_RANKED_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+p AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, big_n),
+m AS (SELECT doc_id, 75 + (25 * len(w)::BIGINT * big_n) // big_l AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query("op13_ranked_search", _RANKED_SQL)
+def op13(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
