@@ -7,8 +7,9 @@ is a boundary whatever follows, and both sides are encoded independently of each
 sure boundary and goes on from there: a word of any length needs constant memory. It works for merge lists whose merges only use what earlier ones make;
 another list is refused.
 
-Texts are cut at ASCII spaces and line ends, which no word crosses. A piece seen before costs one lookup in a bounded cache; the words of a new one are cached by
-themselves. Pieces longer than ``PIECE`` are normalised, cut into words and encoded in parts, the last word being left open between parts. Special
+Texts are taken in stretches that end at a space. A stretch of common characters in normal form is lower-cased and cut into words at once, each word seen before
+costs one lookup in a bounded cache. What letters, numbers and white space are is asked of the tokenizer once for each worker. Other stretches are cut at ASCII
+spaces and line ends, which no word crosses; a piece seen before costs one lookup, the words of a new one are cached by themselves. Pieces longer than ``PIECE`` are normalised, cut into words and encoded in parts, the last word being left open between parts. Special
 tokens' strings in a text are those tokens, as in the tokenizer. Normalising and cutting into words is the tokenizer's own for pieces in one part.
 
 ``Detokenizer`` takes ids one after the other and gives text as soon as it is sure. Its ``letters`` form is that of a tokenizer without decoder (tokens' letters with spaces
@@ -23,6 +24,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from bisect import bisect_left
@@ -36,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinionlake.llm import characters
 from opinionlake.llm.common import text_of
 from opinionlake.llm.token_output import byte_letters
 
-PIECE, PART = 4096, 1 << 16
-PIECES, WORDS, LONG_WORD = 600_000, 600_000, 256
+PIECE, PART, STRETCH = 4096, 1 << 16, 1 << 18
+PIECES, WORDS, LONG_WORD = 250_000, 800_000, 256
 #: One sign of each kind of run that may go on from part to part.
 _MARK = {"letters": "a", "others": "!"}
 
@@ -49,7 +52,8 @@ class Merges:
     """The merge table by symbol ids, and the lookahead that is sufficient for it."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         made = set(vocab.values()) - {vocab[a + b] for a, b in merges}
         length = {i: 1 for i in made}
         rules: dict[int, list[tuple[int, int]]] = {}
@@ -61,7 +65,8 @@ class Merges:
             x, z, new = vocab[a], vocab[b], vocab[a + b]
             if x not in length or z not in length:
                 raise ValueError(f"merge {rank} uses what no earlier merge makes")
-            self.pairs.setdefault((x, z), (rank, new))
+            self.rank.setdefault((x, z), rank)
+            self.made.append(new)
             reach, open_ = 0, [(z, rank)]
             while open_:
                 s, deadline = open_.pop()
@@ -81,37 +86,40 @@ class Merges:
 
     def apply(self, ids: list[int]) -> list[int]:
         """All merges of one window, the earliest in the list first, equal ones from the left."""
-        pairs = self.pairs
-        if len(ids) > 48:
+        if len(ids) > 64:
             return self._apply_long(ids)
-        while len(ids) > 1:
-            best, at, new = None, 0, 0
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = pairs.get(pair)
-                if found is not None and (best is None or found[0] < best):
-                    (best, new), at = found, i
-            if best is None:
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [new]
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
         return ids
 
     def _apply_long(self, ids: list[int]) -> list[int]:
-        pairs, ids, n = self.pairs, list(ids), len(ids)
+        rank, ids, n = self.rank.get, list(ids), len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, found[1], pair) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := pairs.get(pair))]
+        heap = [(found, i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if (found := rank(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            best, i = heapq.heappop(heap)
             j = after[i]
-            if j >= n or (ids[i], ids[j]) != pair:
+            if j >= n or rank((ids[i], ids[j])) != best:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[best], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := pairs.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (found[0], a, found[1], (ids[a], ids[b])))
+                if a >= 0 and b < n and (found := rank((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (found, a))
         return [i for i in ids if i >= 0]
 
 
@@ -192,8 +200,32 @@ class Encoder:
         self._normal, self._cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self._split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
+        self._letters = byte_letters()
         self._pieces: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._strange, self._find = self._classes()
+        encoder_ = self
+
+        class Known(dict):
+            """Ids by word. A full cache starts anew."""
+
+            def __missing__(self, word):
+                found = encoder_._encoded(word.encode().decode("latin-1").translate(encoder_._letters))
+                if len(word) <= LONG_WORD:
+                    if len(self) >= WORDS:
+                        self.clear()
+                    self[word] = found
+                return found
+
+        self._known = Known()
+
+    def _classes(self):
+        """A search for characters that need the tokenizer's own way, and the words of a text without such."""
+        plain = lambda c: ("σ" if c == "Σ" else c).lower()
+        # Characters that normalising changes by itself are not strange: a text is asked whether it is in normal form.
+        strange = [c for c in characters.KNOWN if unicodedata.is_normalized("NFC", c) and not c.isspace() and plain(c) != self._normal(c)]
+        letters, numbers, others = characters.kinds(self._cut)
+        return characters.strangers(strange), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|{others}+").findall
 
     def ids(self, text: str) -> bytes:
         """The ids as native 32-bit integers."""
@@ -210,6 +242,17 @@ class Encoder:
             yield from self._plain(text)
 
     def _plain(self, text: str) -> Iterator[bytes]:
+        at = 0
+        while at < len(text):
+            end = text.find(" ", at + STRETCH) if len(text) - at > STRETCH else -1
+            stretch = text[at:] if end < 0 else text[at:end]
+            at = len(text) if end < 0 else end
+            if len(stretch) <= 2 * STRETCH and (stretch.isascii() or not self._strange(stretch) and unicodedata.is_normalized("NFC", stretch)):
+                yield b"".join(map(self._known.__getitem__, self._find(stretch.replace("Σ", "σ").lower())))
+            else:
+                yield from self._by_piece(stretch)
+
+    def _by_piece(self, text: str) -> Iterator[bytes]:
         known = self._pieces
         for piece in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "):
             found = known.get(piece)
@@ -222,14 +265,20 @@ class Encoder:
                 found = known[piece] = b"".join(self._word(w) for w, _ in self._cut(self._normal(piece))) if piece else b""
             yield found
 
+    def _encoded(self, letters: str) -> bytes:
+        if len(letters) > LONG_WORD:
+            run = Transducer(self.merges, self.lengths)
+            return array("i", run.feed(letters) + run.end()).tobytes()
+        symbols = self.merges.symbols
+        return array("i", self.merges.apply([*map(symbols.__getitem__, letters[:-1]), symbols[letters[-1] + self.suffix]])).tobytes()
+
     def _word(self, letters: str) -> bytes:
         """``letters`` are byte letters."""
         found = self._words.get(letters)
         if found is None:
-            run = Transducer(self.merges, self.lengths)
-            found = array("i", run.feed(letters) + run.end()).tobytes()
+            found = self._encoded(letters)
             if len(letters) <= LONG_WORD:
-                if len(self._words) >= WORDS:
+                if len(self._words) >= PIECES:
                     self._words.clear()
                 self._words[letters] = found
         return found

@@ -75,7 +75,9 @@ def contained(
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that contain no item; all their columns."""
-    bad = contained(docs, items, doc_id=doc_id, text=text, **options).select(F.col(doc_id).alias("_bad")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{doc_id}`").alias("_key"))
+    """The documents that contain no item; all their columns. A row goes by its own text, whatever other rows share its id."""
+    t = F.col(f"`{text}`").cast("string")
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("hash"))
+    bad = contained(docs.select(key.alias("_key"), t.alias("_text")), items, doc_id="_key", text="_text", **options).select(F.col("_key").alias("_bad")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
     return rows.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")

@@ -6,8 +6,8 @@ the bit-sliced search over five-word SimHash fingerprints names the pairs within
 only if the exact similarity of the two sets of 64-bit shingle hashes reaches the threshold.
 
 Large groups are settled in proportion to their size first: each member is checked against one leader of a bucket slot of about ``SLOT``
-members, and slot leaders against the bucket's. Buckets whose members are all in one component are done; only the others are compared in cells,
-as in ``simhash``. A component is linked through chains. Shingle sets are made only for members of shared buckets.
+members, and slot leaders against the bucket's. Buckets whose members are all in one component are done. In the others the members outside the largest component are compared with
+all, in cells of no more than ``CELL`` of each, so a large group with one stray in its bucket is passed once. A component is linked through chains. Shingle sets are made only for members of shared buckets.
 
 Null and wordless texts have the empty set and are one group. Repeated rows and null ids are treated as by ``simhash.dedup``; all columns are carried.
 """
@@ -104,11 +104,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def _compare(similarity: float, radius: int):
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         prints, keys, found = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["key"].tolist(), rows["found"].tolist()
+        stray = rows["stray"].to_numpy(bool)
         _, label = np.unique(rows["root"].to_numpy(np.int64), return_inverse=True)
         out = []
         for i, j in simhash.near(np.zeros(len(rows), np.int64), prints, radius):
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if label[a] != label[b] and alike(found[a], found[b], similarity):
+                if stray[a] != stray[b] and label[a] != label[b] and alike(found[a], found[b], similarity):
                     out.append((keys[a], keys[b]))
                     label[label == label[a]] = label[b]
             if (label == label[0]).all():
@@ -164,12 +165,20 @@ def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
         named = known.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
         return rows.join(named, F.col(key) == F.col("_u"), "left").withColumn("root", F.coalesce("_v", key)).drop("_u", "_v")
 
-    open_ = with_root(members).groupBy(F.col("bucket").alias("_b")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-    left = written(members.join(open_.select("_b"), F.col("bucket") == F.col("_b")).select("bucket", "key"), "open")
+    # Of a bucket with several components all but its largest one's members are strays; only pairs with a stray are left to compare.
+    parts = with_root(members).groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.groupBy(F.col("bucket").alias("_b")).agg(F.max(F.struct("_c", "root")).alias("_m"), F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_r")).filter(F.col("_r") > 1)
+    open_ = parts.select("_b", F.col("_m.root").alias("_main"), F.ceil(F.col("_n") / cell).alias("_rows"), F.ceil((F.col("_n") - F.col("_m._c")) / cell).alias("_columns"))
+    left = written(with_root(members).join(open_, F.col("bucket") == F.col("_b")).select("bucket", "key", "root", "_main", "_rows", "_columns"), "open")
     prints = slim.groupBy(F.col("key").alias("_k")).agg(F.first("fp").alias("fp"))
-    facts = with_root(left.select("key").distinct().join(prints, F.col("key") == F.col("_k")).drop("_k")).join(sets.withColumnRenamed("key", "_f"), F.col("key") == F.col("_f"))
-    full = simhash.in_cells(left, cell, "key").join(facts.withColumnRenamed("key", "_g").drop("_f"), F.col("key") == F.col("_g")).drop("_g")
-    ordered = full.select("bucket", "lo", "hi", "key", "root", "fp", "found").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "key")
+    facts = left.select("key").distinct().join(prints, F.col("key") == F.col("_k")).drop("_k").join(sets.withColumnRenamed("key", "_f"), F.col("key") == F.col("_f")).select(F.col("key").alias("_g"), "fp", "found")
+    # Each block of members meets each block of strays in one cell.
+    row, column = F.pmod(F.xxhash64("key"), F.col("_rows")), F.pmod(F.xxhash64("key"), F.col("_columns"))
+    count = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    whole = left.select("bucket", "key", "root", row.alias("lo"), F.explode(count("_columns")).alias("hi"), F.lit(False).alias("stray"))
+    strays = left.filter(F.col("root") != F.col("_main")).select("bucket", "key", "root", F.explode(count("_rows")).alias("lo"), column.alias("hi"), F.lit(True).alias("stray"))
+    full = whole.unionAll(strays).join(facts, F.col("key") == F.col("_g")).drop("_g")
+    ordered = full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "key")
     second = ordered.mapInPandas(_compare(similarity, radius), "u bigint, v bigint")
     known = components(first.unionAll(second))
     return with_root(slim.select("_id", "_hash", "key"))

@@ -302,14 +302,15 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
     def found(rows: DataFrame, floors: DataFrame) -> DataFrame:
         path = scratch(docs.sparkSession, "search")
         blocks.join(floors, "block", "left").write.parquet(path)
-        ranged = rows.repartitionByRange("sign", "m", "salt").sortWithinPartitions("sign", "m").select("doc", "m", "terms", "tf")
-        hits = ranged.mapInArrow(_searcher(path, k), schema)
+        hits = rows.sortWithinPartitions("sign", "m").select("doc", "m", "terms", "tf").mapInArrow(_searcher(path, k), schema)
         return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     none = "array<struct<place:int,score:bigint>>"
-    first = written(found(some.filter(seeded), blocks.select("block", F.lit(None).cast(none).alias("floors"))), "seed")
+    # Few tasks, for each of them brings its own best.
+    tasks = -(-known.rdd.getNumPartitions() // SEED)
+    first = written(found(some.filter(seeded).coalesce(tasks), blocks.select("block", F.lit(None).cast(none).alias("floors"))), "seed")
     floors = first.filter(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("place", "score")).alias("floors"))
-    rest = found(some.filter(~seeded), floors)
+    rest = found(some.filter(~seeded).repartitionByRange("sign", "m", "salt"), floors)
     merged = first.drop("rank").unionByName(rest.drop("rank")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     named = placed.select(F.col("block").alias("_b"), F.col("place").alias("_p"), "item")
     joined = merged.join(named, (F.col("block") == F.col("_b")) & (F.col("place") == F.col("_p")))

@@ -5,10 +5,9 @@ writes a shard whenever about ``SHARD`` ids are full; documents are never cut. A
 Files are written under new names and only the manifest that Spark writes makes them count, so repeated tasks do no harm. Reading starts
 from the manifest: shards are spread over all tasks, and starts come from sums over shards and parts.
 
-Encoding uses the tokenizer's own BPE model through two bounded caches. Byte-level pre-tokens never reach across a space between two
-visible characters, so a text is cut there; a piece that was met before costs one lookup, another is cut into pre-tokens, and only new ones
-are given to the model. Texts with the tokenizer's special tokens, or with white space beside such a space, take the library's plain way in pieces that are cut
-only where it is safe. The results are those of ``encode(text, add_special_tokens=False)``.
+Encoding uses the tokenizer's own BPE model through a bounded cache of pre-tokens. What letters, numbers and white space are is asked of the tokenizer once for each
+worker, so a text is cut into pre-tokens at once, in stretches that end at a space between two visible characters, where no pre-token is. Texts
+with the tokenizer's special tokens, and stretches with rare characters or without such a space, take the library's plain way. The results are those of ``encode(text, add_special_tokens=False)``.
 
 A null text is empty: it has the end id alone. Null ids come first. Repeated rows are encoded each. An empty table gives an empty result. Only
 the id and the text are read.
@@ -28,25 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinionlake.llm import files, wavelet
+from opinionlake.llm import characters, files, wavelet
 from opinionlake.llm.common import text_of, written
 from opinionlake.session import scratch
 
 SHARD = 1 << 21
 END = 2
-PIECES, TOKENS = 700_000, 1_000_000
+TOKENS, LONG, STRETCH = 1_000_000, 256, 1 << 18
 #: Between two visible characters; Python's visible characters are visible for the tokenizer too.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_RARE = re.compile(r"[^\S \n]")
-
-
-def _even(text: str) -> bool:
-    """Whether each space stands between two visible characters and there is no other white space than spaces and line ends."""
-    return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _RARE.search(text))
-
-
-#: Byte-level pre-tokens: the fixed pattern of this family of tokenizers.
-_PRE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,54 +47,53 @@ def byte_letters() -> dict[int, str]:
 
 class Encoder:
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._model, self._letters = self.tokenizer.model, byte_letters()
-        self._pre = regex.compile(_PRE).findall
-        letters_of, tokenize = self._letters, self._model.tokenize
+        letters_of, tokenize = byte_letters(), self.tokenizer.model.tokenize
+        letters, numbers, others = characters.kinds(self.tokenizer.pre_tokenizer.pre_tokenize_str)
+        visible = letters[1:-1] + numbers[1:-1] + others[1:-1]
+        # Byte-level pre-tokens: the fixed pattern of this family of tokenizers.
+        self._pre = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{numbers}+| ?{others}+|[^{visible}]+(?![{visible}])|[^{visible}]+").findall
+        self._strange = characters.strangers()
 
         class Known(dict):
-            """Ids by text. A full cache starts anew; what is frequent comes back at once."""
+            """Ids by pre-token. A full cache starts anew; what is frequent comes back at once."""
 
-            def __init__(self, size, make):
-                self.size, self.make = size, make
-
-            def __missing__(self, key):
-                if len(self) >= self.size:
+            def __missing__(self, word):
+                ids = array("I", [t.id for t in tokenize(word.encode().decode("latin-1").translate(letters_of))]).tobytes()
+                if len(self) >= TOKENS:
                     self.clear()
-                value = self[key] = self.make(key)
-                return value
-
-        def token(word: str) -> bytes:
-            letters = word.encode().decode("latin-1").translate(letters_of)
-            return array("I", [t.id for t in tokenize(letters)]).tobytes()
+                if len(word) <= LONG:
+                    self[word] = ids
+                return ids
 
-        self._token = Known(TOKENS, token)
-        join = lambda text: b"".join(map(self._token.__getitem__, self._pre(text)))
-        self._first = Known(PIECES // 10, join)
-        self._next = Known(PIECES, lambda piece: join(" " + piece))
+        self._known = Known()
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
         if any(s in text for s in self._special):
             return self._plain(text)
-        pieces = text.split(" ") if _even(text) else _CUT.split(text)
-        return self._first[pieces[0]] + b"".join(map(self._next.__getitem__, pieces[1:]))
+        return b"".join(map(self._stretch, self._parts(text, STRETCH)))
 
-    def _plain(self, text: str, size: int = 1 << 20) -> bytes:
-        """By the library alone, in bounded pieces."""
-        out, at = [], 0
+    def _stretch(self, text: str) -> bytes:
+        if len(text) > 2 * STRETCH or not text.isascii() and self._strange(text):
+            return self._plain(text)
+        return b"".join(map(self._known.__getitem__, self._pre(text)))
+
+    def _parts(self, text: str, size: int) -> Iterator[str]:
+        """Parts of about ``size``, cut where no pre-token is."""
+        at = 0
         while at < len(text):
             cut = _CUT.search(text, at + size) if len(text) - at > size else None
             end = cut.start() if cut else len(text)
-            out.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, "<u4").tobytes())
+            yield text[at:end]
             at = end
-        return b"".join(out)
+
+    def _plain(self, text: str, size: int = 1 << 20) -> bytes:
+        """By the library alone, in bounded pieces."""
+        return b"".join(np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes() for part in self._parts(text, size))
 
 
 @lru_cache(maxsize=2)

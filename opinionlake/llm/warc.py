@@ -34,6 +34,8 @@ from opinionlake.session import scratch
 
 FAN, EVERY = 64, 256
 ARCHIVE = 32 << 20
+#: The last second of the year 9999, the latest that a record's date can name; captures without a time are of the epoch.
+LATEST = 253_402_300_799
 _UUID = "urn:page:"
 _END = b"\r\n"
 
@@ -201,10 +203,10 @@ def _archive(folder: str, size: int):
 def decided(pages: DataFrame, page_id: str, url: str, html: str, seconds: str | None) -> DataFrame:
     """Rows for the archives: whether each keeps its payload, the page that it refers to, and the digest as hex."""
     page = F.col(f"`{page_id}`").cast("bigint")
-    stamp = F.coalesce(F.col(f"`{seconds}`").cast("bigint") if seconds else page, F.lit(0))
+    stamp = F.coalesce(F.col(f"`{seconds}`").cast("bigint") if seconds else F.lit(0), F.lit(0))
     rows = pages.select(
         page.alias("id"), F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"),
-        F.greatest(stamp, F.lit(0)).alias("seconds"),
+        F.least(F.greatest(stamp, F.lit(0)), F.lit(LATEST)).alias("seconds"),
     ).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # Only digests that occur twice or more matter for the join; the others keep their payload.
     first = rows.groupBy(F.col("sha").alias("_sha")).agg(F.max("id").alias("_top"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")

@@ -213,7 +213,9 @@ def test_decontamination(spark, odd, empty):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained(odd, items).collect()}
     assert got == {(1, 1), (None, 1), (6, 1), (7, 4)}
     clean = decontaminate.clean(odd, items)
-    assert clean.columns == odd.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5]
+    assert clean.columns == odd.columns and sorted((r.doc_id for r in clean.collect()), key=repr) == [2, 3, 4, 5, None]
+    shared = spark.createDataFrame([(1, items.first().text, "a"), (1, "clean", "a"), (None, "clean too", "a"), (None, items.first().text, "a"), (1, None, "a")], "doc_id bigint, text string, hash string")
+    assert {(r.doc_id, r.text, r.hash) for r in decontaminate.clean(shared, items).collect()} == {(1, "clean", "a"), (None, "clean too", "a"), (1, None, "a")}
     assert decontaminate.contained(empty, items).count() == 0 and decontaminate.clean(odd, items.limit(0)).count() == 10
 
 

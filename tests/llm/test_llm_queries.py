@@ -183,6 +183,7 @@ def test_op7(spark, con):
 def test_pipeline(spark, con):
     """Stage by stage against plain versions of what each keeps."""
     import corpus_pipeline
+    from test_near_copies import plain_groups
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     names = docs.columns
@@ -195,7 +196,7 @@ def test_pipeline(spark, con):
         docs = spark.createDataFrame([tuple(r[c] for c in names) for r in out[name]], spark.read.parquet(f"{DIR}/documents.parquet").schema) if name != corpus_pipeline.STAGES[-1][0] else docs
     ids = lambda name: [r["doc_id"] for r in out[name]]
     assert set(ids("quality rules")) == set(kept) and len(ids("quality rules")) == len(kept)
-    groups = classes({d: plain_print(text[d]) for d in kept})
+    groups, _ = plain_groups({d: text[d] for d in kept})
     assert sorted(ids("SimHash near-dedup")) == sorted(set(groups.values()))
     leaks = {r[0] for r in con.execute("SELECT doc_id FROM (" + ORACLE["op8_benchmark_decontamination"] + ")").fetchall()}
     clean = sorted(set(groups.values()) - leaks)

@@ -65,3 +65,17 @@ def test_cells_and_chains(spark, monkeypatch):
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     got = [r.doc_id for r in near_copies.dedup(frame, cell=4).collect()]
     assert sorted(got) == sorted(set(want.values()))
+
+
+def test_one_stray_in_a_large_bucket(spark, monkeypatch):
+    """Hundreds of near copies and a few texts that only share buckets with them: cells grow with the strays, and the groups are exact."""
+    prepare(spark)
+    monkeypatch.setattr(near_copies, "CELL", 16)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join([*words, f"x{i}"]) for i in range(300)}
+    texts |= {1000 + i: " ".join([*words[: 230 + i], *[f"y{k}" for k in range(40)]]) for i in range(3)}
+    want, _ = plain_groups(texts)
+    assert len(set(want.values())) == 2
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = [r.doc_id for r in near_copies.dedup(frame, cell=16).collect()]
+    assert sorted(got) == sorted(set(want.values()))

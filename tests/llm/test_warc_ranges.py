@@ -22,3 +22,14 @@ def test_equal_rows_over_many_ranges(spark):
     keys = [(r.url_key, r.seconds, -1 if r.page_id is None else r.page_id) for r in got]
     assert keys == sorted((warc.url_key(u), i or 0, -1 if i is None else i) for i, u, _ in rows)
     assert len({(r.archive, r.offset) for r in got}) == len(rows)
+
+
+def test_large_ids_and_times(spark):
+    """Ids are no times; times are held within the years that a date can name."""
+    prepare(spark)
+    rows = [(2**62, "http://a.b/", "x", 2**62), (-5, "http://a.b/", "x", -7), (253_402_300_800, "http://a.b/c", "y", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, at bigint")
+    want = {(2**62, "response", None), (-5, "revisit", 2**62), (253_402_300_800, "response", None)}
+    assert {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()} == want
+    folder, runs = warc.archive(pages, seconds="at")
+    assert runs.count() > 0
