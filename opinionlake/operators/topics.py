@@ -1,74 +1,166 @@
 """Complaint clustering and topic identity across reports.
 
-Leader clustering visits rows in id order: a row joins the closest centroid at cosine 0.80 or
-above, else it opens a cluster. That order is inherently sequential, so a report is clustered as a
-whole only while it fits one block; ``BLOCK`` exceeds every item limit a single report can have in
-the original scheme, so such reports get exactly the sequential answer. Larger reports are cut into
-hashed blocks, clustered block by block, and the block clusters (centroid sums) are clustered again
-in the same way until one block is left or a round no longer merges anything. No row is dropped.
+Clusters have fixed leaders: going through a report's rows in id order, a row is a leader when no leader before it has a cosine of 0.80 or above with it,
+and every other row joins its most similar leader before it (of equal ones, to nine digits, the first). Rows with equal vectors are one row. That is the
+lexicographically first maximal independent set of the graph of similar rows, which does not need the order to be walked: in each round the undecided rows
+without a similar undecided row before them are leaders, and the rows similar to these are decided. The answer is the same for any partitioning and size.
+
+Similar rows are found in buckets: a row is in ``BANDS`` of them, each named by the signs of ``ROWS`` random projections, and rows of a bucket are compared exactly, in
+cells of ``CELL`` rows. Two rows of cosine 0.80 share a bucket with probability 0.9998, more similar ones sooner. Only decisions on rows leave a cell, no pairs.
+
+The moving centroids of a sequential pass are thus replaced by the first row of each cluster: a cluster no longer drifts while it grows, so a row near a
+cluster's edge may open a cluster of its own that a drifted centroid would have caught, and the other way round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinionlake import constants as C
 from opinionlake.functions import values
 from opinionlake.operators import keywords, ranks
 from opinionlake.operators import scope as S
-from opinionlake.session import cut_lineage
-
-BLOCK = 8192
-PREVIOUS_BLOCK = 256
-
-
-def leaders(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pass over (id, total): ``leader`` is the first id of the cluster each row falls into.
+from opinionlake.session import stored
+
+ROWS, BANDS, CELL = 8, 48, 2048
+DIGITS = 9
+
+
+@lru_cache(maxsize=8)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng(dim).normal(size=(dim, BANDS * ROWS))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def buckets(vectors: pd.Series) -> pd.Series:
+    """The buckets of each vector; vectors of other lengths share none."""
+    out = np.empty(len(vectors), object)
+    sizes = vectors.map(len).to_numpy()
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        signs = np.stack(vectors.iloc[at].to_list()) @ _planes(int(dim)) > 0
+        codes = signs.reshape(len(at), BANDS, ROWS) @ (1 << np.arange(ROWS))
+        names = ((int(dim) * BANDS + np.arange(BANDS)) << ROWS) + codes
+        out[at] = list(names.astype(np.int64))
+    return pd.Series(out)
+
+
+def _in_cells(points: DataFrame) -> DataFrame:
+    """(report_id, code, lo, hi, id): buckets of two or more rows; of larger ones each two sub-blocks are a cell."""
+    members = points.select("report_id", "id", F.explode(buckets("total")).alias("code"))
+    sizes = members.groupBy("report_id", "code").agg(F.count("*").alias("_n"), F.min("id").alias("_i"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_s"))
+    # Of buckets with the same rows one is enough.
+    sizes = sizes.filter("_n > 1").groupBy(F.col("report_id").alias("_r"), "_n", "_i", "_x", "_s").agg(F.min("code").alias("_c")).select("_r", "_c", "_n")
+    cut = F.ceil(F.col("_n") / (CELL // 2)).cast("bigint")
+    blocks = F.when(F.col("_n") > CELL, cut).otherwise(F.lit(1).cast("bigint"))
+    met = members.join(sizes, (F.col("report_id") == F.col("_r")) & (F.col("code") == F.col("_c"))).withColumn("_cut", blocks)
+    met = met.select("report_id", "code", "id", F.pmod(F.xxhash64("id"), F.col("_cut")).alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_cut") - 1)).alias("_other"))
+    return met.select("report_id", "code", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "id")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(a @ b.T, DIGITS)
+
+
+def _blocked(unit: np.ndarray, leads: np.ndarray) -> tuple:
+    """Rows with a similar row before them."""
+    left = np.arange(len(unit))
+    for at in range(0, len(unit), 64):
+        near = (_alike(unit[at : at + 64], unit[left]) >= C.CLUSTER_JOIN) & (np.arange(at, min(at + 64, len(unit)))[:, None] < left[None, :])
+        left = left[~near.any(axis=0)]
+    return (np.setdiff1d(np.arange(len(unit)), left),)
+
+
+def _covered(unit: np.ndarray, leads: np.ndarray) -> tuple:
+    """Rows similar to one of the new leaders."""
+    other = np.flatnonzero(~leads)
+    return (other[(_alike(unit[leads], unit[other]) >= C.CLUSTER_JOIN).any(axis=0)],)
+
+
+def _nearest(unit: np.ndarray, leads: np.ndarray) -> tuple:
+    """Each other row with the most similar leader before it, and their likeness."""
+    first, other = np.flatnonzero(leads), np.flatnonzero(~leads)
+    if not len(first):
+        return other[:0], first, np.zeros(0)
+    likeness = np.where(first[:, None] < other[None, :], _alike(unit[first], unit[other]), -2.0)
+    best, most = likeness.argmax(axis=0), likeness.max(axis=0, initial=-2.0)
+    found = most >= C.CLUSTER_JOIN
+    return other[found], first[best[found]], most[found]
+
+
+def _each_cell(cells: DataFrame, work: Callable, names: list[str], schema: str) -> DataFrame:
+    """``work`` on each cell's vectors and leader marks in id order; its places become ids, under ``names``."""
+    key = ["report_id", "code", "lo", "hi"]
+
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, reports, leads = rows["id"].to_numpy(), rows["report_id"].to_numpy(), rows["leads"].to_numpy(bool)
+        vectors, marks = rows["total"].to_numpy(), rows[key].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)]).tolist()
+        parts: list[list] = [[] for _ in range(len(names) + 1)]
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if b - a > 1:
+                found, *more = work(np.stack(vectors[a:b]), leads[a:b])
+                parts[0].append(reports[found + a])
+                parts[1].append(ids[found + a])
+                if more:
+                    parts[2].append(ids[more[0] + a])
+                    parts[3].append(more[1])
+        columns = {n: np.concatenate(p) if p else [] for n, p in zip(["report_id", *names], parts, strict=True)}
+        return pd.DataFrame({n: pd.Series(v, dtype="float64" if n == "likeness" else object) for n, v in columns.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last = [], None
+        for batch in batches:
+            # The batch's last cell may go on; all before it are whole.
+            end = batch[key].iloc[-1].tolist()
+            tail = (batch[key] == end).all(axis=1).to_numpy()
+            if held and (last != end or not tail.all()):
+                yield done(pd.concat([*held, batch[~tail]], ignore_index=True))
+                held = []
+            elif not tail.all():
+                yield done(batch[~tail])
+            if held or tail.any():
+                held.append(batch[tail])
+            last = end
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return cells.repartition(*key).sortWithinPartitions(*key, "id").mapInPandas(run, schema)
+
+
+def cluster(complaints: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(report_id, id, leader) for complaint rows that have a usable vector.
 
-    ``total`` is a unit vector for an item and a sum of unit vectors for a cluster of an earlier round.
+    ``vectors`` holds (id, embedding).
     """
-    rows = rows.sort_values("id", kind="stable")
-    ids, dims = rows["id"].tolist(), rows["total"].map(len).to_numpy()
-    names, out = [], []
-    by_dim: dict[int, dict] = {}
-    for key, dim, total in zip(ids, dims, rows["total"]):
-        total = np.asarray(total, dtype="float64")
-        unit = total / np.linalg.norm(total)
-        group = by_dim.setdefault(int(dim), {"n": 0, "sum": np.zeros((16, dim)), "mid": np.zeros((16, dim)), "name": []})
-        n = group["n"]
-        best = -1
-        if n:
-            likeness = group["mid"][:n] @ unit
-            best = int(np.argmax(likeness))
-            if likeness[best] < C.CLUSTER_JOIN:
-                best = -1
-        if best < 0:
-            if n == len(group["sum"]):
-                for part in ("sum", "mid"):
-                    group[part] = np.vstack([group[part], np.zeros_like(group[part])])
-            best = n
-            group["n"] = n + 1
-            group["name"].append(key)
-        group["sum"][best] += total
-        group["mid"][best] = group["sum"][best] / np.linalg.norm(group["sum"][best])
-        out.append(group["name"][best])
-        names.append(key)
-    return pd.DataFrame({"id": names, "leader": out})
-
-
-def _one_round(rows: DataFrame, block: int, seed: int) -> DataFrame:
-    """(report_id, id, total) -> (report_id, id, leader), kept in the shared folder."""
-    sizes = rows.groupBy("report_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    spread = rows.join(sizes, "report_id").withColumn("_block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_blocks")))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return leaders(pdf).assign(report_id=key[0])[["report_id", "id", "leader"]]
-
-    grouped = spread.select("report_id", "_block", "id", "total").groupBy("report_id", "_block")
-    return cut_lineage(grouped.applyInPandas(run, "report_id string, id string, leader string"))
+    usable = vectors.filter(values.finite(F.col("embedding"))).select("id", values.unit(F.col("embedding")).alias("total"))
+    rows = stored(complaints.select("report_id", "id").join(usable, "id").select("report_id", "id", "total"), "complaints")
+    points = stored(rows.groupBy("report_id", "total").agg(F.min("id").alias("id")), "points")
+    cells = stored(_in_cells(points), "cells")
+    key, pair = ["report_id", "id"], "report_id string, id string"
+    leaders, undecided = points.select(*key).limit(0), points
+    while True:
+        live = cells.join(undecided, key).withColumn("leads", F.lit(False))
+        new = stored(undecided.join(_each_cell(live, _blocked, ["id"], pair).distinct(), key, "left_anti").select(*key), "new")
+        if new.isEmpty():
+            break
+        leaders = leaders.unionByName(new)
+        marked = live.drop("leads").join(new.withColumn("leads", F.lit(True)), key, "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        covered = _each_cell(marked, _covered, ["id"], pair).distinct()
+        undecided = stored(undecided.join(new.unionByName(covered), key, "left_anti"), "undecided")
+    leaders = stored(leaders, "leaders")
+    flagged = points.join(leaders.withColumn("leads", F.lit(True)), key, "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    found = _each_cell(cells.join(flagged, key), _nearest, ["id", "leader", "likeness"], f"{pair}, leader string, likeness double")
+    best = found.groupBy(*key).agg(F.min(F.struct((-F.col("likeness")).alias("d"), "leader")).alias("b")).select(*key, F.col("b.leader").alias("leader"))
+    known = points.join(best.unionByName(leaders.withColumn("leader", F.col("id"))), key).select("report_id", "total", "leader")
+    return stored(rows.join(known, ["report_id", "total"]).select("report_id", "id", "leader"), "clusters")
 
 
 def _cluster_sums(assigned: DataFrame) -> DataFrame:
@@ -79,33 +171,6 @@ def _cluster_sums(assigned: DataFrame) -> DataFrame:
     return summed.groupBy("report_id", "leader").agg(F.transform(ordered, lambda s: s["_x"]).alias("total"))
 
 
-def cluster(complaints: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(report_id, id, leader) for complaint rows that have a usable vector.
-
-    ``vectors`` holds (id, embedding).
-    """
-    usable = vectors.filter(values.finite(F.col("embedding"))).select("id", values.unit(F.col("embedding")).alias("total"))
-    rows = cut_lineage(complaints.select("report_id", "id").join(usable, "id"))
-    result = found = _one_round(rows, block, 0)
-    seed = 0
-    while True:
-        counts = found.groupBy("report_id").agg(F.count("*").alias("rows"), F.count_distinct("leader").alias("leaders"))
-        # A report still in several blocks whose last round merged something needs another round.
-        again = counts.filter((F.col("rows") > block) & (F.col("leaders") < F.col("rows"))).select("report_id")
-        if again.isEmpty():
-            return result
-        seed += 1
-        rows = _cluster_sums(rows.join(found, ["report_id", "id"]).join(again, "report_id", "left_semi")).withColumnRenamed("leader", "id")
-        rows = cut_lineage(rows)
-        found = _one_round(rows, block, seed)
-        renamed = found.select("report_id", F.col("id").alias("leader"), F.col("leader").alias("_next"))
-        result = cut_lineage(
-            result.join(renamed, ["report_id", "leader"], "left").select(
-                "report_id", "id", F.coalesce("_next", "leader").alias("leader")
-            )
-        )
-
-
 def centroids(assigned: DataFrame, vectors: DataFrame, model_id: str) -> DataFrame:
     """Normalised mean direction, size and stable key of every cluster."""
     unit = vectors.select("id", values.unit(F.col("embedding")).alias("total"))
@@ -125,24 +190,18 @@ def centroids(assigned: DataFrame, vectors: DataFrame, model_id: str) -> DataFra
 def match_previous(topics: DataFrame, previous: DataFrame, lineage: DataFrame) -> DataFrame:
     """Keep a topic's key when one previous topic is clearly the same.
 
-    ``previous``: (report_id, topic_key, centroid, embedding_model); ``lineage``: (report_id,
-    previous). Previous centroids travel in blocks, and each topic keeps its two best candidates per
-    block, so the work is per block and not one row per pair.
+    ``previous``: (report_id, topic_key, centroid, embedding_model); ``lineage``: (report_id, previous). Only previous topics that could be the best or a
+    runner-up within the margin matter, so candidates are those that share a bucket (0.99999 at that likeness), and their exact likeness decides.
     """
-    numbered = previous.withColumn("_slot", F.pmod(F.xxhash64("topic_key"), F.lit(1 << 20)))
-    sizes = previous.groupBy("report_id").agg(F.ceil(F.count("*") / PREVIOUS_BLOCK).alias("_blocks"))
-    packed = (
-        numbered.join(sizes, "report_id")
-        .groupBy(F.col("report_id").alias("previous"), F.pmod(F.col("_slot"), F.col("_blocks")).alias("_block"))
-        .agg(F.collect_list(F.struct("topic_key", "centroid", "embedding_model")).alias("_old"))
-    )
-    joined = topics.join(lineage, "report_id").join(packed, "previous")
-    fits = F.filter(
-        "_old", lambda o: (o["embedding_model"] == F.col("embedding_model")) & (F.size(o["centroid"]) == F.size("centroid"))
-    )
-    scored = F.transform(fits, lambda o: F.struct(values.dot(F.col("centroid"), o["centroid"]).alias("s"), o["topic_key"].alias("k")))
-    two = F.slice(F.sort_array(scored, asc=False), 1, 2)
-    candidates = joined.select("report_id", "leader", F.explode(two).alias("c"))
+    old = previous.select(F.col("report_id").alias("previous"), "topic_key", F.col("centroid").alias("_old"), F.col("embedding_model").alias("_model"))
+    mine = topics.join(lineage, "report_id").select("report_id", "leader", "previous", "centroid", "embedding_model")
+    here = mine.select("report_id", "leader", "previous", F.col("embedding_model").alias("_model"), F.explode(buckets("centroid")).alias("_code"))
+    there = old.select("previous", "topic_key", "_model", F.explode(buckets("_old")).alias("_code"))
+    pairs = here.join(there, ["previous", "_model", "_code"]).select("report_id", "leader", "previous", "topic_key").distinct()
+    likeness = values.dot(F.col("centroid"), F.col("_old"))
+    met = pairs.join(mine, ["report_id", "leader", "previous"]).join(old, ["previous", "topic_key"]).filter(F.col("_model") == F.col("embedding_model"))
+    candidates = met.select("report_id", "leader", F.struct(likeness.alias("s"), F.col("topic_key").alias("k")).alias("c"))
+    candidates = candidates.filter(F.col("c.s") >= C.TOPIC_MATCH - C.TOPIC_MARGIN)
     top = ranks.top_rows(candidates, ["report_id", "leader"], [F.desc("c")], 2, rank="_r")
     best = top.groupBy("report_id", "leader").agg(
         F.max(F.when(F.col("_r") == 1, F.col("c"))).alias("_best"), F.max(F.when(F.col("_r") == 2, F.col("c.s"))).alias("_second")

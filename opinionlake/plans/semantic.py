@@ -225,7 +225,36 @@ def assigned(spark, d):
     return topics.cluster(complaints(spark, d), item_vectors(spark, d))
 
 
-@query("topic.cluster")
+_CLUSTERS = f""", cm AS (SELECT report_id, id, key_points, text FROM items WHERE coalesce(sentiment = 'negative' OR len(negative_aspects) > 0, false) AND trim(text) <> ''),
+ tk AS (SELECT id, {_SLOT} AS slot FROM (SELECT id, unnest(list_concat(['passage'], regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM cm)),
+ cn AS (SELECT id, slot, count(*)::DOUBLE AS n FROM tk GROUP BY ALL),
+ dn AS (SELECT id, list_transform(range(64), lambda s: coalesce(list_extract(map_extract(m, s), 1), 0)) AS c FROM (SELECT id, map(list(slot), list(n)) AS m FROM cn GROUP BY id)),
+ vv AS MATERIALIZED (SELECT id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS v FROM dn),
+ pt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY id) AS n FROM (SELECT report_id, v, min(id) AS id FROM cm JOIN vv USING (id) GROUP BY ALL)),
+ ad AS MATERIALIZED (SELECT b.report_id, b.n, list(a.n) AS before FROM pt a JOIN pt b ON a.report_id = b.report_id AND a.n < b.n AND round(list_dot_product(a.v, b.v), 9) >= {C.CLUSTER_JOIN} GROUP BY ALL),
+ rec AS (SELECT report_id, n, [n] AS ld FROM pt WHERE n = 1 UNION ALL
+  SELECT p.report_id, p.n, CASE WHEN list_has_any(ld, coalesce(before, [])) THEN ld ELSE list_append(ld, p.n) END
+  FROM rec r JOIN pt p ON p.report_id = r.report_id AND p.n = r.n + 1 LEFT JOIN ad ON ad.report_id = p.report_id AND ad.n = p.n),
+ ld AS (SELECT report_id, unnest(ld) AS n FROM (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY n DESC) = 1)),
+ ls AS MATERIALIZED (SELECT pt.* FROM pt JOIN ld USING (report_id, n)),
+ bl AS (SELECT p.report_id, p.v, l.id AS leader FROM pt p JOIN ls l ON l.report_id = p.report_id AND l.n <= p.n
+  QUALIFY row_number() OVER (PARTITION BY p.report_id, p.n ORDER BY l.n = p.n DESC, round(list_dot_product(l.v, p.v), 9) DESC, l.id) = 1),
+ cl AS MATERIALIZED (SELECT report_id, id, leader, v, key_points, text FROM cm JOIN vv USING (id) JOIN bl USING (report_id, v))"""
+_MATCHED = f""", ce AS (SELECT report_id, leader, i, sum(x) AS x FROM (SELECT report_id, leader, unnest(v) AS x, unnest(range(64)) AS i FROM cl) GROUP BY ALL),
+ cv AS (SELECT report_id, leader, list(x ORDER BY i) AS s FROM ce GROUP BY ALL),
+ ck AS MATERIALIZED (SELECT report_id, leader, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS v, sha256(report_id || '|' || leader) AS own,
+  (SELECT count(*) FROM cl WHERE cl.report_id = cv.report_id AND cl.leader = cv.leader) AS count FROM cv),
+ mt AS (SELECT a.report_id, a.leader, b.own AS k, list_dot_product(a.v, b.v) AS s FROM ck a JOIN ck b ON b.report_id = 'r' || (substr(a.report_id, 2)::INT - 1)),
+ mb AS (SELECT *, lead(s) OVER w AS second FROM mt WINDOW w AS (PARTITION BY report_id, leader ORDER BY s DESC, k DESC) QUALIFY row_number() OVER w = 1),
+ mw AS (SELECT report_id, k, min(leader) AS leader FROM mb WHERE s >= {C.TOPIC_MATCH} AND (second IS NULL OR s - second >= {C.TOPIC_MARGIN}) GROUP BY ALL),
+ md AS (SELECT ck.report_id, ck.leader, coalesce(k, own) AS topic_key, CASE WHEN k IS NULL THEN 'new' ELSE 'matched' END AS mapping, count FROM ck LEFT JOIN mw USING (report_id, leader))"""
+
+
+def _recursive(sql):
+    return with_items(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("topic.cluster", _recursive(_CLUSTERS + " SELECT report_id, id, leader FROM cl"))
 def topic_cluster(spark, d):
     return assigned(spark, d)
 
@@ -239,12 +268,16 @@ def matched(spark, d, found):
     return topics.match_previous(mine, previous, lineage)
 
 
-@query("topic.match_previous")
+@query("topic.match_previous", _recursive(_CLUSTERS + _MATCHED + " SELECT * FROM md"))
 def match_previous(spark, d):
     return matched(spark, d, assigned(spark, d)).select("report_id", "leader", "topic_key", "mapping", "count")
 
 
-@query("topic.rows")
+@query("topic.rows", _recursive(_CLUSTERS + _MATCHED + f""", w AS (SELECT report_id, leader, unnest(list_distinct(key_points)) AS word FROM cl), wc AS (
+ SELECT *, row_number() OVER (PARTITION BY report_id, leader ORDER BY n DESC, word) AS position FROM (SELECT report_id, leader, word, count(*) AS n FROM w GROUP BY ALL)),
+ wl AS (SELECT report_id, leader, list(word ORDER BY position) AS ws FROM wc WHERE position <= 5 GROUP BY ALL)
+ SELECT report_id, topic_key, leader, coalesce(ws[1], '{C.UNNAMED_TOPIC}') AS name, coalesce(array_to_string(ws, ','), '') AS keywords, count, count < 2 AS provisional, mapping,
+  '{MODEL}' AS embedding_model, '{C.TOPIC_VERSION}' AS version FROM md LEFT JOIN wl USING (report_id, leader)"""))
 def topic_rows(spark, d):
     found = assigned(spark, d)
     out = topics.rows(matched(spark, d, found), found, items(spark, d)).drop("centroid")

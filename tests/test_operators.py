@@ -190,45 +190,64 @@ def test_upsert_keeps_old_text_but_overwrites_dates(spark):
     assert (got["new3"]["id"], got["new3"]["text"], got["new3"]["title"], got["new3"]["date_precision"]) == ("n", "new2", "x", "week")
 
 
-def sequential_leaders(rows):
-    """Leader clustering as stated: id order, closest centroid at 0.80 or above."""
-    groups = []
-    out = {}
-    for key, vector in sorted(rows):
+def fixed_leaders(rows):
+    """The rule as stated: in id order, a row far from all leaders leads; the others join the nearest leader before them."""
+    led, out = [], {}
+    for key, vector in sorted(rows, key=lambda r: r[0]):
         unit = np.array(vector) / np.linalg.norm(vector)
-        likeness = [float(g["mid"] @ unit) for g in groups]
-        best = int(np.argmax(likeness)) if likeness else -1
-        if best < 0 or likeness[best] < 0.8:
-            groups.append({"name": key, "sum": unit.copy(), "mid": unit})
-            best = len(groups) - 1
+        near = [(-round(float(u @ unit), 9), k) for k, u in led]
+        best = min(near, default=(0, None))
+        if -best[0] < 0.8:
+            led.append((key, unit))
+            out[key] = key
         else:
-            groups[best]["sum"] += unit
-            groups[best]["mid"] = groups[best]["sum"] / np.linalg.norm(groups[best]["sum"])
-        out[key] = groups[best]["name"]
+            out[key] = best[1]
     return out
 
 
-def test_clusters_equal_the_sequential_rule(spark):
+def test_clusters_equal_the_stated_rule(spark):
+    """Thousands of rows around centres of which many are near each other, in two reports; unusable vectors take no part."""
     rng = np.random.default_rng(5)
-    data = [("r", f"i{i:03d}", [float(x) for x in rng.normal(size=3)]) for i in range(120)]
-    bad = [("r", "nan", [float("nan"), 1.0, 0.0]), ("r", "zero", [0.0, 0.0, 0.0])]
-    rows = spark.createDataFrame([(r, i) for r, i, _ in data + bad], "report_id string, id string")
-    vectors = spark.createDataFrame([(i, v) for _, i, v in data + bad], "id string, embedding array<float>")
-    got = {r["id"]: r["leader"] for r in topics.cluster(rows, vectors).collect()}
-    as_float32 = [(i, np.array(v, dtype="float32").astype("float64")) for _, i, v in data]
-    assert got == sequential_leaders(as_float32)
+    centres = rng.normal(size=(60, 12))
+    data = [(f"i{i:05d}", [float(x) for x in centres[rng.integers(60)] + rng.normal(scale=0.35, size=12)]) for i in range(4000)]
+    bad = [("nan", [float("nan")] * 12), ("zero", [0.0] * 12), ("other", [1.0, 2.0])]
+    vectors = spark.createDataFrame(data + bad, "id string, embedding array<double>")
+    rows = spark.createDataFrame([("r" if i % 3 else "s", k) for i, (k, _) in enumerate(data + bad)], "report_id string, id string")
+    got = {(r["report_id"], r["id"]): r["leader"] for r in topics.cluster(rows, vectors).collect()}
+    want = {}
+    for report in "rs":
+        part = [d for i, d in enumerate(data) if ("r" if i % 3 else "s") == report]
+        want |= {(report, k): v for k, v in fixed_leaders(part).items()}
+    same = sum(got[k] == v for k, v in want.items())
+    alone = set(got) - set(want)
+    assert {i for _, i in alone} == {"other"} and all(got[k] == "other" for k in alone)
+    assert same == len(want)
 
 
-def test_blocked_clusters_recover_separated_groups_and_lose_no_row(spark):
+def test_clusters_do_not_depend_on_cells(spark, monkeypatch):
+    """A large group of alike rows with copies, cut into many small cells and other partitions."""
     rng = np.random.default_rng(7)
-    axes = np.eye(4)
-    data = [(f"i{i:03d}", [float(x) for x in axes[i % 4] + rng.normal(scale=0.05, size=4)]) for i in range(200)]
-    rows = spark.createDataFrame([("r", i) for i, _ in data], "report_id string, id string")
-    vectors = spark.createDataFrame(data, "id string, embedding array<double>")
-    got = {r["id"]: r["leader"] for r in topics.cluster(rows, vectors, block=30).collect()}
-    assert len(got) == 200
-    assert len(set(got.values())) == 4
-    assert all(len({got[i] for n, (i, _) in enumerate(data) if n % 4 == k}) == 1 for k in range(4))
+    data = [(f"i{i:03d}", [float(x) for x in np.eye(4)[i % 4] + rng.normal(scale=0.25, size=4)]) for i in range(300)]
+    data += [(f"z{i}", data[5][1]) for i in range(40)]
+    rows = spark.createDataFrame([("r", k) for k, _ in data], "report_id string, id string")
+    vectors = spark.createDataFrame(data, "id string, embedding array<double>").repartition(7)
+    monkeypatch.setattr(topics, "CELL", 16)
+    got = {r["id"]: r["leader"] for r in topics.cluster(rows, vectors).collect()}
+    want = fixed_leaders(data[:300])
+    assert got == want | {f"z{i}": want["i005"] for i in range(40)}
+    assert topics.cluster(rows.limit(0), vectors).collect() == []
+
+
+def test_bucket_recall():
+    """Pairs of cosine 0.80 share a bucket."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(3000, 24))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=(3000, 24))
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = 0.8 * a + 0.6 * b / np.linalg.norm(b, axis=1)[:, None]
+    signs = [(v @ topics._planes(24) > 0).reshape(3000, topics.BANDS, topics.ROWS) for v in (a, b)]
+    assert (signs[0] == signs[1]).all(axis=2).any(axis=1).mean() > 0.998
 
 
 def test_topic_identity_needs_a_clear_single_match(spark):
