@@ -5,13 +5,17 @@ from __future__ import annotations
 import collections
 import datetime as dt
 import heapq
+import itertools
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinionlake import constants as C
 from opinionlake.functions.text import is_blank
+from opinionlake.operators import ranks
 
 REQUIRED = ("owner_role", "cost_estimate", "metric", "target", "verification")
 SCORES = ("evidence", "feasibility", "resources", "measurability", "risk")
@@ -39,37 +43,88 @@ def fields_ok() -> Column:
     return present & F.forall("steps", lambda s: ~is_blank(s))
 
 
-def _order(plan) -> dict:
-    """Takes the ready action with the least (priority, key) again and again; ``plan`` holds (priority, key, dependencies)."""
-    needs = {a["key"]: set(a["dependencies"] if a["dependencies"] is not None else ()) for a in plan}
-    if len(needs) < len(plan):
-        return {"ordered": None, "error": "duplicate_key"}
-    if any(d not in needs for own in needs.values() for d in own):
-        return {"ordered": None, "error": "missing_dependency"}
-    rank = {a["key"]: i for i, a in enumerate(plan)}
-    keys, unlocks = list(rank), collections.defaultdict(list)
-    for key, own in needs.items():
-        for d in own:
-            unlocks[d].append(key)
-    ready, ordered = [rank[k] for k in keys if not needs[k]], []
-    heapq.heapify(ready)
+def faults(actions: DataFrame) -> DataFrame:
+    """(plan_id, error): plans with a repeated key, else with a dependency that is no action of theirs."""
+    keys = actions.groupBy("plan_id", "key").agg(F.count("*").alias("_n"))
+    repeated = keys.filter("_n > 1").select("plan_id", F.lit("duplicate_key").alias("error"))
+    asked = actions.select("plan_id", F.explode("dependencies").alias("key"))
+    missing = asked.join(keys, ["plan_id", "key"], "left_anti").select("plan_id", F.lit("missing_dependency").alias("error"))
+    # The first of the alphabet is also the one that counts.
+    return repeated.unionByName(missing).groupBy("plan_id").agg(F.min("error").alias("error"))
+
+
+def _steps(keys: list[str], needs: list) -> list[int]:
+    """Places of ``keys``, which come by priority and key, in the order of doing: the first that is ready, again and again. Fewer than all if some need each other."""
+    place = {k: i for i, k in enumerate(keys)}
+    open_, unlocks = [len(set(own)) for own in needs], collections.defaultdict(list)
+    for i, own in enumerate(needs):
+        for k in set(own):
+            unlocks[place[k]].append(i)
+    ready, out = [i for i, n in enumerate(open_) if not n], []
     while ready:
-        ordered.append(key := keys[heapq.heappop(ready)])
-        for other in unlocks[key]:
-            needs[other].discard(key)
-            if not needs[other]:
-                heapq.heappush(ready, rank[other])
-    return {"ordered": ordered, "error": None} if len(ordered) == len(plan) else {"ordered": None, "error": "cycle"}
+        out.append(i := heapq.heappop(ready))
+        for other in unlocks[i]:
+            open_[other] -= 1
+            if not open_[other]:
+                heapq.heappush(ready, other)
+    return out
 
 
-def order_actions(actions: DataFrame) -> DataFrame:
-    """One row per plan of any size: ``ordered`` keys, or an ``error`` (duplicate_key, missing_dependency, cycle).
+def ordered_rows(actions: DataFrame, bad: DataFrame, chunk: int = 50_000) -> DataFrame:
+    """(plan_id, at, key) of the actions of each sound plan in the order of doing, from 0; a plan with a cycle has one row, with its ``error``.
 
-    The order of one plan is sequential, so a plan is gathered with its slim columns and ordered with a heap.
+    The order of one plan is sequential: its slim sorted rows pass through one task, which holds keys and open dependencies, and leave in chunks.
     """
-    packed = actions.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("priority", "key", "dependencies"))).alias("_a"))
-    order = F.pandas_udf(lambda plans: pd.DataFrame([_order(p) for p in plans], columns=["ordered", "error"]), "ordered array<string>, error string")
-    return packed.select("plan_id", order("_a").alias("_o")).select("plan_id", "_o.ordered", "_o.error")
+    slim = actions.select("plan_id", "priority", "key", F.coalesce("dependencies", F.array().cast("array<string>")).alias("needs")).join(bad, "plan_id", "left_anti")
+    sorted_ = slim.repartition("plan_id").sortWithinPartitions("plan_id", "priority", "key").select("plan_id", "key", "needs")
+
+    def done(plan, keys: list, needs: list) -> Iterator[tuple]:
+        steps = _steps(keys, needs)
+        if len(steps) < len(keys):
+            yield plan, None, None, "cycle"
+        else:
+            yield from ((plan, at, keys[i], None) for at, i in enumerate(steps))
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        plans, places, keys, errors = zip(*rows, strict=True)
+        return pd.DataFrame({"plan_id": plans, "at": pd.array(places, "Int64"), "key": keys, "error": errors})
+
+    def plans(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        last, keys, needs = None, [], []
+        for batch in batches:
+            for plan, key, own in zip(batch["plan_id"].tolist(), batch["key"].tolist(), batch["needs"].tolist(), strict=True):
+                if keys and plan != last:
+                    yield from done(last, keys, needs)
+                    keys, needs = [], []
+                keys.append(key)
+                needs.append(own)
+                last = plan
+        if keys:
+            yield from done(last, keys, needs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = plans(batches)
+        while part := list(itertools.islice(rows, chunk)):
+            yield frame(part)
+
+    schema = T.StructType([T.StructField("plan_id", actions.schema["plan_id"].dataType), *T.StructType.fromDDL("at bigint, key string, error string").fields])
+    return sorted_.mapInPandas(run, schema)
+
+
+def order_actions(actions: DataFrame) -> DataFrame:
+    """One row per plan: ``ordered`` keys, or an ``error`` (duplicate_key, missing_dependency, cycle). For plans that fit a row; ``ordered_rows`` is for any."""
+    bad = faults(actions)
+    packed = ordered_rows(actions, bad).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("at", "key")))).alias("_a"), F.max("error").alias("error"))
+    sound = packed.select("plan_id", F.when(F.col("error").isNull(), F.transform("_a", lambda s: s["key"])).alias("ordered"), "error")
+    return sound.unionByName(bad.select("plan_id", F.lit(None).cast("array<string>").alias("ordered"), "error"))
+
+
+def plan_errors(actions: DataFrame) -> DataFrame:
+    """(plan_id, error) of unsound plans. Only plans that are not faulty and have dependencies at all are looked through for cycles."""
+    bad = faults(actions)
+    linked = actions.filter(F.size("dependencies") > 0).select("plan_id").distinct()
+    cycles = ordered_rows(actions.join(linked, "plan_id", "left_semi"), bad).filter(F.col("error").isNotNull())
+    return bad.unionByName(cycles.select("plan_id", "error"))
 
 
 def schedule(actions: DataFrame, options: DataFrame) -> DataFrame:
@@ -77,12 +132,11 @@ def schedule(actions: DataFrame, options: DataFrame) -> DataFrame:
 
     ``options``: (plan_id, weekly_hours, start_date).
     """
-    # The outer explode keeps the optimiser from testing the order - and so computing it - a second time.
-    ordered = order_actions(actions).select("plan_id", F.posexplode_outer("ordered").alias("_at", "key")).filter("key is not null")
-    rows = ordered.join(actions.select("plan_id", "key", "hours"), ["plan_id", "key"]).join(options, "plan_id", "left")
+    ordered = ordered_rows(actions, faults(actions)).filter("key is not null").select("plan_id", F.col("at").alias("_at"), "key")
+    rows = ordered.join(actions.select("plan_id", "key", "hours"), ["plan_id", "key"])
+    rows = ranks.block_sum(rows, ["plan_id"], "_at", F.col("hours"), "_end").join(options, "plan_id", "left")
     capacity = F.when(F.coalesce("weekly_hours", F.lit(0.0)) > 0, F.col("weekly_hours")).otherwise(F.lit(C.DEFAULT_WEEKLY_HOURS))
-    running = Window.partitionBy("plan_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_capacity": capacity, "_end": F.sum("hours").over(running)})
+    rows = rows.withColumn("_capacity", capacity)
     rows = rows.withColumn("_begin", F.col("_end") - F.col("hours"))
     dated = (F.coalesce("weekly_hours", F.lit(0.0)) > 0) & F.col("start_date").isNotNull()
     daily = F.col("_capacity") / 7
@@ -105,7 +159,7 @@ def confirmations(plans: DataFrame, problems: DataFrame, actions: DataFrame) ->
     """Reasons why a plan still needs a person: resources, unknowns, assumptions, schedule errors."""
     unknowns = problems.groupBy("plan_id").agg(F.bool_or(F.size("unknowns") > 0).alias("_unknown"))
     assumed = actions.groupBy("plan_id").agg(F.bool_or((F.size("prerequisites") > 0) | (F.size("assumptions") > 0)).alias("_assumed"))
-    errors = order_actions(actions).select("plan_id", "error")
+    errors = plan_errors(actions)
     out = plans.join(unknowns, "plan_id", "left").join(assumed, "plan_id", "left").join(errors, "plan_id", "left")
     missing = (F.coalesce("weekly_hours", F.lit(0.0)) == 0) | F.col("start_date").isNull()
     reasons = F.array_compact(

@@ -320,6 +320,21 @@ def test_dependency_order_and_schedule(spark):
     assert rows[0]["start_date"] == dt.date(2026, 8, 3) and rows[0]["schedule_mode"] == "dated"
 
 
+def test_a_plan_with_most_actions_leaves_in_rows(spark):
+    """A long chain, its actions given backwards, beside small plans and a cycle behind a long lead."""
+    n = 3000
+    plans = [(1, f"k{i:04d}", 5 if i else 9, [f"k{i - 1:04d}"] if i else None, 1.0) for i in reversed(range(n))]
+    plans += [(p, "a", 1, [], 2.0) for p in range(2, 200)] + [(200, "a", 1, [], 1.0), (200, "b", 1, ["a", "c"], 1.0), (200, "c", 1, ["b", "b"], 1.0)]
+    df = spark.createDataFrame(plans, ACTION)
+    rows = planning.ordered_rows(df, planning.faults(df), chunk=500).collect()
+    assert [r["key"] for r in sorted((r for r in rows if r["plan_id"] == 1), key=lambda r: r["at"])] == [f"k{i:04d}" for i in range(n)]
+    assert {(r["plan_id"], r["error"]) for r in planning.plan_errors(df).collect()} == {(200, "cycle")}
+    options = spark.createDataFrame([(1, 10.0, None)], "plan_id bigint, weekly_hours double, start_date date")
+    last = {r["plan_id"]: r["due_week"] for r in planning.schedule(df, options).collect() if r["place"] in (1, n)}
+    assert last[1] == n // 10 and last[2] == 1 and 200 not in last
+    assert planning.order_actions(df.limit(0)).collect() == []
+
+
 def test_verdict_thresholds_are_exact(spark):
     schema = (
         "k string, metric_kind string, unit string, direction string, threshold double, minimum_sample bigint, before_count bigint, before_successes bigint, before_mean double, "
