@@ -48,7 +48,7 @@ def ingest(spark, d):
     repeated = [parts[0], parts[1].unionByName(parts[0]), parts[2].unionByName(parts[0])]
     shaped = [p.select("event_id", "user_id", F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("published_at")) for p in repeated]
     path = scratch(spark, "ingest")
-    replay(spark, "ingest", shaped, lambda s: pipeline.ingest(s, path, lateness="60 days"))
+    replay(spark, "ingest", shaped, lambda s: pipeline.ingest(s, path))
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("source", T.StringType())])
     return pipeline.read_batches(spark, path, schema).drop("batch")
 

@@ -7,6 +7,7 @@ replaces itself instead of doubling.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from opinionlake import constants as C
 from opinionlake.functions import dates
 from opinionlake.operators import ranks
+from opinionlake.streaming import keyed
 
 
 def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -45,21 +47,43 @@ def as_event_time(df: DataFrame, column: str) -> DataFrame:
 
 
 # ---- ingest -------------------------------------------------------------------------------
-def ingest(stream: DataFrame, path: str, keys=("source", "id"), time: str = "published_at", lateness: str = "7 days") -> DataStreamWriter:
-    """Append items whose identity is not stored yet.
+def _fields(schema: T.StructType, names) -> tuple[T.StructField, ...]:
+    return tuple(T.StructField(n, schema[n].dataType) for n in names)
 
-    Repeats inside the watermark are dropped by stream state; older ones by an anti join with the
-    keys already written. Only the key columns of the sink are read for that.
+
+def ingest(stream: DataFrame, path: str, keys=("source", "id"), time: str = "published_at", bucket_rows: int = 1 << 20) -> DataStreamWriter:
+    """Append items whose identity is not stored yet, however late they come.
+
+    Of the rows of a micro-batch with one identity the earliest stays (undated ones last). Stored identities are a
+    ``KeyedTable`` under ``path/_keys``, of which a batch reads the buckets its keys fall into. A sink that has no such
+    table yet has it built once from its key columns.
     """
     keys = list(keys)
-    fresh = as_event_time(stream, time).withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
-    schema = fresh.schema
+    stored = keyed.KeyedTable(f"{path}/_keys", _fields(stream.schema, keys), bucket_rows=bucket_rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = read_batches(batch.sparkSession, path, schema).filter(F.col("batch") < batch_id).select(*keys)
-        batch.join(known, keys, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return fresh.writeStream.foreachBatch(write)
+        spark = batch.sparkSession
+        runs = stored.runs(spark, batch_id)
+        if runs is None:
+            runs = _adopted(spark, batch_id)
+        firsts = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), F.struct(F.col(time).isNull(), F.col(time))).alias("_row")).select("_row.*")
+        firsts = firsts.persist()
+        known = stored.lookup(runs, firsts).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+        same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        firsts.join(known, same, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        firsts.unpersist()
+        landed = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}")
+        stored.put(runs, landed, landed.count(), batch_id)
+
+    def _adopted(spark: SparkSession, batch_id: int) -> list[keyed.Run]:
+        earlier = read_batches(spark, path, stream.schema).filter(F.col("batch") < batch_id).select(*keys).distinct()
+        count = earlier.count()
+        if not count:
+            return []
+        stored.put([], earlier, count, -1)
+        return stored.runs(spark, 0)
+
+    return stream.writeStream.foreachBatch(write)
 
 
 # ---- windows ------------------------------------------------------------------------------
@@ -128,33 +152,28 @@ def changes(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return before.filter(~F.col("_before").eqNullSafe(F.col(value))).drop("_before")
 
 
-def change_feed(stream: DataFrame, path: str, key: str, value: str, order: str) -> DataStreamWriter:
+def change_feed(stream: DataFrame, path: str, key: str, value: str, order: str, bucket_rows: int = 1 << 20) -> DataStreamWriter:
     """Stream form: emit a key's value only when it differs from the last one seen.
 
     A micro-batch is compared with itself in ``order`` by the batch form, which splits a busy key over
-    tasks; only its first row per key is compared with the last values kept by the batch before.
-    Both outputs of a batch are overwritten when it is replayed.
+    tasks; only its first row per key is compared with the last values, a ``KeyedTable`` of which the batch reads the
+    buckets it touches and to which it adds its own keys. All outputs of a batch are overwritten when it is replayed.
     """
     rows = stream.select(key, value, order)
-    kept = T.StructType([f for f in rows.schema.fields if f.name != order])
+    last = keyed.KeyedTable(f"{path}/last", _fields(rows.schema, [key]), _fields(rows.schema, [value]), bucket_rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = read_batches(spark, f"{path}/last", kept).filter(F.col("batch") < batch_id)
-        newest_batch = earlier.agg(F.max("batch")).first()[0]  # of a partition column; batches may be missing in between
-        past = earlier.filter(F.col("batch") == F.lit(newest_batch))
-        past = past.select(F.col(key).alias("_key"), F.col(value).alias("_past"))
+        runs = last.runs(batch.sparkSession, batch_id) or []
         batch.persist()
-        first = batch.groupBy(key).agg(F.min(order).alias("_first"))
-        lagged = ranks.block_lag(batch, [key], order, value, "_before").join(first, key).join(past, F.col(key) == F.col("_key"), "left")
+        ends = batch.groupBy(key).agg(F.min(order).alias("_first"), F.max_by(value, order).alias(value)).persist()
+        past = last.lookup(runs, ends).select(F.col(key).alias("_key"), F.col(value).alias("_past"))
+        first = ends.select(F.col(key).alias("_key"), "_first").join(past.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+        lagged = ranks.block_lag(batch, [key], order, value, "_before").join(first, F.col(key).eqNullSafe(F.col("_key")))
         before = F.when(F.col(order) == F.col("_first"), F.col("_past")).otherwise(F.col("_before"))
         changed = lagged.filter(~before.eqNullSafe(F.col(value))).select(key, value, order)
         changed.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
-        newest = batch.groupBy(key).agg(F.max_by(value, order).alias(value))
-        merged = newest.join(past, F.col(key) == F.col("_key"), "full")
-        merged.select(F.coalesce(key, "_key").alias(key), F.when(F.col(key).isNotNull(), F.col(value)).otherwise(F.col("_past")).alias(value)).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/last/batch={batch_id}")
+        last.put(runs, ends, ends.count(), batch_id)
+        ends.unpersist()
         batch.unpersist()
 
     return rows.writeStream.foreachBatch(write)
