@@ -121,7 +121,7 @@ DOMAIN_TERMS = (
     "湯頭 咖啡 珍珠 奶茶 珍珠奶茶 外帶 內用 外送 訂位 預約 菜單 結帳 結賬 買單 停車 交通 位置 分店 商家 店家 品牌 "
     "推薦 再訪 回訪 冷氣 空調 吵雜 客人 顧客 抱怨 改善 優點 缺點"
 ).split()
-TOKENIZER_VERSION = "letter-runs+domain-longest-match-v2"
+TOKENIZER_VERSION = "letter-runs+best-path-v3"
 CLUSTER_STOPWORDS = ("這個", "真的", "但是", "覺得")
 POSITIVE_WORDS = (
     "好吃",

@@ -155,6 +155,7 @@ def alternation(words) -> str:
 HAN = "一-鿿"
 #: Runs of letters and digits of all other scripts.
 RUN = rf"[\p{{L}}\p{{N}}&&[^{HAN}]]+"
+#: Brand names of several words begin and end where a word does; the edge itself may be a sign, as in "c++".
 _BOUND = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
@@ -163,26 +164,21 @@ def han_words(words) -> str:
     return alternation(w for w in words if w.isalnum() and any("一" <= c <= "鿿" for c in w))
 
 
-def token_pattern(brand_terms=(), words=C.DOMAIN_TERMS) -> str:
-    """Brand names of several words, runs of letters and digits, the longest dictionary word at a Han position, and Han letters that no word covers.
+def run_pattern(brands: Column | None = None) -> Column:
+    """Letter runs of texts without Han letters, and before them the brand names of several words."""
+    if brands is None:
+        return F.lit(f"({RUN})")
+    lower = F.array_distinct(F.transform(brands, lambda b: F.lower(F.trim(b))))
+    several = F.filter(lower, lambda w: ~w.rlike(r"^[\p{L}\p{N}]*$"))
+    longest = F.transform(F.array_sort(F.transform(several, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    quoted = F.transform(longest, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}\s])", r"\\$1"))
+    first = F.concat(F.lit(f"{_BOUND[0]}(?:"), F.array_join(quoted, "|"), F.lit(f"){_BOUND[1]}|"))
+    return F.concat(F.lit("("), F.when(F.size(quoted) > 0, first).otherwise(""), F.lit(f"{RUN})"))
 
-    The common case comes first, so a Latin text never tries the dictionary.
-    """
-    brands = [unicodedata.normalize("NFKC", b).casefold() for b in brand_terms]
-    several = alternation(b for b in brands if b.strip() and not b.isalnum())
-    known = han_words([*words, *brands])
-    loose = rf"(?:(?!{known})[{HAN}])+" if known else rf"[{HAN}]+"
-    return "(" + "|".join(p for p in (several and f"{_BOUND[0]}(?:{several}){_BOUND[1]}", RUN, known, loose) if p) + ")"
-
-
-def tokens(folded: Column, pattern: str | Column | None = None) -> Column:
-    """Tokens of an already folded text: two characters or more, no stop word, not a number."""
-    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern or token_pattern())
-    found = F.regexp_extract_all(folded, pattern, F.lit(1))
-    return F.filter(
-        found,
-        lambda t: (F.length(t) >= 2) & ~t.isin(*C.STOPWORDS) & ~t.rlike(r"^[0-9]+$"),
-    )
+
+def worth_keeping(found: Column) -> Column:
+    """Tokens of two characters or more, no stop words, no numbers."""
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*C.STOPWORDS) & ~t.rlike(r"^\p{N}+$"))
 
 
 def occurrences(text: Column, word: Column) -> Column:

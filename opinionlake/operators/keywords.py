@@ -8,36 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
-from opinionlake.functions import text
+from opinionlake.functions import segment, text
 from opinionlake.operators import ranks
 from opinionlake.operators import scope as S
 
 
-def with_tokens(items: DataFrame, brand_terms=()) -> DataFrame:
-    pattern = text.token_pattern(brand_terms)
-    return items.withColumn("tokens", text.tokens(S.item_text(), pattern))
+def with_tokens(items: DataFrame, tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
+    """``tokens`` of each item, by the same tokenizer as the keyword filter; rows with ``brand_terms`` use them as words."""
+    return items.withColumn("tokens", tokenizer.tokens(S.item_text(), S.brand_terms(items)))
 
 
-def with_brand_tokens(items: DataFrame, brands: DataFrame) -> DataFrame:
-    """Tokens with each report's own brand names added to the dictionary.
+def with_brands(items: DataFrame, brands: DataFrame) -> DataFrame:
+    """Items with their report's own brand names. ``brands`` holds (report_id, brand_terms), one small row per report."""
+    folded = F.transform(text.normalize_all(F.col("brand_terms")), F.lower)
+    return items.join(brands.select("report_id", folded.alias("brand_terms")), "report_id", "left")
 
-    ``brands`` holds (report_id, brand_terms) - one small row per report; the scanner pattern is
-    built in columns and joined on, so any number of reports share one pass.
-    """
-    lower = F.transform("brand_terms", lambda b: F.lower(F.trim(b)))
-    words = F.concat(F.array(*[F.lit(w) for w in C.DOMAIN_TERMS]), lower)
-    longest_first = lambda ws: F.transform(
-        F.array_sort(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]
-    )
-    whole = lambda w: w.rlike(r"^[\p{L}\p{N}]+$")
-    known = F.array_join(longest_first(F.filter(F.array_distinct(words), lambda w: whole(w) & w.rlike(f"[{text.HAN}]"))), "|")
-    several = F.transform(longest_first(F.filter(F.array_distinct(lower), lambda w: ~whole(w) & (w != ""))), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}\s])", r"\\$1"))
-    first = F.when(F.size(several) > 0, F.concat(F.lit(f"{text._BOUND[0]}(?:"), F.array_join(several, "|"), F.lit(f"){text._BOUND[1]}|"))).otherwise("")
-    pattern = F.concat(F.lit("("), first, F.lit(f"{text.RUN}|"), known, F.lit("|(?:(?!"), known, F.lit(f")[{text.HAN}])+)"))
-    named = brands.select("report_id", pattern.alias("_pattern"))
-    joined = items.join(named, "report_id", "left")
-    chosen = F.coalesce("_pattern", F.lit(text.token_pattern()))
-    return joined.withColumn("tokens", text.tokens(S.item_text(), chosen)).drop("_pattern")
+
+def with_brand_tokens(items: DataFrame, brands: DataFrame, tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
+    return with_tokens(with_brands(items, brands), tokenizer).drop("brand_terms")
 
 
 def tf_df(tokenised: DataFrame, keys=("report_id",)) -> DataFrame:

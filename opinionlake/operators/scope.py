@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
-from opinionlake.functions import dates, text
+from opinionlake.functions import dates, segment, text
 
 _EQUALS = ("source", "content_type", "board", "thread_source_id", "rating")
 _TERM_GROUPS = ("any_terms", "all_terms", "exclude_terms")
@@ -108,11 +108,13 @@ def _conditions(scope: Scope) -> list[Column]:
     if _reads_text(scope):
         # All tests on the folded text hang on one lambda variable, so it is built once a row, not once a term.
         tests.append(F.exists(F.array("_folded"), lambda folded: _text_tests(scope, folded)))
+    if scope.keyword:
+        tests.append(F.array_contains("_tokens", _fold(scope.keyword)))
     return tests
 
 
 def _reads_text(scope: Scope) -> bool:
-    return bool(any(getattr(scope, g) for g in _TERM_GROUPS) or scope.keyword)
+    return any(getattr(scope, g) for g in _TERM_GROUPS)
 
 
 def _text_tests(scope: Scope, folded: Column) -> Column:
@@ -120,13 +122,17 @@ def _text_tests(scope: Scope, folded: Column) -> Column:
     tests = [has(t) for t in scope.all_terms] + [~has(t) for t in scope.exclude_terms]
     if scope.any_terms:
         tests.append(functools.reduce(lambda a, b: a | b, [has(t) for t in scope.any_terms]))
-    if scope.keyword:
-        tests.append(F.array_contains(text.tokens(folded), _fold(scope.keyword)))
     return functools.reduce(lambda a, b: a & b, tests)
 
 
-def _folded(items: DataFrame, scope: Scope) -> DataFrame:
-    return items.withColumn("_folded", item_text()) if _reads_text(scope) else items
+def brand_terms(items: DataFrame) -> Column | None:
+    """The report's brand names, where the rows carry them."""
+    return F.col("brand_terms") if "brand_terms" in items.columns else None
+
+
+def _folded(items: DataFrame, scope: Scope, tokenizer: segment.Tokenizer) -> DataFrame:
+    df = items.withColumn("_folded", item_text()) if _reads_text(scope) else items
+    return df.withColumn("_tokens", tokenizer.tokens(item_text(), brand_terms(items))) if scope.keyword else df
 
 
 def _date_flags(scope: Scope) -> dict[str, Column]:
@@ -142,24 +148,24 @@ def _date_flags(scope: Scope) -> dict[str, Column]:
     return {"inside": inside, "undated": undated, "imprecise": ~undated & ~accepted if strict else F.lit(False)}
 
 
-def flag(items: DataFrame, scope: Scope) -> DataFrame:
+def flag(items: DataFrame, scope: Scope, tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
     """Rows passing every non-date test, with ``_day``, ``_unknown_date``, ``_imprecise``, ``_kept``.
 
     Known dates outside the range drop without being counted.
     """
-    df = _folded(items, scope)
+    df = _folded(items, scope, tokenizer)
     for test in _conditions(scope):
         df = df.filter(F.coalesce(test, F.lit(False)))
-    df = df.drop("_folded").withColumn("_day", dates.local_day(F.col("published_at")))
+    df = df.drop("_folded", "_tokens").withColumn("_day", dates.local_day(F.col("published_at")))
     flags = _date_flags(scope)
     return df.filter(flags["inside"]).withColumns(
         {"_unknown_date": flags["undated"], "_imprecise": flags["imprecise"], "_kept": ~flags["undated"] & ~flags["imprecise"]}
     )
 
 
-def select(items: DataFrame, scope: Scope) -> DataFrame:
+def select(items: DataFrame, scope: Scope, tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
     """The rows of the scope. Snapshot items are already unique per (report_id, id)."""
-    flagged = flag(items, scope).filter("_kept")
+    flagged = flag(items, scope, tokenizer).filter("_kept")
     return flagged.drop("_day", "_unknown_date", "_imprecise", "_kept")
 
 
@@ -178,13 +184,13 @@ def dedup(versions: DataFrame, keys=("report_id", "id"), order: str = "ordinal")
     )
 
 
-def counts(versions: DataFrame, scope: Scope, keys=("report_id",)) -> DataFrame:
+def counts(versions: DataFrame, scope: Scope, keys=("report_id",), tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
     """Raw, deduplicated, included and excluded counts per report in one pass over the versions.
 
     Whether a version is in scope depends on that version alone, so it shrinks to one small outcome
     number before anything moves; the last version's outcome per id is a partial aggregate.
     """
-    df = _folded(versions, scope).withColumn("_day", dates.local_day(F.col("published_at")))
+    df = _folded(versions, scope, tokenizer).withColumn("_day", dates.local_day(F.col("published_at")))
     flags = _date_flags(scope)
     passes = functools.reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), _conditions(scope), flags["inside"])
     outcome = F.when(~passes, 0).when(flags["undated"], 1).when(flags["imprecise"], 2).otherwise(3)

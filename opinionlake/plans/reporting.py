@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
-from opinionlake.functions import text
+from opinionlake.functions import segment, text
 from opinionlake.operators import keywords, reportagg
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.scoped import TOKENS_SQL
+from opinionlake.session import scratch
 from opinionlake.sources.binding import items, table, with_items
 
 _BLOCK_COLS = ", ".join(
@@ -134,9 +135,6 @@ def brand_frame(spark, d):
     )
 
 
-_BRAND_PATTERN = ("(" + text.alternation(C.DOMAIN_TERMS) + ")")
-
-
 @query("tok.dictionary", """WITH b AS (SELECT DISTINCT 'r' || (length(c_mktsegment) % 4) AS report_id, lower(c_mktsegment) AS w FROM customer),
  t AS (SELECT report_id, w FROM b UNION SELECT DISTINCT report_id, unnest(['th', '鼎泰豐二店']) FROM b)
  SELECT report_id, count(*) AS brand_words, string_agg(w, ',' ORDER BY w) AS words FROM t GROUP BY 1""")
@@ -153,6 +151,27 @@ def tokenize(spark, d):
     return out.select("id", F.size("tokens").cast("bigint").alias("n"), F.lit(C.TOKENIZER_VERSION).alias("tokenizer_version"))
 
 
+# Letters stand for Han letters here, one for one, so that the words of the benchmark make a dictionary and documents without blanks need it.
+_LETTERS, _HAN_LETTERS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+
+
+@query("tok.dictionary_words", f"""SELECT translate(w, '{_LETTERS}', '{_HAN_LETTERS}') AS word, count(*) AS freq FROM (
+ SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 6 GROUP BY 1""")
+def dictionary_words(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("w"))
+    counted = words.filter("length(w) between 2 and 6").groupBy(F.translate("w", _LETTERS, _HAN_LETTERS).alias("word")).agg(F.count("*").alias("freq"))
+    return segment.dictionary_rows(counted)
+
+
+@query("tok.best_path")
+def best_path(spark, d):
+    """Documents without blanks, cut by the dictionary above: beyond SQL, tested against all paths of small texts."""
+    tokenizer = segment.write_dictionary(dictionary_words(spark, d), scratch(spark, "dictionary"))
+    body = F.translate(F.replace(F.lower("text"), F.lit(" "), F.lit("")), _LETTERS, _HAN_LETTERS)
+    cut = table(spark, d, "documents").withColumn("tokens", tokenizer.tokens(F.coalesce(body, F.lit(""))))
+    return cut.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 _TFDF = f""", tok AS (SELECT report_id, id, unnest({TOKENS_SQL}) AS term FROM items), tf AS (
  SELECT report_id, term, count(*) AS term_frequency, count(DISTINCT id) AS document_frequency FROM tok GROUP BY ALL)"""
 
