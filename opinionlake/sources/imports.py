@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import io
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -14,41 +14,33 @@ from pyspark.sql import functions as F
 from opinionlake import constants as C
 from opinionlake.functions import dates, identity, text, values
 from opinionlake.operators import ranks
-from opinionlake.session import cut_lineage
+from opinionlake.session import cut_lineage, stored
+from opinionlake.sources import splitcsv
 
 _ROW = ", ".join(f"{f} string" for f in C.IMPORT_FIELDS)
 #: Rows of a file that are handed on at once.
 ROWS = 10_000
+#: Bytes of a CSV file that one task reads at a time.
+RANGE_BYTES = 64 << 20
+#: Bytes in which a header of the fixed field names, quoted or not, must end.
+HEADER_BYTES = 4096
 _SCHEMA = f"file string, row_no bigint, file_error string, {_ROW}"
 
 
-def _records(name: str, content: bytes):
-    """(error, first row number, rows) of one file."""
+def _json_records(content: bytes):
+    """(error, rows) of one JSON file."""
     try:
-        body = content.decode("utf-8-sig")
+        rows = json.loads(content.decode("utf-8-sig"))
     except UnicodeDecodeError:
-        return "not_utf8", 0, []
-    if name.lower().endswith(".csv"):
-        reader = csv.DictReader(io.StringIO(body))
-        if sorted(reader.fieldnames or []) != sorted(C.IMPORT_FIELDS):
-            return "bad_header", 0, []
-        rows, first = list(reader), 2
-    elif name.lower().endswith(".json"):
-        try:
-            rows = json.loads(body)
-        except json.JSONDecodeError:
-            return "bad_json", 0, []
-        rows = rows.get("items") if isinstance(rows, dict) else rows
-        if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
-            return "not_a_list", 0, []
-        first = 1
-    else:
-        return "unknown_type", 0, []
+        return "not_utf8", []
+    except json.JSONDecodeError:
+        return "bad_json", []
+    rows = rows.get("items") if isinstance(rows, dict) else rows
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        return "not_a_list", []
     if not rows:
-        return "empty", 0, []
-    if any(set(r) != set(C.IMPORT_FIELDS) for r in rows):
-        return "bad_fields", 0, []
-    return None, first, rows
+        return "empty", []
+    return ("bad_fields", []) if any(set(r) != set(C.IMPORT_FIELDS) for r in rows) else (None, rows)
 
 
 def _cell(value, field: str):
@@ -60,28 +52,150 @@ def _cell(value, field: str):
     return "\u0000" + json.dumps(value)
 
 
-def read_files(spark: SparkSession, path: str, kind: str = "") -> DataFrame:
+_COLUMNS = ["file", "row_no", "file_error", *C.IMPORT_FIELDS]
+
+
+def _bad(name: str, error: str) -> pd.DataFrame:
+    return pd.DataFrame([[name, 0, error, *[None] * len(C.IMPORT_FIELDS)]], columns=_COLUMNS)
+
+
+def _tables(name: str, rows: Iterator[list], first: int) -> Iterator[pd.DataFrame]:
+    for at, part in enumerate(iter(lambda: list(itertools.islice(rows, ROWS)), [])):
+        yield pd.DataFrame([[name, i, None, *row] for i, row in enumerate(part, first + at * ROWS)], columns=_COLUMNS)
+
+
+def read_files(spark: SparkSession, path: str, kind: str = "", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows of all CSV/JSON import files below ``path``, or one row with ``file_error`` per bad file.
 
-    The type follows the file name unless ``kind`` names it (".csv", ".json"). No file, row or text is refused for its size.
+    The type follows the file name unless ``kind`` names it (".csv", ".json"). No file, row or text is refused for its size;
+    CSV files are read in ranges of ``range_bytes``, JSON files whole. Spark does not list files of no bytes; they give nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    ending = F.lower(F.lit(kind) if kind else F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    kinds = files.withColumn("_kind", ending)
+    unknown = kinds.filter(~F.col("_kind").isin(".csv", ".json")).select(
+        F.col("path").alias("file"), F.lit(0).cast("bigint").alias("row_no"), F.lit("unknown_type").alias("file_error"),
+        *[F.lit(None).cast("string").alias(f) for f in C.IMPORT_FIELDS],
+    )
+    return _read_json(kinds.filter("_kind = '.json'")).unionByName(_read_csv(kinds.filter("_kind = '.csv'"), range_bytes)).unionByName(unknown)
+
 
+def _read_json(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["file", "row_no", "file_error", *C.IMPORT_FIELDS]
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                error, first, rows = _records(kind or name, content)
+                error, rows = _json_records(content)
                 if error:
-                    yield pd.DataFrame([[name, 0, error, *[None] * len(C.IMPORT_FIELDS)]], columns=columns)
-                    continue
-                for at in range(0, len(rows), ROWS):
-                    table = [[name, i, None, *[_cell(r[f], f) for f in C.IMPORT_FIELDS]] for i, r in enumerate(rows[at : at + ROWS], first + at)]
-                    yield pd.DataFrame(table, columns=columns)
+                    yield _bad(name, error)
+                else:
+                    yield from _tables(name, ([_cell(r[f], f) for f in C.IMPORT_FIELDS] for r in rows), 1)
 
     return files.select("path", "content").mapInPandas(parse, _SCHEMA)
 
 
+def _bytes(name: str, start: int, size: int) -> bytes:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(name)
+    with system.open_input_file(place) as file:
+        file.seek(start)
+        return file.read(size)
+
+
+def _read_csv(files: DataFrame, range_bytes: int) -> DataFrame:
+    """Ranges are judged, their maps composed per file (a few bytes a range), then parsed; a file with any fault gives no rows."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
+    ranges = files.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start"))
+    ranges = ranges.repartition(F.col("file"), F.col("start"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                whole = _bytes(row.file, row.start, range_bytes + 3)
+                data, ahead = whole[:range_bytes], whole[range_bytes:]
+                if row.start == 0 and data.startswith(splitcsv.BOM):
+                    data = data[len(splitcsv.BOM) :]
+                maps = splitcsv.outcomes(data, ahead[:1])
+                yield pd.DataFrame(
+                    [[row.file, row.start, splitcsv.valid_utf8(data, ahead, row.start == 0), [int(v) for o in maps for v in o]]], columns=["file", "start", "sound", "maps"]
+                )
+
+    judged = stored(ranges.mapInPandas(judge, "file string, start bigint, sound boolean, maps array<bigint>"), "csv-ranges")
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("start")
+        maps = [[tuple(m[i : i + 3]) for i in range(0, len(m), 3)] for m in part["maps"]]
+        placed = splitcsv.compose(maps)
+        sound = bool(part["sound"].all())
+        return pd.DataFrame({"file": part["file"], "start": part["start"], "first": [f for f, _ in placed], "before": [b for _, b in placed], "sound": sound})
+
+    settled = judged.groupBy("file").applyInPandas(settle, "file string, start bigint, first bigint, before bigint, sound boolean")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                if not row.sound:
+                    if row.start == 0:
+                        yield _bad(row.file, "not_utf8")
+                    continue
+                yield from _range_rows(row.file, row.start, row.first, row.before, range_bytes)
+
+    spread_again = settled.repartition(F.col("file"), F.col("start"))
+    parsed = stored(spread_again.mapInPandas(parse, _SCHEMA), "csv-rows")
+    faults = parsed.filter("file_error is not null").groupBy("file").agg(F.min("file_error").alias("file_error"))
+    held = parsed.filter("file_error is null").groupBy("file").agg(F.lit(1).alias("_held"))
+    all_faults = files.select(F.col("path").alias("file")).join(faults, "file", "left").join(held, "file", "left")
+    named = all_faults.filter("file_error is not null or _held is null").select(
+        "file", F.lit(0).cast("bigint").alias("row_no"), F.coalesce("file_error", F.lit("empty")).alias("file_error"),
+        *[F.lit(None).cast("string").alias(f) for f in C.IMPORT_FIELDS],
+    )
+    return parsed.filter("file_error is null").join(faults.select("file"), "file", "left_anti").unionByName(named)
+
+
+def _head(name: str) -> list[str] | None:
+    """The first record; of a file whose first record is no header only as much is read as a header could take."""
+    data = _bytes(name, 0, HEADER_BYTES).removeprefix(splitcsv.BOM)
+    _, end = splitcsv.record_end(data, splitcsv.RECORD)
+    try:
+        return next(splitcsv.records(data[:end]), None)
+    except (UnicodeDecodeError, csv.Error):
+        return None
+
+
+def _range_rows(name: str, start: int, first: int, before: int, range_bytes: int) -> Iterator[pd.DataFrame]:
+    """Rows of the records that begin in a range. The header is record 0 of the file and counts among those before."""
+    header = _head(name)
+    if sorted(header or []) != sorted(C.IMPORT_FIELDS):
+        if start == 0:
+            yield _bad(name, "bad_header")
+        return
+    if first < 0:
+        return
+    data = _bytes(name, start, range_bytes)
+    if start == 0:
+        data = data.removeprefix(splitcsv.BOM)
+    data = data[first:]
+    end, reach = start + range_bytes, 1 << 16
+    state = splitcsv.outcomes(data)[splitcsv.RECORD][0]
+    while state != splitcsv.RECORD and (more := _bytes(name, end, reach)):
+        state, used = splitcsv.record_end(more, state)
+        data, end, reach = data + more[:used], end + len(more), reach * 2
+    places = [header.index(f) for f in C.IMPORT_FIELDS]
+    try:
+        rows = list(splitcsv.records(data))
+    except csv.Error:
+        yield _bad(name, "bad_csv")
+        return
+    if before == 0:
+        rows = rows[1:]
+    if any(len(row) > len(header) for row in rows):
+        yield _bad(name, "bad_fields")
+        return
+    # Short rows are filled with nulls; data rows are numbered from 2.
+    filled = (row + [None] * (len(header) - len(row)) for row in rows)
+    yield from _tables(name, ([row[p] for p in places] for row in filled), max(before, 1) + 1)
+
+
 _INTEGER = r"^-?[0-9]+$"
 
 
