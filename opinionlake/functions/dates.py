@@ -28,9 +28,12 @@ def next_bucket(day: Column, interval: str) -> Column:
     return F.date_add(day, 1 if interval == "day" else 7)
 
 
-def calendar(start: Column, end: Column, interval: str) -> Column:
-    """Array of bucket starts covering [start, end]."""
-    return F.sequence(bucket(start, interval), end, F.expr(_STEP[interval]))
+def calendar_of_year(start: Column, end: Column, year: Column, interval: str) -> Column:
+    """Array of the bucket starts of [start, end] that fall into a year."""
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    first = F.when(bucket(new_year, interval) == new_year, new_year).otherwise(next_bucket(new_year, interval))
+    low, high = F.greatest(bucket(start, interval), first), F.least(end, F.make_date(year, F.lit(12), F.lit(31)))
+    return F.when(low <= high, F.sequence(low, F.greatest(low, high), F.expr(_STEP[interval]))).otherwise(F.array().cast("array<date>"))
 
 
 def iso_week(day: Column) -> Column:

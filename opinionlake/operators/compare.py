@@ -16,6 +16,7 @@ from opinionlake import constants as C
 from opinionlake.functions import dates
 from opinionlake.operators import ranks, stats
 from opinionlake.operators import scope as S
+from opinionlake.session import stored
 
 
 @dataclasses.dataclass(frozen=True)
@@ -129,6 +130,26 @@ def top_threads(rows: DataFrame, keys, k: int = 25) -> DataFrame:
     return ranks.top_rows(stats.threads(rows, keys), list(keys), stats.thread_order(), k)
 
 
+def workspace(rows: DataFrame, keys, interval: str, date_from=None, date_to=None, bounds: DataFrame | None = None, threads: int = 25) -> dict[str, DataFrame]:
+    """All tables of a comparison, one group of rows per member, cut from one set of member rows.
+
+    Those rows are written once without their long texts (an excerpt stays), since finding the members reads and folds
+    all texts, and the tables would each do it again.
+    """
+    slim = rows.withColumn("text", F.substring("text", 1, C.EXCERPT_CHARS)).drop("_folded", "_tokens")
+    held = stored(slim, "members")
+    return {
+        "statistics": stats.statistics(held, keys),
+        "trend": stats.trend(held, interval, date_from, date_to, keys, bounds),
+        "channels": stats.channels(held, keys=keys),
+        "sources": stats.channels(held, "source", keys),
+        "threads": top_threads(held, keys, threads),
+        "complaint_aspects": complaint_aspects(held, keys),
+        "topic_hits": topic_hits(held, keys),
+        "observed": summary(held, keys),
+    }
+
+
 LONG_METRICS = (
     "count",
     "positive_count",

@@ -104,13 +104,20 @@ def _series(per_bucket: DataFrame, interval: str, keys) -> DataFrame:
         "date_to", F.coalesce("_high", "_last", "date_from")
     )
     per_group = per_group.filter(F.col("date_from").isNotNull() & F.col("date_to").isNotNull())
+    # One row per group for its points and one per calendar year, so no row holds more than a year of empty buckets.
+    start = dates.bucket(F.col("date_from"), interval)
+    points, year = F.col("_points").alias("points"), F.lit(None).cast("int").alias("year")
+    per_year = F.transform(
+        F.sequence(F.year(start), F.year("date_to")), lambda y: F.struct(F.lit(None).cast(per_group.schema["_points"].dataType).alias("points"), y.alias("year"))
+    )
+    blocks = per_group.filter(start <= F.col("date_to")).select(
+        *keys, "date_from", "date_to", "excluded_count", F.explode(F.concat(F.array(F.struct(points, year)), per_year)).alias("_b")
+    )
     empty = F.transform(
-        dates.calendar(F.col("date_from"), F.col("date_to"), interval),
+        dates.calendar_of_year(F.col("date_from"), F.col("date_to"), F.col("_b.year"), interval),
         lambda c: F.struct(c.alias("period"), *[F.lit(0).cast("bigint").alias(f) for f in figures]),
     )
-    padded = per_group.select(
-        *keys, "date_from", "date_to", "excluded_count", F.explode(F.concat("_points", empty)).alias("_p")
-    )
+    padded = blocks.select(*keys, "date_from", "date_to", "excluded_count", F.explode(F.coalesce("_b.points", empty)).alias("_p"))
     series = padded.groupBy(*keys, "date_from", "date_to", "excluded_count", F.col("_p.period").alias("period")).agg(
         *[F.sum(f"_p.{f}").alias(f) for f in figures]
     )

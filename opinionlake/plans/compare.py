@@ -10,7 +10,7 @@ from opinionlake import constants as C
 from opinionlake.operators import compare, stats
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
-from opinionlake.plans.scoped import _FIVE, _RATIOS, _SRC, _THREADS, DIGESTS, dates_as_text, key_sql
+from opinionlake.plans.scoped import _CHANNEL, _FIVE, _RATIOS, _SRC, _THREADS, DIGESTS, THREAD_SQL, dates_as_text, key_sql, trend_sql
 from opinionlake.sources.binding import items, with_items
 
 GROUPS = (
@@ -161,3 +161,66 @@ EXTRA = S.Scope(sentiment="positive", source="ptt")
 @query("cmp.drilldown", with_items(_MEM + f""", {DIGESTS} SELECT report_id, member, id, {key_sql(EXTRA, "member")} AS scope_key FROM mem JOIN dg USING (report_id) WHERE sent = 'positive' AND source = 'ptt'"""))
 def drilldown(spark, d):
     return _key(spark, d, S.select(topic_members(spark, d), EXTRA).select("report_id", "member", "id"), EXTRA)
+
+
+# ---- whole comparisons: the tables of each member --------------------------------------------
+def _topic_parts(spark, d):
+    rows = topic_members(spark, d)
+    bounds = compare.shared_bounds(compare.mother_set(items(spark, d), SCOPE), SCOPE)
+    return compare.workspace(rows, _KEYS, "week", bounds=bounds)
+
+
+def _brand_parts(spark, d):
+    rows = compare.brand_members(items(spark, d), ["r0", "r1", "r2", "r3"], SCOPE.with_(date_from=FROM, date_to=TO))
+    return compare.workspace(rows, ["member"], "week", FROM, TO)
+
+
+_BRAND_MEM = f", mem AS (SELECT *, report_id AS member FROM items WHERE {_WEEK} AND day BETWEEN DATE '{FROM}' AND DATE '{TO}')"
+_POINTS = ["period", "count", *[f"{s}_count" for s in C.SENTIMENTS], *[f"{s}_items" for s in C.SOURCES], "classified_count", "negative_ratio", "pn_ratio"]
+
+
+def _channel_sql(mem, keys, label):
+    return with_items(mem + f""" SELECT *, {_RATIOS} FROM (SELECT {keys}, source, {label} AS channel_label, count(*) AS sample_count, {_FIVE}, {_THREADS},
+  arg_min(struct_pack(b := board), ordinal).b AS board FROM mem GROUP BY ALL)""")
+
+
+def _threads_sql(mem, keys):
+    tables = THREAD_SQL.replace("SELECT report_id, source", f"SELECT {keys}, source").replace("FROM items", "FROM mem")
+    return with_items(mem + tables + f""" SELECT * FROM threads
+ QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY collected_count DESC, source, thread_source_id) <= 25""")
+
+
+@query("cmp.topic_trend", with_items(_SERIES + f" SELECT report_id, member, p AS period, {', '.join(_POINTS[1:])} FROM s"))
+def topic_trend(spark, d):
+    return dates_as_text(_topic_parts(spark, d)["trend"].select(*_KEYS, *_POINTS))
+
+
+@query("cmp.topic_channels", _channel_sql(_MEM, "report_id, member", _CHANNEL))
+def topic_channels(spark, d):
+    return _topic_parts(spark, d)["channels"]
+
+
+@query("cmp.topic_sources", _channel_sql(_MEM, "report_id, member", "source"))
+def topic_sources(spark, d):
+    return _topic_parts(spark, d)["sources"]
+
+
+@query("cmp.topic_threads", _threads_sql(_MEM, "report_id, member"))
+def topic_threads(spark, d):
+    return dates_as_text(_topic_parts(spark, d)["threads"])
+
+
+@query("cmp.brand_trend", trend_sql("week", _WEEK, FROM, TO))
+def brand_trend(spark, d):
+    trend = _brand_parts(spark, d)["trend"]
+    return dates_as_text(trend.withColumnRenamed("member", "report_id"))
+
+
+@query("cmp.brand_channels", _channel_sql(_BRAND_MEM, "member", _CHANNEL))
+def brand_channels(spark, d):
+    return _brand_parts(spark, d)["channels"]
+
+
+@query("cmp.brand_threads", _threads_sql(_BRAND_MEM, "member"))
+def brand_threads(spark, d):
+    return dates_as_text(_brand_parts(spark, d)["threads"])
