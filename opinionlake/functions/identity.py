@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
-from opinionlake.functions.text import casefold_latin, normalize, strip_blank
+from opinionlake.functions.text import casefold, normalize, strip_blank
 
 _NUL = "\u0000"
 
@@ -21,7 +21,7 @@ def joined_hash(separator: str, *parts: Column) -> Column:
 
 
 def subject_key(kind: Column, name: Column, address: Column) -> Column:
-    folded = [casefold_latin(strip_blank(F.coalesce(p, F.lit("")))) for p in (kind, name, address)]
+    folded = [casefold(strip_blank(F.coalesce(p, F.lit("")))) for p in (kind, name, address)]
     return F.sha2(F.concat_ws("|", *folded), 256)
 
 

@@ -42,6 +42,11 @@ def _compat_class() -> str:
     return _outside(_nfkc_stable)
 
 
+@functools.lru_cache(maxsize=1)
+def _casefold_class() -> str:
+    return _outside(lambda ch: ch.casefold() == ch.lower())
+
+
 @functools.lru_cache(maxsize=1)
 def _fold_class() -> str:
     return _outside(lambda ch: _nfkc_stable(ch) and ch.casefold() == ch.lower())
@@ -88,9 +93,14 @@ def fold(col: Column) -> Column:
     return F.coalesce(_nfkc_casefold(F.when(_needs(text, _fold_class()), text)), F.lower(text))
 
 
-def casefold_latin(col: Column) -> Column:
-    """JVM-only casefold for texts whose only special letter is the sharp s."""
-    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+@F.pandas_udf(T.StringType())
+def _casefold(values: pd.Series) -> pd.Series:
+    return values.map(str.casefold, na_action="ignore")
+
+
+def casefold(col: Column) -> Column:
+    """Full casefold, without NFKC. Only texts holding a letter whose casefold is not its lower case cross to Python."""
+    return F.coalesce(_casefold(F.when(_needs(col, _casefold_class()), col)), F.lower(col))
 
 
 # What a text must hold for a mask to be able to hit; a cheap test that spares most texts the pattern.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinionlake.functions.text import casefold_latin, strip_blank
+from opinionlake.functions.text import casefold, strip_blank
 from opinionlake.operators import ranks
 
 CURRENT_LAYOUTS = (2, 3, 4)
@@ -65,7 +65,7 @@ def merge_vectors(versions: DataFrame, old: DataFrame) -> DataFrame:
 
 def subject_keys(subjects: DataFrame) -> DataFrame:
     """Fill missing keys; a key already taken is re-hashed together with the subject's id."""
-    folded = [casefold_latin(strip_blank(F.coalesce(c, F.lit("")))) for c in (F.lit("business"), F.col("name"), F.col("address"))]
+    folded = [casefold(strip_blank(F.coalesce(c, F.lit("")))) for c in (F.lit("business"), F.col("name"), F.col("address"))]
     plain = F.concat_ws("|", *folded)
     df = subjects.withColumn("_plain", plain).withColumn("_key", F.sha2("_plain", 256))
     taken = df.filter("subject_key is not null").select(F.col("subject_key").alias("_key")).distinct().withColumn("_taken", F.lit(True))

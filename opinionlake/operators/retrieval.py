@@ -14,6 +14,8 @@ from opinionlake.operators import ranks
 from opinionlake.session import scratch
 
 QUERY_CHUNK = 512
+#: Vectors that a task holds while all queries pass by; a partition of so many reads the query files once.
+VECTOR_BLOCK = 1 << 16
 
 
 def missing_results(expected: DataFrame, returned: DataFrame, on, keys) -> DataFrame:
@@ -70,8 +72,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int = C.RETRIEVAL_
     """Top-k vectors of every query.
 
     ``queries`` (query_id, embedding) are written to the shared folder in files of at most ``QUERY_CHUNK``. Each task of the one pass over
-    the vectors multiplies its Arrow batches by one file's queries after the other and passes on at most ``limit`` rows per query and
-    batch: no pair list is built, and no query passes through the driver.
+    the vectors gathers blocks of ``VECTOR_BLOCK``, multiplies a block by one file's queries after the other and passes on at most ``limit``
+    rows per query and block: no pair list is built, the queries are read once a block and none passes through the driver.
     """
     path = scratch(vectors.sparkSession, "queries")
     slim = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -87,8 +89,19 @@ def _scorer(path: str, limit: int):
             table = file.to_table()
             yield table["query_id"].to_numpy(), table["embedding"].to_pylist()
 
-    def score(batches):
+    def blocks(batches):
+        held, rows = [], 0
         for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= VECTOR_BLOCK:
+                yield pd.concat(held)
+                held, rows = [], 0
+        if held:
+            yield pd.concat(held)
+
+    def score(batches):
+        for batch in blocks(batches):
             by_size = {n: rows.sort_values("vec_id") for n, rows in batch.groupby(batch["embedding"].map(len))}
             for ids, embeddings in chunks():
                 sizes = np.array([len(e) for e in embeddings])

@@ -22,7 +22,7 @@ _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 # ---- snapshots ----------------------------------------------------------------------------
-def snapshot_rows(spark, d):
+def snapshot_rows(spark, d, found=None):
     rows = items(spark, d, heavy=True)
     stored = rows.select(
         "id", "source", "content_type", "title", "text", "board", "thread_source_id", "source_url", "rating", "published_at", "date_precision",
@@ -33,7 +33,7 @@ def snapshot_rows(spark, d):
         "report_id", "id", F.col("label_sentiment").alias("sentiment"), "confidence", "aspects", "negative_aspects", "rating_text_conflict"
     )
     reports = rows.select("report_id").distinct().select("report_id", F.concat(F.lit("Brand "), "report_id").alias("subject_name"))
-    return snapshot.snapshot(stored, links, labels, reports), reports
+    return snapshot.snapshot(stored, links, labels, reports, found), reports
 
 
 _SNAP = f""" SELECT report_id, id, ordinal, {redact_sql('text')} AS text, {redact_sql('title')} AS title, channel_label, source_url, label_sentiment AS sentiment,
@@ -53,6 +53,14 @@ def src_snapshot(spark, d):
     return _shown(snapshot_rows(spark, d)[0])
 
 
+@query("src.snapshot_topics", with_items(" SELECT report_id, id, ordinal, array_to_string(list_sort(topic_keys), ',') AS topics FROM items"))
+def snapshot_topics(spark, d):
+    """Topics found for a report come with the frozen items; a topic named twice for an item counts once."""
+    found = items(spark, d).select("report_id", "id", F.explode("topic_keys").alias("topic_key"))
+    rows = snapshot_rows(spark, d, found.unionByName(found))[0]
+    return rows.select("report_id", "id", "ordinal", F.array_join("topic_keys", ",").alias("topics"))
+
+
 @query("src.snapshot_once", with_items(_SNAP))
 def snapshot_once(spark, d):
     """Frozen twice, the second time with changed texts: the first version must stay."""
@@ -307,6 +315,21 @@ def labels_per_job(spark, d):
     return backfill.fan_out_labels(labels, old_links(spark, d))
 
 
+@query("bf.merge_vectors", """WITH v AS (SELECT vec_id AS item_id, 'm' || (label % 2) AS model_id, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0), o AS (
+ SELECT vec_id AS item_id, 'm' || (vec_id % 2) AS model_id, vec_id * 2 + n AS row_no, embedding[n + 2]::DOUBLE AS x FROM embeddings, (SELECT unnest([0, 1]) AS n))
+ SELECT item_id, model_id, round(x, 6) AS first FROM v UNION ALL SELECT item_id, model_id, round(arg_min(x, row_no), 6) FROM o
+ WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.item_id = o.item_id AND v.model_id = o.model_id) GROUP BY item_id, model_id""")
+def merge_vectors(spark, d):
+    """Old vectors come twice per item; they fill the (item, model) pairs that have none yet."""
+    e = table(spark, d, "embeddings")
+    name = lambda n: F.concat(F.lit("m"), (n % 2).cast("string")).alias("model_id")
+    new = e.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("item_id"), name(F.col("label")), F.slice("embedding", 1, 8).alias("vector"))
+    twice = e.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
+    old = twice.select(F.col("vec_id").alias("item_id"), name(F.col("vec_id")), (F.col("vec_id") * 2 + F.col("n")).alias("row_no"), F.slice("embedding", F.col("n") + 2, F.lit(8)).alias("vector"))
+    merged = backfill.merge_vectors(new, old)
+    return merged.select("item_id", "model_id", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
 @query("bf.subject_keys", """WITH s AS (SELECT s_suppkey::BIGINT AS subject_id, 'Name ' || (s_suppkey % 40) AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'X' END AS address, CASE WHEN s_suppkey % 3 = 0 THEN sha256('business|name ' || (s_suppkey % 40) || '|') END AS k FROM supplier
  UNION ALL SELECT 100000000 + c_custkey, c_name, c_mktsegment, NULL FROM customer), p AS (SELECT *, 'business|' || lower(name) || '|' || lower(coalesce(address, '')) AS pl FROM s), q AS (
  SELECT *, sha256(pl) AS h, sha256(pl) IN (SELECT k FROM s WHERE k IS NOT NULL) AS taken FROM p), r AS (SELECT h, min(subject_id) AS f FROM q WHERE k IS NULL GROUP BY 1)

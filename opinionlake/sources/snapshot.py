@@ -12,16 +12,22 @@ from opinionlake.functions import identity, text, values
 MASKED = ("title", "text", "owner_reply")
 
 
-def snapshot(items: DataFrame, membership: DataFrame, labels: DataFrame, reports: DataFrame) -> DataFrame:
+def snapshot(items: DataFrame, membership: DataFrame, labels: DataFrame, reports: DataFrame, topics: DataFrame | None = None) -> DataFrame:
     """Items of every report with the labels of the same job, masked and whitelisted.
 
     ``membership``: (report_id, id, ordinal); ``items``: one row per id; ``labels``: (report_id, id, ...); ``reports``:
     (report_id, subject_name). Repeated links of an item keep the first place. Links are made unique and labelled as slim rows, and
-    each item is masked once, however many reports hold it, before texts move to their links.
+    each item is masked once, however many reports hold it, before texts move to their links. ``topics``: (report_id, id, topic_key), an
+    item's topics in the report; its distinct keys become ``topic_keys``.
     """
     empty = F.array().cast("array<string>")
     links = membership.groupBy("report_id", "id").agg(F.min("ordinal").alias("ordinal"))
     links = links.join(labels, ["report_id", "id"], "left").join(reports, "report_id", "left")
+    if topics is not None:
+        keys = topics.groupBy("report_id", "id").agg(F.array_sort(F.collect_set("topic_key")).alias("topic_keys"))
+        links = links.join(keys, ["report_id", "id"], "left")
+    else:
+        links = links.withColumn("topic_keys", empty)
     clean = items
     for column in MASKED:
         if column in clean.columns:
@@ -40,7 +46,7 @@ def snapshot(items: DataFrame, membership: DataFrame, labels: DataFrame, reports
             "aspects": F.coalesce("aspects", empty),
             "negative_aspects": F.coalesce("negative_aspects", empty),
             "rating_text_conflict": F.coalesce("rating_text_conflict", F.lit(False)),
-            "topic_keys": empty,
+            "topic_keys": F.coalesce("topic_keys", empty),
         }
     ).drop("subject_name")
 

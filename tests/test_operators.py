@@ -10,6 +10,7 @@ from opinionlake import constants as C
 from opinionlake.functions import sentiment as rules
 from opinionlake.operators import evidence, keywords, labelling, landing, packing, planning, ranks, retrieval, stats, topics
 from opinionlake.operators import scope as S
+from opinionlake.session import scratch
 
 SCHEMA = (
     "report_id string, id string, ordinal bigint, source string, content_type string, title string, text string, board string, channel_label string, "
@@ -273,6 +274,13 @@ def test_vector_search_chunks_match_brute_force(spark, monkeypatch):
     got = retrieval.batch_topk(vectors, queries, 5).orderBy("query_id", "position").collect()
     want = [(q, int(v)) for q in range(7) for v in np.argsort(-(base @ asked[q]))[:5]]
     assert [(r["query_id"], r["vec_id"]) for r in got] == want
+    many = [pd.DataFrame({"vec_id": range(at, at + 10), "embedding": list(base[at : at + 10])}) for at in range(0, 50, 10)]
+    queries.coalesce(1).write.parquet(path := scratch(spark, "asked"))
+    for block, reads in ((1, 5), (25, 2), (50, 1), (1000, 1)):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        parts = list(retrieval._scorer(path, 5)(iter(many)))
+        best = pd.concat(parts).sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(5)
+        assert len(parts) == reads and list(zip(best["query_id"], best["vec_id"])) == want
 
 
 def test_packing_closes_before_overflow(spark):

@@ -97,3 +97,9 @@ def test_brand_tokens(spark):
     brands = spark.createDataFrame([("r1", ["green tea", "鼎泰豐二店", "c++ x"])], "report_id string, brand_terms array<string>")
     got = {r["id"]: r["tokens"] for r in keywords.with_brand_tokens(items, brands).collect()}
     assert got == {"1": ["green tea", "鼎泰豐二店", "好吃", "evergreen", "teas", "c++ x"], "2": ["green", "tea"]}
+
+
+def test_subject_keys_casefold_all_letters(spark):
+    names = ["Straße", "ΣΊΣΥΦΟΣ ς", "ﬁsh", "Ｆull", "İstanbul", "ŉ", "MÜLLER", "", "  A b "]
+    got = one(spark, identity.subject_key(F.lit("business"), F.col("v"), F.lit(None).cast("string")), *names)
+    assert got == [hashlib.sha256("|".join(p.strip().casefold() for p in ("business", n, "")).encode()).hexdigest() for n in names]
