@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,42 @@ def evidence_rows(items: DataFrame) -> DataFrame:
     return shaped.select("report_id", *_cells(shaped, EVIDENCE_COLUMNS))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with header and RFC 4180 quoting, written in parallel; blanks at the ends are kept."""
-    rows.write.options(**_CSV).csv(path)
+MARK = "\ufeff"
+_RUNS = "n bigint, run string"
+
+
+def _published(spark, path: str) -> str | None:
+    """Folder of the last export that was written to its end."""
+    try:
+        last = spark.read.schema(_RUNS).parquet(f"{path}/manifest").orderBy(F.desc("n")).first()
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    return f"{path}/{last['run']}" if last else None
+
+
+def write_csv(rows: DataFrame, path: str) -> str:
+    """CSV files with a byte-order mark, a header and RFC 4180 quoting, written in parallel; blanks at the ends are kept.
+
+    Spark's writer shows a task's file only when the task commits, and the folder counts only once the manifest, written
+    last, names it: an export that fails leaves the one before it in force. The mark is the first letter of the header.
+    """
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    first, *others = rows.columns
+    marked = rows.withColumnsRenamed({first: MARK + first}).select(F.col(f"`{MARK}{first}`"), *[F.col(f"`{c}`") for c in others])
+    marked.write.options(**_CSV).csv(f"{path}/{run}")
+    before = 0 if _published(spark, path) is None else spark.read.schema(_RUNS).parquet(f"{path}/manifest").agg(F.max("n")).first()[0]
+    spark.createDataFrame([(before + 1, run)], _RUNS).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return f"{path}/{run}"
 
 
 def read_csv(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
+    """The rows of the last whole export."""
+    found = _published(spark, path)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(found)
 
 
 def write_json(rows: DataFrame, scope_rows: DataFrame, path: str) -> None:
