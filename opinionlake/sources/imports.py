@@ -176,7 +176,7 @@ def _range_rows(name: str, start: int, first: int, before: int, range_bytes: int
         data = data.removeprefix(splitcsv.BOM)
     data = data[first:]
     end, reach = start + range_bytes, 1 << 16
-    state = splitcsv.outcomes(data)[splitcsv.RECORD][0]
+    state = splitcsv.end_state(data)
     while state != splitcsv.RECORD and (more := _bytes(name, end, reach)):
         state, used = splitcsv.record_end(more, state)
         data, end, reach = data + more[:used], end + len(more), reach * 2

@@ -80,6 +80,11 @@ def outcomes(data: bytes, ahead: bytes = b"") -> list[tuple[int, int, int]]:
     return out
 
 
+def end_state(data: bytes) -> int:
+    """State at the end of bytes at whose start a record begins."""
+    return _rest(data, 0, b"")[0]
+
+
 def compose(ranges: list[list[tuple[int, int, int]]]) -> list[tuple[int, int]]:
     """(offset of the first record, number of records before) of each range of a file, in order."""
     state, before, out = RECORD, 0, []

@@ -21,9 +21,9 @@ def in_ranges(data, size):
     for i, (first, before) in enumerate(splitcsv.compose(maps)):
         assert before == len(rows)
         if first >= 0:
-            begin, state = i * size + first, maps[i][splitcsv.RECORD][0]
+            begin = i * size + first
             end = min((i + 1) * size, len(data))
-            state = splitcsv.outcomes(data[begin:end])[splitcsv.RECORD][0]
+            state = splitcsv.end_state(data[begin:end])
             if state != splitcsv.RECORD:
                 end += splitcsv.record_end(data[end:], state)[1]
             rows += splitcsv.records(data[begin:end])
