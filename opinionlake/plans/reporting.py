@@ -10,7 +10,7 @@ from opinionlake.operators import keywords, reportagg
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.scoped import TOKENS_SQL
-from opinionlake.session import scratch
+from opinionlake.session import scratch, spread
 from opinionlake.sources.binding import items, table, with_items
 
 _BLOCK_COLS = ", ".join(
@@ -168,7 +168,7 @@ def best_path(spark, d):
     """Documents without blanks, cut by the dictionary above: beyond SQL, tested against all paths of small texts."""
     tokenizer = segment.write_dictionary(dictionary_words(spark, d), scratch(spark, "dictionary"))
     body = F.translate(F.replace(F.lower("text"), F.lit(" "), F.lit("")), _LETTERS, _HAN_LETTERS)
-    cut = table(spark, d, "documents").withColumn("tokens", tokenizer.tokens(F.coalesce(body, F.lit(""))))
+    cut = spread(table(spark, d, "documents"), "doc_id").withColumn("tokens", tokenizer.tokens(F.coalesce(body, F.lit(""))))
     return cut.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
