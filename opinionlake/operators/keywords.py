@@ -15,7 +15,8 @@ from opinionlake.operators import scope as S
 
 def with_tokens(items: DataFrame, tokenizer: segment.Tokenizer = segment.DEFAULT) -> DataFrame:
     """``tokens`` of each item, by the same tokenizer as the keyword filter; rows with ``brand_terms`` use them as words."""
-    return items.withColumn("tokens", tokenizer.tokens(S.item_text(), S.brand_terms(items)))
+    folded = items.withColumn("_body", S.item_text())  # a column of its own, so that a text is folded once
+    return folded.withColumn("tokens", tokenizer.tokens(F.col("_body"), S.brand_terms(items))).drop("_body")
 
 
 def with_brands(items: DataFrame, brands: DataFrame) -> DataFrame:

@@ -131,8 +131,8 @@ def brand_terms(items: DataFrame) -> Column | None:
 
 
 def _folded(items: DataFrame, scope: Scope, tokenizer: segment.Tokenizer) -> DataFrame:
-    df = items.withColumn("_folded", item_text()) if _reads_text(scope) else items
-    return df.withColumn("_tokens", tokenizer.tokens(item_text(), brand_terms(items))) if scope.keyword else df
+    df = items.withColumn("_folded", item_text()) if _reads_text(scope) or scope.keyword else items
+    return df.withColumn("_tokens", tokenizer.tokens(F.col("_folded"), brand_terms(items))) if scope.keyword else df
 
 
 def _date_flags(scope: Scope) -> dict[str, Column]:
