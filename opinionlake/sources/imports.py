@@ -5,17 +5,19 @@ from __future__ import annotations
 import csv
 import itertools
 import json
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinionlake import constants as C
 from opinionlake.functions import dates, identity, text, values
 from opinionlake.operators import ranks
 from opinionlake.session import cut_lineage, stored
-from opinionlake.sources import splitcsv
+from opinionlake.sources import splitcsv, splitjson
 
 _ROW = ", ".join(f"{f} string" for f in C.IMPORT_FIELDS)
 #: Rows of a file that are handed on at once.
@@ -24,28 +26,16 @@ ROWS = 10_000
 RANGE_BYTES = 64 << 20
 #: Bytes in which a header of the fixed field names, quoted or not, must end.
 HEADER_BYTES = 4096
+#: Half of a character pair, which only an escape in JSON can give; no table holds it.
+_LONE = re.compile("[\ud800-\udfff]")
+#: Faults of a JSON file, the gravest first: a file gets the first that any of its ranges has.
+JSON_FAULTS = ("not_utf8", "bad_json", "not_a_list", "bad_fields")
 _SCHEMA = f"file string, row_no bigint, file_error string, {_ROW}"
 
 
-def _json_records(content: bytes):
-    """(error, rows) of one JSON file."""
-    try:
-        rows = json.loads(content.decode("utf-8-sig"))
-    except UnicodeDecodeError:
-        return "not_utf8", []
-    except json.JSONDecodeError:
-        return "bad_json", []
-    rows = rows.get("items") if isinstance(rows, dict) else rows
-    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
-        return "not_a_list", []
-    if not rows:
-        return "empty", []
-    return ("bad_fields", []) if any(set(r) != set(C.IMPORT_FIELDS) for r in rows) else (None, rows)
-
-
 def _cell(value, field: str):
     """String as is; other JSON values are marked, so the row check can refuse them."""
-    if value is None or isinstance(value, str):
+    if value is None or isinstance(value, str) and not _LONE.search(value):
         return value
     if field == "reaction_count" and type(value) is int:
         return str(value)
@@ -68,7 +58,7 @@ def read_files(spark: SparkSession, path: str, kind: str = "", range_bytes: int
     """Rows of all CSV/JSON import files below ``path``, or one row with ``file_error`` per bad file.
 
     The type follows the file name unless ``kind`` names it (".csv", ".json"). No file, row or text is refused for its size;
-    CSV files are read in ranges of ``range_bytes``, JSON files whole. Spark does not list files of no bytes; they give nothing.
+    files are read in ranges of ``range_bytes``. Spark does not list files of no bytes; they give nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ending = F.lower(F.lit(kind) if kind else F.regexp_extract("path", r"(\.[^./]*)$", 1))
@@ -77,26 +67,174 @@ def read_files(spark: SparkSession, path: str, kind: str = "", range_bytes: int
         F.col("path").alias("file"), F.lit(0).cast("bigint").alias("row_no"), F.lit("unknown_type").alias("file_error"),
         *[F.lit(None).cast("string").alias(f) for f in C.IMPORT_FIELDS],
     )
-    return _read_json(kinds.filter("_kind = '.json'")).unionByName(_read_csv(kinds.filter("_kind = '.csv'"), range_bytes)).unionByName(unknown)
+    return _read_json(kinds.filter("_kind = '.json'"), range_bytes).unionByName(_read_csv(kinds.filter("_kind = '.csv'"), range_bytes)).unionByName(unknown)
+
+
+def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
+    return files.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start")).repartition(F.col("file"), F.col("start"))
+
+
+def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
+    """Ranges are judged and composed per file, the list is located, then each range parses the elements that begin in it.
+
+    The list is the file itself or the last member "items" of an outer object. A file with any fault gives one error row and no others.
+    """
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                whole = _bytes(row.file, row.start, range_bytes + 3)
+                data, ahead = whole[:range_bytes], whole[range_bytes:]
+                sound = splitcsv.valid_utf8(data, ahead, row.start == 0)
+                skip = len(splitcsv.BOM) if row.start == 0 and data.startswith(splitcsv.BOM) else 0
+                place, root = splitjson.lead(data[skip:])
+                maps = [v for m in splitjson.outcomes(data[skip:]) for v in m]
+                at = row.start + skip + place if place >= 0 else -1
+                yield pd.DataFrame([[row.file, row.length, row.start, sound, at, root, maps]], columns=["file", "length", "start", "sound", "at", "root", "maps"])
+
+    judged = stored(_ranges(files, range_bytes).mapInPandas(judge, "file string, length bigint, start bigint, sound boolean, at bigint, root string, maps array<bigint>"), "json-ranges")
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("start")
+        placed = splitjson.compose([[tuple(m[i : i + 3]) for i in range(0, len(m), 3)] for m in part["maps"]])
+        roots = part[part["at"] >= 0]
+        out = part[["file", "length", "start"]].assign(state=[s for s, _, _ in placed], depth=[d for _, d, _ in placed], low=[x for _, _, x in placed])
+        return out.assign(sound=bool(part["sound"].all()), root=roots["root"].iloc[0] if len(roots) else "", at=int(roots["at"].iloc[0]) if len(roots) else -1)
 
+    placed = "file string, length bigint, start bigint, state bigint, depth bigint, low bigint, sound boolean, root string, at bigint"
+    settled = judged.groupBy("file").applyInPandas(settle, placed).repartition(F.col("file"), F.col("start"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks = []
+            for row in batch.itertuples():
+                place, shut = -1, False
+                if row.root == "{":
+                    data = _bytes(row.file, row.start, range_bytes + splitjson.NAME_BYTES)
+                    size = min(range_bytes, len(data))
+                    place, shut = splitjson.member(data, size, row.state, row.depth, "items", lambda n, r=row: _bytes(r.file, r.start, n))
+                elif row.root == "[" and row.start <= row.at < row.start + range_bytes:
+                    place, shut = row.at - row.start, row.low <= 0
+                marks.append((row.start + place if place >= 0 else place, shut))
+            yield batch.assign(mark=[m for m, _ in marks], shut=[s for _, s in marks])
+
+    marked = stored(settled.mapInPandas(mark, placed + ", mark bigint, shut boolean"), "json-marks")
+
+    def locate(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("start").reset_index(drop=True)
+        level = 1 if part["root"].iloc[0] == "[" else 2
+        named = part.index[part["mark"] != -1]
+        # The bracket may stand in a later range than the member's name.
+        bracket = int(part["mark"].iloc[named[-1]]) if len(named) else -1
+        holder = int(part.index[part["start"] <= bracket][-1]) if bracket >= 0 else -1
+        ends = [i for i in range(holder + 1, len(part)) if part["low"][i] < level] if holder >= 0 else []
+        # No bracket stands between a name and its list, so a holder behind the name's range holds no other before it.
+        shut = holder >= 0 and (bool(part["shut"][holder]) if holder == named[-1] else part["low"][holder] < level)
+        last = holder if shut else ends[0] if ends else -1
+        within = [holder >= 0 and holder <= i <= last for i in range(len(part))]
+        return part[["file", "length", "start", "state", "depth", "sound"]].assign(
+            level=level, bracket=bracket, within=within, ends=[i == last for i in range(len(part))], open=last == -1 and holder >= 0, first=[i == holder for i in range(len(part))]
+        )
+
+    located = marked.groupBy("file").applyInPandas(
+        locate, "file string, length bigint, start bigint, state bigint, depth bigint, sound boolean, level bigint, bracket bigint, within boolean, ends boolean, open boolean, first boolean"
+    )
 
-def _read_json(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                error, rows = _json_records(content)
-                if error:
-                    yield _bad(name, error)
-                else:
-                    yield from _tables(name, ([_cell(r[f], f) for f in C.IMPORT_FIELDS] for r in rows), 1)
+            for row in batch.itertuples():
+                for rows in _json_rows(row, range_bytes):
+                    yield rows.assign(start=row.start)
+
+    spread_again = located.repartition(F.col("file"), F.col("start"))
+    parsed = stored(spread_again.mapInPandas(parse, _SCHEMA + ", start bigint"), "json-rows")
+    grave = F.array_position(F.array(*[F.lit(f) for f in JSON_FAULTS]), F.col("file_error"))
+    faults = parsed.filter("file_error is not null").groupBy("file").agg(F.min_by("file_error", grave).alias("file_error"))
+    good = parsed.filter("file_error is null")
+    counts = good.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    held = counts.select("file").distinct().withColumn("_held", F.lit(1))
+    named = files.select(F.col("path").alias("file")).join(faults, "file", "left").join(held, "file", "left").filter("file_error is not null or _held is null").select(
+        "file", F.lit(0).cast("bigint").alias("row_no"), F.coalesce("file_error", F.lit("empty")).alias("file_error"),
+        *[F.lit(None).cast("string").alias(f) for f in C.IMPORT_FIELDS],
+    )
+    numbered = good.join(offsets, ["file", "start"]).withColumn("row_no", F.col("row_no") + F.col("_before"))
+    return numbered.join(faults.select("file"), "file", "left_anti").select(*_COLUMNS).unionByName(named)
+
 
-    return files.select("path", "content").mapInPandas(parse, _SCHEMA)
+def _around(data: bytes) -> str | None:
+    """Fault of a file without the elements of its list."""
+    try:
+        value = json.loads(data.decode("utf-8-sig"))
+    except (ValueError, RecursionError):
+        return "bad_json"
+    return None if isinstance(value.get("items") if isinstance(value, dict) else value, list) else "not_a_list"
+
+
+def _json_rows(row, range_bytes: int) -> Iterator[pd.DataFrame]:
+    """Rows of the elements that begin in a range, numbered from 1, then the gravest fault found in it."""
+    if not row.sound:
+        if row.start == 0:
+            yield _bad(row.file, "not_utf8")
+        return
+    if row.bracket < 0 or row.open:  # no list, or one that never ends
+        if row.start == 0:
+            yield _bad(row.file, "bad_json" if row.open else _around(_bytes(row.file, 0, row.length)) or "bad_json")
+        return
+    if not row.within:
+        return
+    data = _bytes(row.file, row.start, range_bytes)
+    found, begin, close = splitjson.elements(data, row.state, row.depth, row.level, row.bracket - row.start if row.first else -1)
+    faults = set()
+    if close >= 0:
+        faults.add(_around(_bytes(row.file, 0, row.bracket + 1) + _bytes(row.file, row.start + close, row.length - row.start - close)))
+    texts = (data[a:b] for a, b in found)
+    ended = close
+    if begin >= 0:
+        rest, reach = data[begin:], 1 << 16
+        while True:
+            more = _bytes(row.file, row.start + begin + len(rest), reach)
+            rest, reach = rest + more, reach * 2
+            parts, _, shut = splitjson.elements(b"[" + rest, splitjson.OUTSIDE, 0, 1, 0)
+            if parts or not more:
+                break
+        if not parts:
+            yield _bad(row.file, "bad_json")
+            return
+        ended = row.start + begin + shut - 1 if len(parts) == 1 and shut >= 0 else -1
+        texts = itertools.chain(texts, [rest[: parts[0][1] - 1]])
+    # White space alone between the two brackets is an empty list, elsewhere a fault.
+    sole = row.first and len(found) + (begin >= 0) == 1 and ended >= 0
+
+    def rows():
+        for text_ in texts:
+            if sole and not text_.strip(b" \t\n\r"):
+                continue
+            try:
+                value = json.loads(text_.decode("utf-8"))
+            except (ValueError, RecursionError):
+                faults.add("bad_json")
+                return
+            if not isinstance(value, dict):
+                faults.add("not_a_list")
+            elif set(value) != set(C.IMPORT_FIELDS):
+                faults.add("bad_fields")
+            elif not faults - {None}:
+                yield [_cell(value[f], f) for f in C.IMPORT_FIELDS]
+
+    yield from _tables(row.file, rows(), 1)
+    faults.discard(None)
+    if faults:
+        yield _bad(row.file, min(faults, key=JSON_FAULTS.index))
 
 
 def _bytes(name: str, start: int, size: int) -> bytes:
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(name)
+    # Spark names files by plain paths, a URI holds blanks and signs escaped.
+    system, place = fs.FileSystem.from_uri(quote(name, safe="/:@"))
     with system.open_input_file(place) as file:
         file.seek(start)
         return file.read(size)
@@ -104,9 +242,7 @@ def _bytes(name: str, start: int, size: int) -> bytes:
 
 def _read_csv(files: DataFrame, range_bytes: int) -> DataFrame:
     """Ranges are judged, their maps composed per file (a few bytes a range), then parsed; a file with any fault gives no rows."""
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
-    ranges = files.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    ranges = _ranges(files, range_bytes)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
