@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opinionlake import constants as C
 from opinionlake.functions import dates, text
-from opinionlake.operators import ranks, stats
+from opinionlake.operators import rank_index, ranks, stats
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.sources.binding import items, with_items
@@ -248,6 +248,16 @@ def page(spark, d):
     return chosen.join(totals, "report_id").select("report_id", "id", "total")
 
 
+@query("lim.page_index", with_items("""SELECT report_id, id, total, rn AS position FROM (SELECT *, count(*) OVER (PARTITION BY report_id) AS total,
+ row_number() OVER (PARTITION BY report_id ORDER BY day DESC NULLS LAST, source, id) AS rn FROM items WHERE source <> 'ptt')
+ WHERE rn BETWEEN 76 AND 100"""))
+def page_index(spark, d):
+    rows = items(spark, d).filter("source <> 'ptt'").select("report_id", "id", "source", "published_at")
+    order = stats.item_order("date_desc")
+    path = rank_index.build(rows, ["report_id"], order)
+    return rank_index.page(spark, path, ["report_id"], order, number=4, size=25).select("report_id", "id", "total", F.col("position").cast("bigint").alias("position"))
+
+
 @query("agg.observed_range", with_items("""SELECT report_id, CAST(min(day) AS VARCHAR) AS observed_from,
  CAST(max(day) AS VARCHAR) AS observed_to FROM items GROUP BY 1"""))
 def observed_range(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opinionlake import constants as C
 from opinionlake.functions import sentiment as rules
 from opinionlake.functions import text, values
-from opinionlake.operators import labelling, retrieval, topics
+from opinionlake.operators import labelling, retrieval, topics, vector_index
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import norm_sql
@@ -169,15 +169,24 @@ def label_queries(spark, d):
     return parts.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(packed.alias("embedding"))
 
 
-@query("vec.batch_topk", """WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (
+_BATCH_SQL = """WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), q AS (
  SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS qv FROM (SELECT label, i, avg(x) AS x FROM p GROUP BY ALL) GROUP BY 1), s AS (
  SELECT query_id, vec_id, list_dot_product(qv, embedding::DOUBLE[]) AS score FROM q CROSS JOIN embeddings)
- SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""")
+ SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+@query("vec.batch_topk", _BATCH_SQL)
 def batch_topk(spark, d):
     out = retrieval.batch_topk(vectors(spark, d), label_queries(spark, d))
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("vec.index_topk", _BATCH_SQL)
+def index_topk(spark, d):
+    out = vector_index.search(spark, vector_index.build(vectors(spark, d)), label_queries(spark, d))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def broken_vectors(spark, d):
     """Vectors with zero, missing and non-finite entries mixed in by id."""
     n = F.col("vec_id") % 10
