@@ -163,12 +163,14 @@ def _secret_sql() -> str:
             f"(SELECT doc_id, regexp_extract_all(t, '{p}') AS f, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS gap FROM d)) WHERE length(g) >= {least}"
         )
     for i, c in enumerate(secret_scan.CLASSES, len(secret_scan.BASE)):
-        needs = "".join(f" AND regexp_matches(m, '{n}')" for n in c.needs) + "".join(f" AND NOT contains(lower(m), '{w}')" for w in secret_scan.ALLOW)
+        needs = "".join(f" AND regexp_matches(m, '{n}')" for n in c.needs)
+        listed = " OR ".join(f"contains(lower(p), '{w}')" for w in secret_scan.ALLOW)
+        kept = f"string_split(array_to_string(list_transform(string_split(m, '/'), lambda p: CASE WHEN {listed} THEN ' ' ELSE p END), '/'), ' ')"
         sums = f"list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: ({table_})[length(v) - length(replace(v, c, '')) + 1]))"
         parts.append(
             f"SELECT doc_id, {i} AS o, '{c.kind}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, unnest(f) AS m, unnest({starts('f', 'gap')}) AS s FROM "
             f"(SELECT doc_id, regexp_extract_all(t, '{c.pattern}') AS f, string_split_regex(t, '{c.pattern}') AS gap FROM d)) WHERE true{needs} AND "
-            f"list_max(list_transform(list_transform(range(1, length(m) - {window - 2}), lambda j: m[j:j+{window - 1}]), lambda v: {full} - {sums})) >= {round(window * c.min_bits * 1e6)}"
+            f"list_max(list_transform(flatten(list_transform({kept}, lambda k: list_transform(range(1, length(k) - {window - 2}), lambda j: k[j:j+{window - 1}]))), lambda v: {full} - {sums})) >= {round(window * c.min_bits * 1e6)}"
         )
     joined = "coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o){}, '')"
     return f"""

@@ -4,7 +4,8 @@ All in column expressions. A pattern's matches come from ``regexp_extract_all``;
 the same pattern leaves between them. Candidates of a character class are its maximal runs. A window slides over a candidate; the counts of
 its characters, and with them the sum of c log c, are updated for the character that enters and the one that leaves, so a step costs the
 same for any window. All sums are whole micro-bits, so results do not depend on the order of additions. A candidate is a secret if some
-window reaches the class's entropy and it is not on the allow list; matches of the fixed patterns are never suppressed.
+window reaches the class's entropy that overlaps no piece between slashes with a word of the allow list, so a sample's name in a path does
+not hide the key behind it; matches of the fixed patterns are never suppressed.
 
 A null text counts as empty and gives zero counts and empty span lists; repeated rows give repeated rows; an empty table an empty result.
 Spans with one start are ordered by kind as listed. Only the id and the text are read, so other columns cannot clash.
@@ -46,7 +47,7 @@ CLASSES = (
     CharClass("entropy_base64", "[A-Za-z0-9+/_-]{20,}", 3.9, ("[0-9]", "[A-Za-z]")),
 )
 WINDOW = 20
-#: A candidate that holds one of these, in any case, is a known sample and is not reported for its entropy.
+#: A piece between slashes that holds one of these, in any case, is a known sample and does not count for a candidate's entropy.
 ALLOW = ("example", "sample", "placeholder", "changeme", "0123456789", "abcdefghij", "xxxxxxxx", "00000000")
 #: Code points that the classes use: + to z.
 FIRST, LAST = 43, 122
@@ -136,6 +137,20 @@ def best_window(candidate: Column, window: int = WINDOW) -> Column:
     return _bind(F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - FIRST), walk)
 
 
+def _listed(value: Column, allow: tuple[str, ...]) -> Column:
+    """Whether the value holds a word of the allow list, in any case."""
+    out = F.lit(False)
+    for word in allow:
+        out = out | F.lower(value).contains(word)
+    return out
+
+
+def _unlisted(candidate: Column, allow: tuple[str, ...]) -> Column:
+    """What is left of a candidate without the pieces between slashes that are on the allow list; blanks occur in no class."""
+    pieces = F.transform(F.split(candidate, "/", -1), lambda p: F.when(_listed(p, allow), F.lit(" ")).otherwise(p))
+    return F.split(F.array_join(pieces, "/"), " ", -1)
+
+
 def _random_spans(text: str, order: int, char_class: CharClass, window: int, allow: tuple[str, ...]) -> Column:
     t, p = F.col(text), F.lit(char_class.pattern)
 
@@ -143,10 +158,10 @@ def _random_spans(text: str, order: int, char_class: CharClass, window: int, all
         fits = F.lit(True)
         for need in char_class.needs:
             fits = fits & m.rlike(need)
-        for word in allow:
-            fits = fits & ~F.lower(m).contains(word)
+        least = round(window * char_class.min_bits * 1e6)
+        high = lambda part: F.when(F.length(part) >= window, best_window(part, window) >= least).otherwise(F.lit(False))
         # The walk comes last: candidates that fail the cheap tests are not scored.
-        return F.when(fits, best_window(m, window) >= round(window * char_class.min_bits * 1e6)).otherwise(F.lit(False))
+        return F.when(fits & _listed(m, allow), F.exists(_unlisted(m, allow), high)).when(fits, high(m)).otherwise(F.lit(False))
 
     def of(found):
         rows = F.arrays_zip(_starts(found, F.split(t, char_class.pattern, -1)).alias("at"), found.alias("m"))

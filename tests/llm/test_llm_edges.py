@@ -208,6 +208,16 @@ def test_secrets(spark, odd, empty):
     assert got[5] == [("hex", 0, 80)]
 
 
+def test_secrets_behind_allowed_pieces(spark):
+    key = "A9xQ2mZ7rT4wK8vB1nL5"
+    texts = [
+        f"data/sample/config/{key}", f"{key}/Sample", f"data/sample{key}/x", f"aaaa/{key[:12]}/{key[12:]}bcD/example", "sample/" * 9000 + key, f"{key[:9]}/example/{key[9:]}",
+        "00000000" + key, f"00000000/{key}",
+    ]
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in secret_scan.scan(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert [("entropy_base64" in got[i]) for i in range(len(texts))] == [True, True, False, True, True, False, False, True]
+
+
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and then some"), (2, None), (3, ""), (4, "one"), (5, "never seen words in any of these texts at all")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained(odd, items).collect()}
