@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from opinionlake import constants as C
 from opinionlake.functions import sentiment as rules
 from opinionlake.functions import text, values
-from opinionlake.operators import labelling, retrieval, topics, vector_index
+from opinionlake.operators import labelling, report_job, retrieval, topics, vector_index
 from opinionlake.operators import scope as S
 from opinionlake.plans import query
 from opinionlake.plans.hygiene import norm_sql
+from opinionlake.plans.reporting import _BLOCKS as BLOCK_SQL
+from opinionlake.session import scratch
 from opinionlake.sources.binding import items, table, text_table, with_items
 
 _CLASSES = labelling.CLASSES
@@ -300,3 +302,28 @@ def topic_rows(spark, d):
 def coverage(spark, d):
     known = broken_vectors(spark, d).select(F.col("vec_id").cast("string").alias("id"), "embedding")
     return topics.coverage(items(spark, d), known)
+
+
+# ---- the report job -----------------------------------------------------------------------
+_JOB_ITEMS = _CAL.replace("FROM mixed)", "FROM items)", 1) + """, job AS MATERIALIZED (SELECT * REPLACE (coalesce(label_sentiment, label) AS sentiment,
+ CASE WHEN label_sentiment IS NULL THEN []::VARCHAR[] ELSE negative_aspects END AS negative_aspects,
+ CASE WHEN label_sentiment IS NULL THEN []::VARCHAR[] ELSE key_points END AS key_points,
+ CASE WHEN label_sentiment IS NULL THEN coalesce(label <> 'rating_only' AND label <> rated, false) ELSE rating_text_conflict END AS rating_text_conflict) FROM cal)"""
+
+
+@query("job.report", _recursive(_JOB_ITEMS + (_CLUSTERS + BLOCK_SQL).replace("FROM items", "FROM job") + """ SELECT blk.*, complaints, topics, topic_items FROM blk
+ JOIN (SELECT report_id, count(*) AS complaints FROM cm GROUP BY 1) USING (report_id)
+ JOIN (SELECT report_id, count(DISTINCT leader) AS topics, count(*) AS topic_items FROM cl GROUP BY 1) USING (report_id) WHERE block = 'overall'"""))
+def report_job_run(spark, d):
+    """Labels that are missing are made, complaints get vectors and topics, all is frozen and counted from the frozen items."""
+    rows = items(spark, d, heavy=True)
+    stored_items = rows.select(
+        "id", "source", "content_type", "title", "text", "board", "thread_source_id", "source_url", "rating", "published_at", "date_precision", "signal",
+        F.create_map(F.lit("reply_count"), F.col("reply_count").cast("double")).alias("metrics"),
+    )
+    known = rows.filter("label_sentiment is not null").select("report_id", "id", *report_job.LABEL_COLUMNS)
+    reports = rows.select("report_id").distinct().select("report_id", F.concat(F.lit("Brand "), "report_id").alias("subject_name"))
+    none = spark.createDataFrame([], "id string, embedding array<double>")
+    models = report_job.Models(labelling.encode_passages, MODEL)
+    out = report_job.run(stored_items, rows.select("report_id", "id", "ordinal"), reports, known, none, models, scratch(spark, "report-job"))
+    return out["blocks"].filter("block = 'overall'").join(out["status"].select("report_id", "complaints", "topics", "topic_items"), "report_id")
