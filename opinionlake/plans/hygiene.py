@@ -345,3 +345,40 @@ def bucket_end(spark, d):
     day = F.to_date("l_shipdate")
     ends = [dates.next_bucket(dates.bucket(day, i), i).alias(f"{i}_end") for i in ("day", "week", "month")]
     return dates_as_text(table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber"), *ends))
+
+
+# ---- the cleaning job ---------------------------------------------------------------------
+def landed(spark, d):
+    """Landed rows: authors by thread, every twelfth without one; every fifth URL unsafe."""
+    n = F.col("ordinal")
+    rows = items(spark, d, heavy=True).select("id", "source", "title", "text", "source_url", "published_at", "date_precision", "ordinal")
+    return rows.withColumns(
+        {
+            "author": F.when(n % 12 != 0, F.concat(F.lit("user "), (n % 50).cast("string"))),
+            "source_url": F.when(n % 5 == 0, F.concat(F.lit("javascript:"), "source_url")).otherwise(F.col("source_url")),
+            "relative_date": F.lit(None).cast("string"),
+        }
+    ).drop("ordinal")
+
+
+def cleaned(spark, d):
+    return hygiene.clean(landed(spark, d), identity.key_frame(spark, AUTHOR_KEY), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+
+
+@query("job.clean", with_items(f"""SELECT id, source, {redact_sql('text')} AS text, {redact_sql('title')} AS title, md5(folded) AS folded,
+ CASE WHEN ordinal % 12 <> 0 THEN sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(source || chr(0) || 'user ' || ordinal % 50)))) END AS author_hash,
+ sha256(source || chr(0) || id || chr(0) || {norm_sql('text')}) AS content_hash, CASE WHEN ordinal % 5 <> 0 THEN source_url END AS source_url,
+ {_TS.format('published_at')} AS published_at, CASE WHEN published_at IS NULL THEN 'unknown' ELSE date_precision END AS date_precision FROM items"""))
+def job_clean(spark, d):
+    return cleaned(spark, d).select(
+        "id", "source", "text", "title", F.md5("folded").alias("folded"), "author_hash", "content_hash", "source_url", _shown("published_at").alias("published_at"), "date_precision"
+    )
+
+
+_SUMMED = ", ".join(f"CAST(sum((length(m) - length(replace(m, '{label}', ''))) // {len(label)}) AS BIGINT) AS masked_{kind}" for kind, (label, _) in C.MASKS.items())
+
+
+@query("job.clean_metrics", with_items(f""", m AS (SELECT source, ordinal, published_at, {redact_sql('text')} AS m FROM items)
+ SELECT source, count(*) AS rows, {_SUMMED}, count(*) FILTER (published_at IS NULL) AS undated, count(*) FILTER (ordinal % 5 = 0) AS invalid_url FROM m GROUP BY source"""))
+def job_clean_metrics(spark, d):
+    return hygiene.clean_metrics(cleaned(spark, d))
