@@ -25,9 +25,16 @@ def keys(spark):
     return identity.key_frame(spark, AUTHOR_KEY)
 
 
+def escaped(value):
+    """Text as a page's markup holds it."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
+
+
 def docs(spark, d):
     """Documents with their thread; a thread has fifteen documents at any table size."""
-    return table(spark, d, "documents").withColumns({"t": F.expr("doc_id div 15"), "k": F.col("doc_id") % 15, "h": F.md5("text")})
+    return table(spark, d, "documents").withColumns({"t": F.expr("doc_id div 15"), "k": F.col("doc_id") % 15, "h": escaped(F.col("text"))})
 
 
 def page_of(rows, fragment):
@@ -142,8 +149,8 @@ def _hmac(source, author):
     return f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode('{source}' || chr(0) || {author}))))"
 
 
-_BOARD = f"""dc AS (SELECT *, doc_id // 15 AS t, doc_id % 15 AS k, md5(text) AS h FROM documents), cm AS (SELECT t, k, CASE WHEN doc_id % 6 = 0 THEN '+1' ELSE h END AS said, ['push', 'boo', 'neutral'][CAST(doc_id % 3 + 1 AS INT)] AS signal,
- {_hmac('ptt', "'u' || (doc_id % 2)")} AS a, 'M.' || (1700000000 + t) || '.A.ABC' AS th FROM dc WHERE k > 0 AND (doc_id % 6 = 0 OR doc_id % 13 <> 0)), ci AS (SELECT *, sha256(concat_ws(chr(0), 'ptt-comment', th, a, signal, '03/05 10:20', said)) AS same FROM cm), cn AS (
+_BOARD = f"""dc AS (SELECT *, doc_id // 15 AS t, doc_id % 15 AS k, {norm_sql('text')} AS h FROM documents), cm AS (SELECT t, k, CASE WHEN doc_id % 6 = 0 THEN '+1' ELSE regexp_replace(regexp_replace(': ' || text, '\\s+$', ''), '^[:： ]+', '') END AS said, ['push', 'boo', 'neutral'][CAST(doc_id % 3 + 1 AS INT)] AS signal,
+ {_hmac('ptt', "'u' || (doc_id % 2)")} AS a, 'M.' || (1700000000 + t) || '.A.ABC' AS th FROM dc WHERE k > 0 AND (doc_id % 6 = 0 OR doc_id % 13 <> 0)), ci AS (SELECT *, sha256(concat_ws(chr(0), 'ptt-comment', th, a, signal, '03/05 10:20', {norm_sql('said')})) AS same FROM cm), cn AS (
  SELECT *, sha256(same || chr(0) || row_number() OVER (PARTITION BY t, same ORDER BY k)) AS id FROM ci)"""
 
 
@@ -233,7 +240,7 @@ def map_pages(spark, d):
     return body.select(F.col("t").alias("page_id"), _cat("https://www.google.com/maps/place/p", F.col("t"), "/data=!x?hl=en").alias("url"), F.col("body").alias("html"))
 
 
-@query("page.review_cards", """WITH c AS (SELECT doc_id, doc_id // 15 AS t, CASE WHEN doc_id % 5 = 0 THEN 'same' ELSE 'rev' || doc_id END AS key, 'User ' || (doc_id % 50) AS author, 1 + doc_id % 5 AS rating, md5(text) || ' bold' AS text FROM documents), u AS (
+@query("page.review_cards", f"""WITH c AS (SELECT doc_id, doc_id // 15 AS t, CASE WHEN doc_id % 5 = 0 THEN 'same' ELSE 'rev' || doc_id END AS key, 'User ' || (doc_id % 50) AS author, 1 + doc_id % 5 AS rating, {norm_sql('text')} || ' bold' AS text FROM documents), u AS (
  SELECT key, arg_min(struct_pack(t := t, a := author, r := rating, x := text), doc_id) AS b FROM c WHERE key NOT IN (SELECT 'rev' || vec_id FROM embeddings) GROUP BY 1)
  SELECT key, b.t AS page_id, b.a AS author, b.r AS rating, b.x AS text, '2 週前' AS relative_date, sha256(concat_ws('|', 'https://www.google.com/maps/place/p' || b.t, b.a, b.r, b.x)) AS content_hash FROM u""")
 def review_cards(spark, d):
