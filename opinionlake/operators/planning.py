@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from opinionlake import constants as C
 from opinionlake.functions.text import is_blank
 from opinionlake.operators import ranks
+from opinionlake.session import gathered
 
 REQUIRED = ("owner_role", "cost_estimate", "metric", "target", "verification")
 SCORES = ("evidence", "feasibility", "resources", "measurability", "risk")
@@ -76,7 +77,7 @@ def ordered_rows(actions: DataFrame, bad: DataFrame, chunk: int = 50_000) -> Dat
     The order of one plan is sequential: its slim sorted rows pass through one task, which holds keys and open dependencies, and leave in chunks.
     """
     slim = actions.select("plan_id", "priority", "key", F.coalesce("dependencies", F.array().cast("array<string>")).alias("needs")).join(bad, "plan_id", "left_anti")
-    sorted_ = slim.repartition("plan_id").sortWithinPartitions("plan_id", "priority", "key").select("plan_id", "key", "needs")
+    sorted_ = gathered(slim, ["plan_id"], "priority", "key").select("plan_id", "key", "needs")
 
     def done(plan, keys: list, needs: list) -> Iterator[tuple]:
         steps = _steps(keys, needs)

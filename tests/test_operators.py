@@ -343,6 +343,24 @@ def test_a_plan_with_most_actions_leaves_in_rows(spark):
     assert planning.order_actions(df.limit(0)).collect() == []
 
 
+def test_a_plan_stays_in_one_task_when_its_join_is_replanned(spark):
+    """The join on plan_id becomes a broadcast at run time, after which the adaptive plan reads the shuffled actions in pieces."""
+    plans = [(p, f"k{i:02d}", 1, [f"k{i - 1:02d}"] if i else [], 1.0) for i in range(40) for p in range(6)] + [(99, "a", 1, ["nowhere"], 1.0)]
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = spark.createDataFrame(plans, ACTION).repartition(8)
+        rows = planning.ordered_rows(df, planning.faults(df)).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert {(r["plan_id"], r["at"], r["key"]) for r in rows} == {(p, i, f"k{i:02d}") for p in range(6) for i in range(40)} and len(rows) == 240
+
+
 def test_verdict_thresholds_are_exact(spark):
     schema = (
         "k string, metric_kind string, unit string, direction string, threshold double, minimum_sample bigint, before_count bigint, before_successes bigint, before_mean double, "
