@@ -23,9 +23,10 @@ def bucket(day: Column, interval: str) -> Column:
 
 
 def next_bucket(day: Column, interval: str) -> Column:
+    """The start of the bucket after the one that holds the day."""
     if interval == "month":
         return F.add_months(F.trunc(day, "month"), 1)
-    return F.date_add(day, 1 if interval == "day" else 7)
+    return F.date_add(bucket(day, interval), 1 if interval == "day" else 7)
 
 
 def calendar_of_year(start: Column, end: Column, year: Column, interval: str) -> Column:

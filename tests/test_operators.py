@@ -48,6 +48,12 @@ def test_week_trend_counts_gaps_and_exclusions(spark):
     assert points[2]["period_end"] == dt.date(2026, 8, 17)
 
 
+def test_week_trend_goes_on_by_mondays_when_no_week_begins_with_the_year(spark):
+    rows = frame(spark, item("a", 1, published_at=dt.datetime(2024, 12, 27, 1)), item("b", 2, published_at=dt.datetime(2025, 1, 14, 1)))
+    points = stats.trend(rows, "week").orderBy("period").collect()
+    assert [(p["period"].isoformat(), p["count"]) for p in points] == [("2024-12-23", 1), ("2024-12-30", 0), ("2025-01-06", 0), ("2025-01-13", 1)]
+
+
 def test_trend_with_bounds_keeps_empty_series_and_long_ones(spark):
     rows = frame(spark, item("a", 1))
     empty = stats.trend(rows, "month", dt.date(2025, 1, 1), dt.date(2025, 3, 31)).collect()
