@@ -245,6 +245,40 @@ def test_clusters_do_not_depend_on_cells(spark, monkeypatch):
     assert topics.cluster(rows.limit(0), vectors).collect() == []
 
 
+def test_clusters_take_many_rounds_and_chunks(spark, monkeypatch):
+    """Leaders far more than a round or a chunk holds; the texts' vectors are read, never made again, and no pair is shuffled."""
+    rng = np.random.default_rng(11)
+    data = [(f"i{i:04d}", [float(x) for x in rng.normal(size=6)]) for i in range(900)]
+    rows = spark.createDataFrame([("r", k) for k, _ in data], "report_id string, id string")
+    vectors = spark.createDataFrame(data, "id string, embedding array<double>").repartition(5)
+    monkeypatch.setattr(topics, "CELL", 7)
+    monkeypatch.setattr(topics, "HEAD", 20)
+    got = {r["id"]: r["leader"] for r in topics.cluster(rows, vectors).collect()}
+    assert got == fixed_leaders(data) and len(set(got.values())) > 60
+
+
+def test_previous_topics_are_matched_without_pairs(spark, monkeypatch):
+    """Hundreds of topics against hundreds, cut into chunks: the clear single match of each, as brute force finds it."""
+    rng = np.random.default_rng(13)
+    old = rng.normal(size=(300, 8))
+    old /= np.linalg.norm(old, axis=1)[:, None]
+    mine = old[rng.integers(300, size=200)] + rng.normal(scale=0.1, size=(200, 8))
+    mine /= np.linalg.norm(mine, axis=1)[:, None]
+    topic = "report_id string, leader string, count bigint, centroid array<double>, embedding_model string, own_key string"
+    here = spark.createDataFrame([("r2", f"l{i:03d}", 1, v.tolist(), "m", f"own{i}") for i, v in enumerate(mine)], topic)
+    there = spark.createDataFrame([("r1", f"K{i:03d}", v.tolist(), "m") for i, v in enumerate(old)], "report_id string, topic_key string, centroid array<double>, embedding_model string")
+    monkeypatch.setattr(topics, "CELL", 9)
+    out = topics.match_previous(here, there, spark.createDataFrame([("r2", "r1")], "report_id string, previous string"))
+    want, used = {}, set()
+    for i, likeness in enumerate(mine @ old.T):
+        first, second = np.argsort(-likeness)[:2]
+        clear = likeness[first] >= C.TOPIC_MATCH and likeness[first] - likeness[second] >= C.TOPIC_MARGIN and first not in used
+        want[f"l{i:03d}"] = (f"K{first:03d}", "matched") if clear else (f"own{i}", "new")
+        used |= {first} if clear else set()
+    assert {r["leader"]: (r["topic_key"], r["mapping"]) for r in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bucket_recall():
     """Pairs of cosine 0.80 share a bucket."""
     rng = np.random.default_rng(2)
