@@ -24,6 +24,8 @@ _ROW = ", ".join(f"{f} string" for f in C.IMPORT_FIELDS)
 ROWS = 10_000
 #: Bytes of a CSV file that one task reads at a time.
 RANGE_BYTES = 64 << 20
+#: What opening a file costs, in bytes that could be read instead.
+OPEN_BYTES = 1 << 20
 #: Bytes in which a header of the fixed field names, quoted or not, must end.
 HEADER_BYTES = 4096
 #: Half of a character pair, which only an escape in JSON can give; no table holds it.
@@ -72,7 +74,21 @@ def read_files(spark: SparkSession, path: str, kind: str = "", range_bytes: int
 
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
-    return files.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start")).repartition(F.col("file"), F.col("start"))
+    return stored(files.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start")), "ranges")
+
+
+def _tasks(ranges: DataFrame) -> int:
+    """How many tasks read the ranges. Told by bytes in the files: the adaptive plan only sees names and would give all of them to one task."""
+    spark = ranges.sparkSession
+    size = F.least(F.col("length") - F.col("start"), F.lit(RANGE_BYTES).cast("bigint")) + OPEN_BYTES
+    total = ranges.agg(F.sum(size)).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES)) if total else 1
+
+
+def _per_file(ranges: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the ranges of each file in order; a range is a few numbers."""
+    packed = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", *[c for c in ranges.columns if c not in ("file", "start")]))).alias("ranges"))
+    return packed.select("file", F.inline(F.udf(work, f"array<struct<{schema}>>", useArrow=False)("ranges")))
 
 
 def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
@@ -83,6 +99,7 @@ def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for row in batch.itertuples():
                 whole = _bytes(row.file, row.start, range_bytes + 3)
                 data, ahead = whole[:range_bytes], whole[range_bytes:]
@@ -91,19 +108,22 @@ def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
                 place, root = splitjson.lead(data[skip:])
                 maps = [v for m in splitjson.outcomes(data[skip:]) for v in m]
                 at = row.start + skip + place if place >= 0 else -1
-                yield pd.DataFrame([[row.file, row.length, row.start, sound, at, root, maps]], columns=["file", "length", "start", "sound", "at", "root", "maps"])
+                out.append([row.file, row.length, row.start, sound, at, root, maps])
+            yield pd.DataFrame(out, columns=["file", "length", "start", "sound", "at", "root", "maps"])
 
-    judged = stored(_ranges(files, range_bytes).mapInPandas(judge, "file string, length bigint, start bigint, sound boolean, at bigint, root string, maps array<bigint>"), "json-ranges")
+    ranges = _ranges(files, range_bytes)
+    tasks = _tasks(ranges)
+    spread_out = lambda df: df.repartition(tasks, "file", "start")
+    judged = stored(spread_out(ranges).mapInPandas(judge, "file string, length bigint, start bigint, sound boolean, at bigint, root string, maps array<bigint>"), "json-ranges")
 
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start")
-        placed = splitjson.compose([[tuple(m[i : i + 3]) for i in range(0, len(m), 3)] for m in part["maps"]])
-        roots = part[part["at"] >= 0]
-        out = part[["file", "length", "start"]].assign(state=[s for s, _, _ in placed], depth=[d for _, d, _ in placed], low=[x for _, _, x in placed])
-        return out.assign(sound=bool(part["sound"].all()), root=roots["root"].iloc[0] if len(roots) else "", at=int(roots["at"].iloc[0]) if len(roots) else -1)
+    def settle(part: list) -> list[tuple]:
+        placed = splitjson.compose([[tuple(r.maps[i : i + 3]) for i in range(0, len(r.maps), 3)] for r in part])
+        sound = all(r.sound for r in part)
+        root, at = next(((r.root, r.at) for r in part if r.at >= 0), ("", -1))
+        return [(r.length, r.start, *p, sound, root, at) for r, p in zip(part, placed, strict=True)]
 
-    placed = "file string, length bigint, start bigint, state bigint, depth bigint, low bigint, sound boolean, root string, at bigint"
-    settled = judged.groupBy("file").applyInPandas(settle, placed).repartition(F.col("file"), F.col("start"))
+    placed = "length bigint, start bigint, state bigint, depth bigint, low bigint, sound boolean, root string, at bigint"
+    settled = spread_out(_per_file(judged, settle, placed))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,26 +139,23 @@ def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
                 marks.append((row.start + place if place >= 0 else place, shut))
             yield batch.assign(mark=[m for m, _ in marks], shut=[s for _, s in marks])
 
-    marked = stored(settled.mapInPandas(mark, placed + ", mark bigint, shut boolean"), "json-marks")
+    marked = stored(settled.mapInPandas(mark, "file string, " + placed + ", mark bigint, shut boolean"), "json-marks")
 
-    def locate(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start").reset_index(drop=True)
-        level = 1 if part["root"].iloc[0] == "[" else 2
-        named = part.index[part["mark"] != -1]
+    def locate(part: list) -> list[tuple]:
+        level = 1 if part[0].root == "[" else 2
+        named = [i for i, r in enumerate(part) if r.mark != -1]
         # The bracket may stand in a later range than the member's name.
-        bracket = int(part["mark"].iloc[named[-1]]) if len(named) else -1
-        holder = int(part.index[part["start"] <= bracket][-1]) if bracket >= 0 else -1
-        ends = [i for i in range(holder + 1, len(part)) if part["low"][i] < level] if holder >= 0 else []
+        bracket = part[named[-1]].mark if named else -1
+        holder = max(i for i, r in enumerate(part) if r.start <= bracket) if bracket >= 0 else -1
+        ends = [i for i in range(holder + 1, len(part)) if part[i].low < level] if holder >= 0 else []
         # No bracket stands between a name and its list, so a holder behind the name's range holds no other before it.
-        shut = holder >= 0 and (bool(part["shut"][holder]) if holder == named[-1] else part["low"][holder] < level)
+        shut = holder >= 0 and (part[holder].shut if holder == named[-1] else part[holder].low < level)
         last = holder if shut else ends[0] if ends else -1
-        within = [holder >= 0 and holder <= i <= last for i in range(len(part))]
-        return part[["file", "length", "start", "state", "depth", "sound"]].assign(
-            level=level, bracket=bracket, within=within, ends=[i == last for i in range(len(part))], open=last == -1 and holder >= 0, first=[i == holder for i in range(len(part))]
-        )
+        never = last == -1 and holder >= 0
+        return [(r.length, r.start, r.state, r.depth, r.sound, level, bracket, 0 <= holder <= i <= last, never, i == holder) for i, r in enumerate(part)]
 
-    located = marked.groupBy("file").applyInPandas(
-        locate, "file string, length bigint, start bigint, state bigint, depth bigint, sound boolean, level bigint, bracket bigint, within boolean, ends boolean, open boolean, first boolean"
+    located = _per_file(
+        marked, locate, "length bigint, start bigint, state bigint, depth bigint, sound boolean, level bigint, bracket bigint, within boolean, open boolean, first boolean"
     )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,8 +164,7 @@ def _read_json(files: DataFrame, range_bytes: int) -> DataFrame:
                 for rows in _json_rows(row, range_bytes):
                     yield rows.assign(start=row.start)
 
-    spread_again = located.repartition(F.col("file"), F.col("start"))
-    parsed = stored(spread_again.mapInPandas(parse, _SCHEMA + ", start bigint"), "json-rows")
+    parsed = stored(spread_out(located).mapInPandas(parse, _SCHEMA + ", start bigint"), "json-rows")
     grave = F.array_position(F.array(*[F.lit(f) for f in JSON_FAULTS]), F.col("file_error"))
     faults = parsed.filter("file_error is not null").groupBy("file").agg(F.min_by("file_error", grave).alias("file_error"))
     good = parsed.filter("file_error is null")
@@ -243,29 +259,29 @@ def _bytes(name: str, start: int, size: int) -> bytes:
 def _read_csv(files: DataFrame, range_bytes: int) -> DataFrame:
     """Ranges are judged, their maps composed per file (a few bytes a range), then parsed; a file with any fault gives no rows."""
     ranges = _ranges(files, range_bytes)
+    tasks = _tasks(ranges)
+    spread_out = lambda df: df.repartition(tasks, "file", "start")
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for row in batch.itertuples():
                 whole = _bytes(row.file, row.start, range_bytes + 3)
                 data, ahead = whole[:range_bytes], whole[range_bytes:]
                 if row.start == 0 and data.startswith(splitcsv.BOM):
                     data = data[len(splitcsv.BOM) :]
                 maps = splitcsv.outcomes(data, ahead[:1])
-                yield pd.DataFrame(
-                    [[row.file, row.start, splitcsv.valid_utf8(data, ahead, row.start == 0), [int(v) for o in maps for v in o]]], columns=["file", "start", "sound", "maps"]
-                )
+                out.append([row.file, row.start, splitcsv.valid_utf8(data, ahead, row.start == 0), [int(v) for o in maps for v in o]])
+            yield pd.DataFrame(out, columns=["file", "start", "sound", "maps"])
 
-    judged = stored(ranges.mapInPandas(judge, "file string, start bigint, sound boolean, maps array<bigint>"), "csv-ranges")
+    judged = stored(spread_out(ranges).mapInPandas(judge, "file string, start bigint, sound boolean, maps array<bigint>"), "csv-ranges")
 
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("start")
-        maps = [[tuple(m[i : i + 3]) for i in range(0, len(m), 3)] for m in part["maps"]]
-        placed = splitcsv.compose(maps)
-        sound = bool(part["sound"].all())
-        return pd.DataFrame({"file": part["file"], "start": part["start"], "first": [f for f, _ in placed], "before": [b for _, b in placed], "sound": sound})
+    def settle(part: list) -> list[tuple]:
+        placed = splitcsv.compose([[tuple(r.maps[i : i + 3]) for i in range(0, len(r.maps), 3)] for r in part])
+        sound = all(r.sound for r in part)
+        return [(r.start, *p, sound) for r, p in zip(part, placed, strict=True)]
 
-    settled = judged.groupBy("file").applyInPandas(settle, "file string, start bigint, first bigint, before bigint, sound boolean")
+    settled = _per_file(judged, settle, "start bigint, first bigint, before bigint, sound boolean")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -276,8 +292,7 @@ def _read_csv(files: DataFrame, range_bytes: int) -> DataFrame:
                     continue
                 yield from _range_rows(row.file, row.start, row.first, row.before, range_bytes)
 
-    spread_again = settled.repartition(F.col("file"), F.col("start"))
-    parsed = stored(spread_again.mapInPandas(parse, _SCHEMA), "csv-rows")
+    parsed = stored(spread_out(settled).mapInPandas(parse, _SCHEMA), "csv-rows")
     faults = parsed.filter("file_error is not null").groupBy("file").agg(F.min("file_error").alias("file_error"))
     held = parsed.filter("file_error is null").groupBy("file").agg(F.lit(1).alias("_held"))
     all_faults = files.select(F.col("path").alias("file")).join(faults, "file", "left").join(held, "file", "left")
