@@ -32,7 +32,8 @@ def check_refs(actions: DataFrame, problems: DataFrame, evidence: DataFrame) ->
     ``problems``: (plan_id, problem_key, problem_refs); ``evidence``: (plan_id, evidence) - the
     sampled evidence of a plan, at most sixty ids.
     """
-    joined = actions.join(problems, ["plan_id", "problem_key"], "left").join(evidence, "plan_id", "left")
+    # Both sides grow with the plans, and lists of ids are far larger than Spark guesses: broadcast, every task would hold all of them.
+    joined = actions.join(problems.hint("merge"), ["plan_id", "problem_key"], "left").join(evidence.hint("merge"), "plan_id", "left")
     ok = F.col("problem_refs").isNotNull() & subset(F.col("evidence_ids"), F.col("evidence")) & subset(F.col("evidence_ids"), F.col("problem_refs"))
     return joined.withColumn("refs_ok", ok).drop("problem_refs", "evidence")
 
