@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +115,7 @@ def model_boundary(df: DataFrame) -> DataFrame:
         return out
     strings = F.array_distinct(F.array_compact(F.concat(*[_all_strings(F.col(f"`{f.name}`"), f.dataType) for f in nested])))
     plain = out.withColumn("_strings", strings).withColumn("_clean", text.normalize_all(F.col("_strings")))
-    masked = plain.withColumn("_known", F.map_from_arrays("_strings", F.transform("_clean", lambda x: functools.reduce(text.mask, C.MASKS, x))))
+    masked = plain.withColumn("_known", F.map_from_arrays("_strings", text.mask_all(F.col("_clean"))))
     look = lambda c: F.when(c.isNotNull(), F.element_at(F.col("_known"), c))
     return masked.select(*[(_scrub(F.col(f"`{f.name}`"), f.dataType, look) if f in nested else F.col(f"`{f.name}`")).alias(f.name) for f in kept])
 
