@@ -1,8 +1,15 @@
 """The report job: missing labels and vectors are made, finished stages are kept, topics keep their keys."""
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from opinionlake.functions import text
 from opinionlake.operators import labelling, report_job
 
 MODELS = report_job.Models(labelling.encode_passages, "hashing")
@@ -61,3 +68,59 @@ def test_no_items(spark, tmp_path):
     items, links, reports, labels, vectors = tables(spark)
     out = report_job.run(items.limit(0), links.limit(0), reports, labels.limit(0), vectors.limit(0), MODELS, str(tmp_path / "none"))
     assert out["items"].count() == 0 and out["status"].count() == 3
+
+
+def sql_of(columns):
+    return str(columns._jdf.queryExecution().optimizedPlan())
+
+
+def test_texts_are_not_searched_for_latin_words_by_patterns(spark):
+    rows = spark.createDataFrame([("r", "1", "dcard", "post", "fine", 3, None)], "report_id string, id string, source string, content_type string, text string, rating int, signal string")
+    plan = sql_of(labelling.label_items(rows))
+    # Only a text with a letter whose case is unlike ASCII meets the pattern; the words are looked up.
+    assert "CASE WHEN _odd" in plan and "Contains(_low" in plan and plan.count("Contains(") > 20
+
+
+def test_texts_are_read_for_numbers_once(spark):
+    plan = sql_of(text.add_masked(spark.createDataFrame([("a",)], "t string"), "t"))
+    assert plan.count("_digits") >= 3
+
+
+def test_labels_of_blanks_odd_letters_and_chinese(spark):
+    given = {
+        "never\nagain": "negative", "NEVER \t again": "negative", "neveragain": "neutral", "frİendly": "positive", "ſlow": "negative", "ba​d": "negative",
+        "ｂａｄ": "negative", "不推薦": "negative", "等了\n30\n分鐘": "negative", "great bad": "positive", "​ \n": "neutral",
+    }
+    rows = [("r", t, "dcard", "post", t, None, None) for t in given]
+    items = spark.createDataFrame(rows, "report_id string, id string, source string, content_type string, text string, rating int, signal string")
+    assert {r.id: r.sentiment for r in labelling.label_items(items).collect()} == given
+
+
+def test_masks_of_numbers_and_addresses(spark):
+    given = {
+        "call 0912-345-678\n\nnow": "call [電話已遮罩] now", "id ٠١٢٣٤٥٦٧": "id [識別碼已遮罩]", "wWw.a.b x": "[網址已遮罩] x", "HTTPS://q": "[網址已遮罩]",
+        "é@d.e": "[電子郵件已遮罩]", "a\tb  @ab": "a b [帳號已遮罩]", "x@ 1234-567": "x@ 1234-567",
+    }
+    got = text.add_masked(spark.createDataFrame([(t, t) for t in given], "k string, t string"), "t").collect()
+    assert {r.k: r.t for r in got} == given
+
+
+def test_leaders_after_a_slice_are_not_multiplied(tmp_path):
+    rows = pd.DataFrame({"report_id": "r", "id": [f"{i:04}" for i in range(3000)], "total": list(np.eye(3000)[:, :].astype("float64")), "dim": 3000})
+    table = pa.table({"report_id": rows["report_id"], "id": rows["id"], "total": pa.array(list(rows["total"])), "dim": pa.array([3000] * 3000, pa.int32())})
+    pq.write_table(table, tmp_path / "leaders.parquet")
+    wide = []
+    real = np.round
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(report_job.topics.np, "round", lambda a, d: wide.append(a.shape[1]) or real(a, d))
+        out = pd.concat(report_job.topics._nearest(str(tmp_path), 4096)(iter([rows.sample(frac=1, random_state=1)])))
+    assert (out["id"] == out["leader"]).all() and wide == [1023, 2047, 2999]
+
+
+def test_slots_of_tokens():
+    made = labelling.hashing_encoder(64)(["b B a1-éK 😀", ""])
+    slot = lambda t: int(hashlib.md5(t).hexdigest()[:8], 16) % 64
+    want = np.zeros((2, 64))
+    for token in (b"b", b"b", b"a1", b"k"):
+        want[0, slot(token)] += 1
+    assert (made == want).all()
