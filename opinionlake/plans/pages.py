@@ -165,19 +165,29 @@ def thread(spark, d):
 # ---- forum articles -----------------------------------------------------------------------
 def forum_pages(spark, d):
     """Per thread: an article record twice (short and full) and comments with and without ids."""
-    n, t = F.col("doc_id"), F.col("t")
+    t = F.col("t")
     # The text as a JSON string, as a page's script holds it.
     as_json = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     at = F.lit("2024-03-05T10:00:00")
     quoted = lambda name, value: _cat(f'"{name}":"', value, '",')
-    no_id = F.when(n % 4 != 0, _cat('"id":"c', n, '",')).otherwise("")
-    gone = F.when(n % 9 == 0, '"isDeleted":true,').otherwise("")
-    one = F.concat(F.lit("{"), no_id, gone, F.concat(F.lit('"content":'), as_json(F.col("text")), F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("createdAt", at), _cat('"floor":"', F.col("k"), '","likeCount":', n % 12, "}"))
-    # JSON-LD repeats every comment without its id; those that have one elsewhere must not double.
-    again = F.concat(F.lit('{"@type":"Comment",'), gone, F.concat(F.lit('"text":'), as_json(F.col("text")), F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("dateCreated", at), _cat('"floor":"', F.col("k"), '"}'))
+    gone = lambda n: F.when(n % 9 == 0, '"isDeleted":true,').otherwise("")
+
+    def one(s):
+        n = s["doc_id"]
+        no_id = F.when(n % 4 != 0, _cat('"id":"c', n, '",')).otherwise("")
+        return F.concat(F.lit("{"), no_id, gone(n), F.concat(F.lit('"content":'), s["f"], F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("createdAt", at), _cat('"floor":"', n % 15, '","likeCount":', n % 12, "}"))
+
+    def again(s):
+        """JSON-LD repeats every comment without its id; those that have one elsewhere must not double."""
+        n = s["doc_id"]
+        return F.concat(F.lit('{"@type":"Comment",'), gone(n), F.concat(F.lit('"text":'), s["f"], F.lit(",")), quoted("author", _cat("u", n % 3)), quoted("dateCreated", at), _cat('"floor":"', n % 15, '"}'))
+
     rows = docs(spark, d)
-    packed = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("doc_id", f.alias("f"))))), lambda s: s["f"]), ",")
-    grouped = rows.groupBy("t").agg(packed(one).alias("full"), packed(again).alias("ld"), F.min_by("text", "doc_id").alias("first"), F.count("*").alias("n"))
+    # A text moves once; both records of it are made from the gathered ones.
+    said = F.array_sort(F.collect_list(F.when(F.col("k") > 0, F.struct("doc_id", as_json(F.col("text")).alias("f")))))
+    grouped = rows.groupBy("t").agg(said.alias("said"), F.min_by("text", "doc_id").alias("first"), F.count("*").alias("n"))
+    packed = lambda f: F.array_join(F.transform("said", f), ",")
+    grouped = grouped.select("t", "first", "n", packed(one).alias("full"), packed(again).alias("ld"))
     thread = t + 1000000
     full = F.concat(
         _cat('{"props":{"post":{"id":', thread, ',"likeCount":"1,2', t % 10, '0","commentCount":', F.when(t % 2 == 0, F.col("n") - 1).otherwise(F.col("n") + 5), ',"content":'),
